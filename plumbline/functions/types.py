@@ -189,9 +189,9 @@ def union_of(members: Sequence[SimpleType], name: str, **facets) -> SimpleType:
 BUILTINS = _builtins()
 
 
-def builtin(name: str, **facets) -> SimpleType:
-    base = BUILTINS[name]
-    return derive(base, facets.pop("name", name), **facets) if facets else base
+def builtin(type_name: str, **facets) -> SimpleType:
+    base = BUILTINS[type_name]
+    return derive(base, facets.pop("name", type_name), **facets) if facets else base
 
 
 def compile_types(specs: dict[str, dict]) -> tuple[dict[str, SimpleType], list[tuple[str, str, str]]]:
@@ -276,14 +276,28 @@ def bound_broken(v: Column, primitive: str, facet: str, bound: str) -> Column:
         return F.lit(False)
     wrong = {"min_inclusive": lambda o: o < 0, "max_inclusive": lambda o: o > 0,
              "min_exclusive": lambda o: o <= 0, "max_exclusive": lambda o: o >= 0}[facet]
+    side = lambda a, b: {"min_inclusive": a < b, "max_inclusive": a > b, "min_exclusive": a <= b, "max_exclusive": a >= b}[facet]
     if primitive == "decimal":
         exact = wrong(L.decimal_order(v, F.lit(bound)))
         if len(bound) > 20:
             return exact
         # short texts stay in plain decimal arithmetic (and in generated code)
         n, b = v.try_cast("decimal(38,18)"), F.lit(Decimal(bound)).cast("decimal(38,18)")
-        plain = {"min_inclusive": n < b, "max_inclusive": n > b, "min_exclusive": n <= b, "max_exclusive": n >= b}[facet]
-        return F.when(F.length(v) <= 19, plain).otherwise(exact)
+        return F.when(F.length(v) <= 19, side(n, b)).otherwise(exact)
+    if primitive in L.TEMPORAL:
+        at = L.instant_of(bound, primitive)
+        if at is None:
+            return F.lit(False)
+        exact = side(L.instant(v, primitive), F.lit(at).cast("decimal(38,9)"))
+        # zone-less four-digit-year texts order like their characters
+        plain = {"date": 10, "dateTime": 19}.get(primitive)
+        if plain == len(bound) and not bound.endswith("Z") and "T24" not in bound:
+            return F.when((F.length(v) == plain) & ~F.contains(v, F.lit("T24")), side(v, F.lit(bound))).otherwise(exact)
+        return exact
+    if primitive in ("float", "double"):
+        b = float(bound.replace("INF", "inf"))
+        n = L.float_value(v, primitive)
+        return ~F.isnan(n) & side(n, F.lit(b)) if b == b else F.lit(False)
     return wrong(L.compare(v, F.lit(bound), primitive))
 
 
@@ -327,38 +341,64 @@ def _facets(v: Column, t: SimpleType, size: Column | None = None) -> list[tuple[
     return rows
 
 
-def surely_valid(col: Column, t: SimpleType) -> Column:
-    """Verdict on the raw text: true only for valid values that need no whitespace handling.
-
-    A cheap first filter, generated as plain code; what it refuses goes through `problems`.
-    """
-    tidy = F.lit(True)
-    if t.white_space != "preserve" and (t.primitive is None or t.primitive in ("string", "anyURI")):
-        tidy = ~col.rlike("[\t\n\r]" if t.white_space == "replace" else r"[\t\n\r]|\A | \z|  ")
-    return col.isNull() | (tidy & F.coalesce(is_valid(col, replace(t, white_space="preserve")), F.lit(False)))
+def _untidy(col: Column, mode: str) -> Column:
+    """Whether whitespace handling would change the text at all."""
+    return col.rlike("[\t\n\r]" if mode == "replace" else r"[\t\n\r]|\A | \z|  ")
 
 
-def is_valid(col: Column, t: SimpleType) -> Column:
-    """Boolean verdict for a non-NULL value; NULL stays NULL (absence is the record's business)."""
-    v = normalize_space(col, t.white_space)
+def _verdict(v: Column, t: SimpleType) -> Column:
+    """Verdict on a normalised value."""
     if t.variety == "list":
         items = F.filter(F.split(v, " "), lambda x: x != "")
-        ok = F.forall(items, lambda x: is_valid(x, t.item))
+        ok = F.forall(items, lambda x: _verdict(x, t.item))
         facets = _facets(v, t, F.size(items))
     elif t.variety == "union":
-        ok = reduce(lambda a, b: a | b, [F.coalesce(is_valid(v, m), F.lit(False)) for m in t.members], F.lit(not t.members))
+        ok = _any_member(v, t)
         facets = _facets(v, t)
     else:
         ok = L.is_lexical(v, t.primitive) if t.primitive else F.lit(True)
         facets = _facets(v, t)
     for _, broken, _ in facets:
         ok = ok & ~F.coalesce(broken, F.lit(False))
-    return F.when(col.isNotNull(), ok)
+    return ok
+
+
+def _any_member(v: Column, t: SimpleType) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(is_valid(v, m), F.lit(False)) for m in t.members], F.lit(not t.members))
+
+
+def is_valid(col: Column, t: SimpleType) -> Column:
+    """Boolean verdict for a non-NULL value; NULL stays NULL (absence is the record's business).
+
+    Tidy text is judged as it stands; only text that whitespace handling changes is normalised.
+    """
+    if t.white_space == "preserve":
+        return F.when(col.isNotNull(), _verdict(col, t))
+    if t.white_space == "collapse" and t.primitive not in (None, "string", "anyURI", "base64Binary"):
+        tidy = _verdict(col, t)  # no lexical form of these types has a space in it
+    else:
+        tidy = ~_untidy(col, t.white_space) & _verdict(col, t)
+    return F.when(col.isNotNull(), tidy | (_untidy(col, t.white_space) & L.let(normalize_space(col, t.white_space), lambda v: _verdict(v, t))))
+
+
+def surely_valid(col: Column, t: SimpleType) -> Column:
+    """True only for absent values and for valid ones that need no whitespace handling: a cheap
+    first filter, generated as plain code; what it refuses goes through `problems`."""
+    tidy = F.lit(True)
+    if t.white_space != "preserve" and t.primitive in (None, "string", "anyURI", "base64Binary"):
+        tidy = ~_untidy(col, t.white_space)
+    return col.isNull() | (tidy & F.coalesce(_verdict(col, t), F.lit(False)))
 
 
 def problems(col: Column, t: SimpleType) -> Column:
     """All problems of a value, as an array; a value outside the lexical space reports only that."""
-    v = normalize_space(col, t.white_space)
+    if t.white_space == "preserve":
+        return problems_of_normal(col, t)
+    return L.let(normalize_space(col, t.white_space), lambda v: problems_of_normal(v, t))
+
+
+def problems_of_normal(v: Column, t: SimpleType) -> Column:
+    """The same for a value whose whitespace is already handled."""
     empty = F.array().cast(f"array<{PROBLEM}>")
     def listed(rows) -> Column:
         if not rows:
@@ -366,12 +406,11 @@ def problems(col: Column, t: SimpleType) -> Column:
         return F.array_compact(F.array(*[_problem(b, c, m) for c, b, m in rows])).cast(f"array<{PROBLEM}>")
     if t.variety == "list":
         items = F.filter(F.split(v, " "), lambda x: x != "")
-        inner = F.flatten(F.transform(items, lambda x: F.transform(problems(x, t.item), lambda p: F.struct(
+        inner = F.flatten(F.transform(items, lambda x: F.transform(problems_of_normal(x, t.item), lambda p: F.struct(
             p["code"].alias("code"), F.concat(F.lit("item "), x, F.lit(": "), p["message"]).alias("message")))))
         out = F.concat(listed(_facets(v, t, F.size(items))), inner.cast(f"array<{PROBLEM}>"))
     elif t.variety == "union":
-        any_member = reduce(lambda a, b: a | b, [F.coalesce(is_valid(v, m), F.lit(False)) for m in t.members], F.lit(not t.members))
-        none = ("cvc-datatype-valid.1.2.3", ~any_member, F.concat(_quoted(v), F.lit(f" is not {t.doc}")))
+        none = ("cvc-datatype-valid.1.2.3", ~_any_member(v, t), F.concat(_quoted(v), F.lit(f" is not {t.doc}")))
         out = listed([none, *_facets(v, t)])
     else:
         out = listed(_facets(v, t))
@@ -379,7 +418,7 @@ def problems(col: Column, t: SimpleType) -> Column:
             bad = F.array(F.struct(F.lit("cvc-datatype-valid.1.2.1").alias("code"),
                                    F.concat(_quoted(v), F.lit(f" is not {t.doc}")).alias("message"))).cast(f"array<{PROBLEM}>")
             out = F.when(L.is_lexical(v, t.primitive), out).otherwise(bad)
-    return F.when(col.isNotNull(), out).otherwise(empty)
+    return F.when(v.isNotNull(), out).otherwise(empty)
 
 
 def matched_member(col: Column, t: SimpleType) -> Column:

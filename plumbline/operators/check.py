@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import normalize_space
-from plumbline.functions.types import (SimpleType, fixed_value_broken, is_valid, problems, starting_value,
+from plumbline.functions.types import (SimpleType, fixed_value_broken, is_valid, problems_of_normal, starting_value,
                                       surely_valid)
 from plumbline.operators.findings import FIX, SCHEMA, finding, key_text
 
@@ -25,10 +25,12 @@ def check_table(df: DataFrame, spec: dict[str, SimpleType], key: Sequence[str],
     details for the rows it refuses. Columns are read as text."""
     text = {c: F.col(c).cast("string") for c in spec}
     failing = reduce(lambda a, b: a | b, [~surely_valid(text[c], t) for c, t in spec.items()])
+    tidy = {c: f"_v{i}" for i, c in enumerate(spec)}
     def named(c: str, t: SimpleType) -> Column:
-        return F.transform(problems(text[c], t), lambda p: F.struct(F.lit(c).alias("column"), p.alias("p")))
+        return F.transform(problems_of_normal(F.col(tidy[c]), t), lambda p: F.struct(F.lit(c).alias("column"), p.alias("p")))
     arrays = [named(c, t) for c, t in spec.items()]
-    rows = df.where(failing).select("*", F.explode(F.concat(*arrays)).alias("_x"))
+    kept = df.where(failing).withColumns({tidy[c]: normalize_space(text[c], t.white_space) for c, t in spec.items()})
+    rows = kept.select("*", F.explode(F.concat(*arrays)).alias("_x"))
     fix = F.lit(None)
     if fixes:
         for c, t in spec.items():
