@@ -1 +1,210 @@
-"""."""
+"""Business rules over lines and orders."""
+
+from pyspark.sql import functions as F
+
+from plumbline.catalog import query, table
+from plumbline.operators import rules as B
+from plumbline.operators.findings import order_findings
+from plumbline.plans.ordered import positions
+from plumbline.plans.skew import join_unique
+
+LINE_RULES = {
+    "lets": [["limit", "45"], ["bad", "no_such_column + 1"]],
+    "phases": {"money": ["price"], "all": ["quantity", "price"]},
+    "diagnostics": {"split": "Split the line into {ceil(l_quantity / 10)} parts", "call": "Ask the seller"},
+    "patterns": [
+        {"id": "quantity", "lets": [["half", "$limit / 2"]], "rules": [
+            {"id": "returned", "context": "l_returnflag = 'R'", "assertions": [
+                {"id": "q1", "test": "l_quantity <= $limit", "message": "line {l_linenumber} returns {cast(l_quantity as int)} of at most {$limit}", "diagnostics": ["split", "nothing"]},
+                {"id": "q2", "kind": "report", "role": "warning", "test": "l_discount > 0.09", "message": "high discount"}]},
+            {"id": "open", "context": "l_linestatus = 'O' or l_returnflag = 'R'", "assertions": [
+                {"id": "q3", "test": "l_quantity > $half", "message": "  small   open line {nowhere}  ", "role": "warning"}]},
+            {"id": "only-returned", "context": "l_returnflag = 'R' and l_tax > 0.01", "assertions": [{"id": "q4", "test": "false", "message": "never reached"}]},
+            {"id": "none", "context": "l_quantity > 1000", "assertions": [{"id": "q5", "test": "false", "message": "no row is here"}]}]},
+        {"id": "price", "rules": [
+            {"id": "every", "context": "true", "assertions": [
+                {"id": "p1", "test": "l_extendedprice / l_quantity between 900 and 2000", "message": "unit price out of range"},
+                {"id": "p2", "test": "nullif(l_tax, 0) < 0.08", "message": "tax is zero or high"},
+                {"id": "p3", "test": "$bad > 0", "message": "cannot be checked"}]}]}]}
+
+
+def rule_set() -> B.RuleSet:
+    return B.RuleSet.from_dict(LINE_RULES)
+
+
+def lines(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
+ROW = "l_orderkey || '|' || l_linenumber || '|' || l_partkey"
+SOURCE = f"""with l as (select *, {ROW} as row_key,
+  case when l_returnflag = 'R' then 0 when l_linestatus = 'O' then 1 when l_quantity > 1000 then 3 end as c from lineitem)
+"""
+FINDINGS = SOURCE + """, f as (
+select row_key, 'quantity' as pattern_id, 'returned' as rule_id, 'q1' as assertion_id, 'error' as severity, 'assert' as code from l where c = 0 and not l_quantity <= 45
+union all select row_key, 'quantity', 'returned', 'q2', 'warning', 'report' from l where c = 0 and l_discount > 0.09
+union all select row_key, 'quantity', 'open', 'q3', 'warning', 'assert' from l where c = 1 and not l_quantity > 22.5
+union all select row_key, 'price', 'every', 'p1', 'error', 'assert' from l where not l_extendedprice / l_quantity between 900 and 2000
+union all select row_key, 'price', 'every', 'p2', 'error', 'assert' from l where not coalesce(nullif(l_tax, 0) < 0.08, false))
+"""
+
+
+@query("B1_rules_from_table", """
+select cast(o_orderkey as varchar) as row_key, o_orderpriority as rule_id from orders where o_totalprice < 3000 + 1000 * cast(left(o_orderpriority, 1) as integer)""")
+def from_table(spark, sf):
+    """One rule per order priority, authored as rows: the rules table is derived from the orders table."""
+    rules = table(spark, sf, "orders").select("o_orderpriority").distinct().selectExpr(
+        "'floor' as pattern_id", "cast(substr(o_orderpriority, 1, 1) as int) as rule_ix", "o_orderpriority as rule_id",
+        "concat('o_orderpriority = ''', o_orderpriority, '''') as context", "0 as assertion_ix", "'a' as assertion_id", "'assert' as kind",
+        "concat('o_totalprice >= 3000 + 1000 * ', substr(o_orderpriority, 1, 1)) as test", "'below the floor' as message", "cast(null as string) as role")
+    return B.evaluate(table(spark, sf, "orders"), B.RuleSet.from_table(rules), ["o_orderkey"]).select("row_key", "rule_id")
+
+
+@query("B2_rule_context", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_returnflag = 'R' or (l_discount > 0.05 and l_tax < 0.02)")
+def context(spark, sf):
+    return B.rule_context(lines(spark, sf), "l_returnflag = 'R' or (l_discount > 0.05 and l_tax < 0.02)").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("B3_claim", SOURCE + "select row_key, case c when 0 then 'returned' when 1 then 'open' when 3 then 'none' end as rule from l")
+def claim(spark, sf):
+    return B.claim(lines(spark, sf), rule_set(), "quantity").select(F.concat_ws("|", *KEY).alias("row_key"), "rule")
+
+
+@query("B4_evaluate", FINDINGS + "select * from f")
+def evaluate(spark, sf):
+    return B.evaluate(lines(spark, sf), rule_set(), KEY).select("row_key", "pattern_id", "rule_id", "assertion_id", "severity", "code")
+
+
+@query("B5_let_bindings", SOURCE + "select row_key from l where c = 1 and not l_quantity > 22.5")
+def lets(spark, sf):
+    return B.evaluate(lines(spark, sf), rule_set(), KEY).where("assertion_id = 'q3'").select("row_key")
+
+
+@query("B6_render_message", FINDINGS + """
+select row_key, case assertion_id when 'q1' then 'line ' || l_linenumber || ' returns ' || cast(l_quantity as integer) || ' of at most 45' when 'q3' then 'small open line [nowhere?]' else 'high discount' end as message
+from f join l using (row_key) where pattern_id = 'quantity' group by all""")
+def messages(spark, sf):
+    return B.evaluate(lines(spark, sf), rule_set(), KEY).where("pattern_id = 'quantity'").select("row_key", "message").distinct()
+
+
+@query("B7_diagnostics", FINDINGS + """
+select row_key, cast(1 as integer) as hints, 'Split the line into ' || cast(ceil(l_quantity / 10) as integer) || ' parts' as hint
+from f join (select distinct row_key, l_quantity from l) using (row_key) where assertion_id = 'q1'""")
+def hints(spark, sf):
+    found = B.evaluate(lines(spark, sf), rule_set(), KEY).where("assertion_id = 'q1'")
+    return found.select("row_key", F.size("fixes").alias("hints"), F.get("fixes", F.lit(0))["title"].alias("hint"))
+
+
+@query("B8_phase", FINDINGS + "select row_key, assertion_id from f where pattern_id = 'price'")
+def phase(spark, sf):
+    return B.evaluate(lines(spark, sf), rule_set(), KEY, phase="money").select("row_key", "assertion_id")
+
+
+TEMPLATE = {"patterns": [
+    {"id": "ranged", "abstract": True, "rules": [{"id": "in-range", "context": "$item is not null", "assertions": [
+        {"id": "low", "test": "$item >= $itemMin", "message": "{$item} is under $itemMin"}]}]},
+    {"id": "total", "is_a": "ranged", "params": {"item": "o_totalprice", "itemMin": "2000"}},
+    {"id": "customer", "is_a": "ranged", "params": {"item": "o_custkey", "itemMin": "3"}},
+    {"id": "lost", "is_a": "nowhere"}]}
+
+
+@query("B9_instantiate", """
+select cast(o_orderkey as varchar) as row_key, 'total' as pattern_id from orders where o_totalprice < 2000 union all select cast(o_orderkey as varchar), 'customer' from orders where o_custkey < 3""")
+def template(spark, sf):
+    return B.evaluate(table(spark, sf, "orders"), B.RuleSet.from_dict(TEMPLATE), ["o_orderkey"]).select("row_key", "pattern_id")
+
+
+STATS = SOURCE + """, s as (
+select 'quantity' as pattern_id, 0 as rule_ix, 'returned' as rule_id, count(*) filter (l_returnflag = 'R') as matched, count(*) filter (c = 0) as fired, null as shadowed_by from l
+union all select 'quantity', 1, 'open', count(*) filter (l_linestatus = 'O' or l_returnflag = 'R'), count(*) filter (c = 1), null from l
+union all select 'quantity', 2, 'only-returned', count(*) filter (l_returnflag = 'R' and l_tax > 0.01), 0, 'returned' from l
+union all select 'quantity', 3, 'none', count(*) filter (l_quantity > 1000), 0, null from l
+union all select 'price', 0, 'every', count(*), count(*), null from l)
+"""
+
+
+@query("B10_rule_stats", STATS + "select * from s")
+def rule_stats(spark, sf):
+    return B.rule_stats(lines(spark, sf), rule_set())
+
+
+@query("B11_assertion_stats", FINDINGS + """
+, n as (select count(*) filter (c = 0) as r, count(*) filter (c = 1) as o, count(*) as a from l)
+select t.pattern_id, t.rule_ix, t.assertion_ix, t.kind, case when t.id in ('q4', 'q5', 'p3') then 0 else t.n - coalesce(fc, 0) end as passed, coalesce(fc, 0) as failed, t.id = 'p3' as broken
+from n, lateral (values ('quantity', 0, 0, 'assert', 'q1', r), ('quantity', 0, 1, 'report', 'q2', r), ('quantity', 1, 0, 'assert', 'q3', o), ('quantity', 2, 0, 'assert', 'q4', 0), ('quantity', 3, 0, 'assert', 'q5', 0),
+  ('price', 0, 0, 'assert', 'p1', a), ('price', 0, 1, 'assert', 'p2', a), ('price', 0, 2, 'assert', 'p3', a)) t(pattern_id, rule_ix, assertion_ix, kind, id, n)
+left join (select assertion_id, count(*) as fc from f group by 1) on assertion_id = t.id""")
+def assertion_stats(spark, sf):
+    out = B.assertion_stats(lines(spark, sf), rule_set())
+    return out.select("pattern_id", "rule_ix", "assertion_ix", "kind", "passed", "failed", F.col("broken").isNotNull().alias("broken"))
+
+
+@query("B12_shadowed_rules", STATS + "select pattern_id, rule_id, shadowed_by from s where matched > 0 and fired = 0")
+def shadowed(spark, sf):
+    return B.shadowed_rules(B.rule_stats(lines(spark, sf), rule_set())).select("pattern_id", "rule_id", "shadowed_by")
+
+
+@query("B13_dead_rules", STATS + "select pattern_id, rule_id from s where matched = 0")
+def dead(spark, sf):
+    return B.dead_rules(B.rule_stats(lines(spark, sf), rule_set())).select("pattern_id", "rule_id")
+
+
+@query("B14_broken_rules", """
+select l_returnflag as rule_id, 'rule-broken' as code, 'warning' as severity from lineitem group by 1""")
+def broken(spark, sf):
+    """One rule per return flag, each reading a column that does not exist."""
+    flags = [r[0] for r in lines(spark, sf).select("l_returnflag").distinct().collect()]
+    spec = {"patterns": [{"id": "p", "rules": [{"id": f, "context": f"l_returnflag = '{f}'", "assertions": [
+        {"test": "l_missing > 0", "message": "m"}, {"test": "l_quantity > 0", "message": "m"}]} for f in flags]}]}
+    return B.broken_rules(lines(spark, sf), B.RuleSet.from_dict(spec)).select("rule_id", "code", "severity")
+
+
+@query("B15_severity", FINDINGS + "select severity, count(*) as findings from f group by severity")
+def severities(spark, sf):
+    return B.evaluate(lines(spark, sf), rule_set(), KEY).groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query("B16_group_assert", """
+select cast(o_orderkey as varchar) as row_key, 'total ' || cast(total as varchar) || ' for ' || coalesce(n || ' ', '') || 'lines' as message
+from (select o_orderkey, cast(o_totalprice as decimal(18,2)) as total from orders)
+left join (select l_orderkey, count(*) as n, sum(cast(l_extendedprice as decimal(18,2))) as s from lineitem group by 1) on l_orderkey = o_orderkey
+where not coalesce(total >= s, false)""")
+def groups(spark, sf):
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey as k", "cast(o_totalprice as decimal(18,2)) as total")
+    children = table(spark, sf, "lineitem").selectExpr("l_orderkey as k", "cast(l_extendedprice as decimal(18,2)) as price")
+    return B.group_assert(orders, children, ["k"], {"n": F.count(F.lit(1)), "s": F.sum("price")}, "total >= s", "total {total} for {n} lines").select("row_key", "message")
+
+
+@query("B17_cross_field_assert", """
+select l_orderkey || '|' || l_linenumber as row_key, 'dates' as assertion_id from lineitem join orders on o_orderkey = l_orderkey where not l_shipdate >= o_orderdate
+union all select l_orderkey || '|' || l_linenumber, 'reason' from lineitem join orders on o_orderkey = l_orderkey where not (l_discount <= 0.08 or o_orderpriority = '1-URGENT')""")
+def cross(spark, sf):
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey as l_orderkey", "o_orderdate", "o_orderpriority")
+    joined = join_unique(table(spark, sf, "lineitem"), orders, ["l_orderkey"])
+    spec = {"patterns": [{"id": "p", "rules": [{"context": "true", "assertions": [
+        {"id": "dates", "test": "l_shipdate >= o_orderdate", "message": "shipped before it was ordered"},
+        {"id": "reason", "test": "l_discount <= 0.08 or o_orderpriority = '1-URGENT'", "message": "a discount needs a reason"}]}]}]}
+    return B.evaluate(joined, B.RuleSet.from_dict(spec), ["l_orderkey", "l_linenumber"]).select("row_key", "assertion_id")
+
+
+OTHER = {"patterns": [{"id": "size", "rules": [{"id": "big", "context": "l_quantity > 30", "assertions": [{"id": "s1", "test": "l_extendedprice > 40000", "message": "cheap"}]}]}]}
+
+
+@query("B18_run_corpus", FINDINGS + """
+select 'main/lines/' || pattern_id as pattern_id, doc_key, count(*) as findings from (select *, split_part(row_key, '|', 1) as doc_key from f) group by all
+union all select 'other/lines/size', cast(l_orderkey as varchar), count(*) from lineitem where l_quantity > 30 and not l_extendedprice > 40000 group by 2""")
+def corpus(spark, sf):
+    found = B.run_corpus({"main": rule_set(), "other": B.RuleSet.from_dict(OTHER)}, {"lines": (lines(spark, sf), KEY)}, "l_orderkey")
+    return found.groupBy("pattern_id", "doc_key").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query("B19_order_findings", FINDINGS + """
+select cast(row_number() over (order by k, ln, pattern_id, rule_id, assertion_id, code, row_key) as bigint) as place, row_key, assertion_id
+from (select *, split_part(row_key, '|', 1) as k, cast(split_part(row_key, '|', 2) as integer) as ln from f)""")
+def ordered(spark, sf):
+    """Document order; the place column is computed from a range-partitioned sort for the check."""
+    found = B.evaluate(lines(spark, sf), rule_set(), KEY, "l_orderkey", "l_linenumber")
+    listed = order_findings(found).select("doc_key", "ordinal", "pattern_id", "rule_id", "assertion_id", "code", "row_key")
+    placed = positions(listed, ["doc_key", "ordinal", "pattern_id", "rule_id", "assertion_id", "code", "row_key"], "place")
+    return placed.select("place", "row_key", "assertion_id")

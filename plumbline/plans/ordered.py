@@ -124,3 +124,20 @@ def running_last(df: DataFrame, keys: Sequence[str], order: str, column: str, na
     return (chunked.join(lasts, parts)
             .withColumn(name, F.coalesce(F.last(column, ignorenulls=True).over(upto(parts)), F.col("_carry")))
             .drop("_carry", CHUNK))
+
+
+def positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """1-based position of every row in one global order, without one task seeing all rows.
+
+    The sorted table is written to the checkpoint folder, so that partition numbers are facts when
+    the counts of earlier partitions are added.
+    """
+    from plumbline.plans.lineage import cut
+    ordered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_ix", F.monotonically_increasing_id()))
+    part = F.shiftright("_ix", 33).alias("_part")
+    local = F.col("_ix").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition of the sort
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    out = ordered.withColumn("_part", F.shiftright("_ix", 33)).join(F.broadcast(before.drop("_n")), "_part")
+    return out.withColumn(name, (local + F.col("_before") + 1).cast("long")).drop("_ix", "_part", "_before")
