@@ -6,7 +6,7 @@ from plumbline.catalog import query, table
 from plumbline.operators import rules as B
 from plumbline.operators.findings import order_findings
 from plumbline.plans.ordered import positions
-from plumbline.plans.skew import join_unique
+from plumbline.plans.skew import skew_join
 
 LINE_RULES = {
     "lets": [["limit", "45"], ["bad", "no_such_column + 1"]],
@@ -181,7 +181,7 @@ select l_orderkey || '|' || l_linenumber as row_key, 'dates' as assertion_id fro
 union all select l_orderkey || '|' || l_linenumber, 'reason' from lineitem join orders on o_orderkey = l_orderkey where not (l_discount <= 0.08 or o_orderpriority = '1-URGENT')""")
 def cross(spark, sf):
     orders = table(spark, sf, "orders").selectExpr("o_orderkey as l_orderkey", "o_orderdate", "o_orderpriority")
-    joined = join_unique(table(spark, sf, "lineitem"), orders, ["l_orderkey"])
+    joined = skew_join(table(spark, sf, "lineitem"), orders, ["l_orderkey"])
     spec = {"patterns": [{"id": "p", "rules": [{"context": "true", "assertions": [
         {"id": "dates", "test": "l_shipdate >= o_orderdate", "message": "shipped before it was ordered"},
         {"id": "reason", "test": "l_discount <= 0.08 or o_orderpriority = '1-URGENT'", "message": "a discount needs a reason"}]}]}]}

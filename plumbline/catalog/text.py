@@ -1 +1,86 @@
-"""."""
+"""Scalar functions."""
+
+from pyspark.sql import functions as F
+
+from plumbline.catalog import query, table
+from plumbline.functions import text as X
+
+
+@query("X1_humanise", """
+select p_partkey, upper(left(p_type, 1)) || lower(substr(p_type, 2)) as shouted, upper(left(p_name, 1)) || lower(substr(p_name, 2)) as snake, 'XML part size' as camel from part""")
+def humanise(spark, sf):
+    df = table(spark, sf, "part")
+    return df.select("p_partkey", X.humanise(F.col("p_type")).alias("shouted"), X.humanise(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("snake"),
+                     X.humanise(F.when(F.col("p_partkey") >= 0, "XMLPartSize")).alias("camel"))
+
+
+@query("X2_decode_entities", """
+select page_id, md5(replace(replace(replace(replace(replace(html, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&apos;', ''''), '&amp;', '&')) as digest,
+  'A' || chr(cast(200 + page_id as integer)) || '<&lt;&copy;' as numeric_refs from pages""")
+def decode(spark, sf):
+    refs = F.concat(F.lit("&#65;&#x"), F.lower(F.hex(F.col("page_id") + 200)), F.lit(";&lt;&amp;lt;&copy;"))
+    return table(spark, sf, "pages").select("page_id", F.md5(X.decode_entities(F.col("html"))).alias("digest"), X.decode_entities(refs).alias("numeric_refs"))
+
+
+@query("X3_encode", r"""
+select page_id, md5(replace(replace(h, '<', '&lt;'), '>', '&gt;')) as text_digest,
+  md5(replace(replace(replace(replace(h, '<', '&lt;'), chr(9), '&#9;'), chr(10), '&#10;'), '"', '&quot;')) as attribute_digest
+from (select page_id, replace(replace(regexp_replace(replace(html, 'the ', 'R&D '), '&(#x[0-9a-fA-F]+|#[0-9]+|[A-Za-z_:][A-Za-z0-9_.:-]*);', chr(1) || '\1;', 'g'), '&', '&amp;'), chr(1), '&') as h from pages)""")
+def encode(spark, sf):
+    html = F.replace("html", F.lit("the "), F.lit("R&D "))
+    return table(spark, sf, "pages").select("page_id", F.md5(X.encode_text(html)).alias("text_digest"), F.md5(X.encode_attribute(html)).alias("attribute_digest"))
+
+
+@query("X4_normalise_attribute", """
+select doc_id, md5(replace(replace(replace(replace(text, chr(13) || chr(10), ' '), chr(9), ' '), chr(10), ' '), chr(13), ' ') || '<') as digest from documents""")
+def attribute(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.normalise_attribute(F.concat("text", F.lit("&lt;")))).alias("digest"))
+
+
+@query("X5_valid_name", """
+select doc_id, regexp_full_match(word, '[\\pL_:][\\pL\\pN_:.\\-]*') as ok from (select doc_id, split_part(replace(text, chr(10), ' '), ' ', 3) as word from documents)""")
+def names(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id", F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(3)).alias("word"))
+    return df.select("doc_id", X.valid_name(F.col("word")).alias("ok"))
+
+
+@query("X9_resolve_uri", """
+select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/img/' || page_id || '.png' as rooted,
+  regexp_extract(url, '^[a-z]+://[^/?#]*') || case when contains(regexp_extract(url, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/') then regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), '[^/]*$', '') else '/' end || 'x.css?v=1' as beside, url as same from pages""")
+def resolve(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select(
+        "page_id", X.resolve_uri(F.concat(F.lit("/a/../img/./"), F.col("page_id").cast("string"), F.lit(".png")), u).alias("rooted"),
+        X.resolve_uri(F.lit("./sub/../x.css?v=1"), u).alias("beside"), X.resolve_uri(u, F.lit("http://other/")).alias("same"))
+
+
+@query("X11_edit_distance", """
+select p_partkey, cast(levenshtein(p_name, p_type) as integer) as distance, cast(case when levenshtein(p_name, 'red widget') > 4 then -1 else levenshtein(p_name, 'red widget') end as integer) as near from part""")
+def distance(spark, sf):
+    df = table(spark, sf, "part")
+    return df.select("p_partkey", X.edit_distance(F.col("p_name"), F.col("p_type")).alias("distance"), X.edit_distance(F.col("p_name"), F.lit("red widget"), 4).alias("near"))
+
+
+@query("X12_xpath_value", """
+select o_orderkey, case when o_orderkey % 4 <> 1 then o_orderstatus end as status, case when o_orderkey % 4 <> 1 then o_custkey % 2 = 0 end as even, case when o_orderkey % 4 <> 1 then 2 end as parts from orders""")
+def xpath(spark, sf):
+    """Orders written as XML; every fourth is broken and must give NULL."""
+    doc = F.concat(F.lit("<order id='"), F.col("o_orderkey").cast("string"), F.lit("'><status>"), F.col("o_orderstatus"), F.lit("</status><customer>"),
+                   F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 4 == 1, "</client></order>").otherwise("</customer></order>"))
+    df = table(spark, sf, "orders").withColumn("doc", doc)
+    return df.select("o_orderkey", X.xpath_value(F.col("doc"), "/order/status").alias("status"), X.xpath_value(F.col("doc"), "/order[customer mod 2 = 0]", "boolean").alias("even"),
+                     F.size(X.xpath_value(F.col("doc"), "/order/*/text()", "nodes")).alias("parts"))
+
+
+@query("P9_text_preview", r"""
+select doc_id, case when t = '' then null when length(t) > 48 then left(t, 47) || '…' else t end as preview from (select doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') as t from documents)""")
+def preview(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.text_preview(F.col("text")).alias("preview"))
+
+
+@query("P11_strip_namespaces", r"""
+select page_id, md5(regexp_replace(regexp_replace(regexp_replace(h, '\sxmlns(:[\w.-]+)?="[^"]*"', '', 'g'), '<(/?)[\w.-]+:', '<\1', 'g'), '\s[\w.-]+:([\w.-]+)=', ' \1=', 'g')) as digest
+from (select page_id, replace(replace(replace(html, '<li>', '<h:li xmlns:h="urn:h" h:role="item">'), '</li>', '</h:li>'), '<p>', '<x:p>') as h from pages)""")
+def strip(spark, sf):
+    h = F.replace(F.replace(F.replace("html", F.lit("<li>"), F.lit('<h:li xmlns:h="urn:h" h:role="item">')), F.lit("</li>"), F.lit("</h:li>")), F.lit("<p>"), F.lit("<x:p>"))
+    return table(spark, sf, "pages").select("page_id", F.md5(X.strip_namespaces(h)).alias("digest"))

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.plans.ordered import neighbours, running_last
-from plumbline.plans.skew import join_unique
+from plumbline.plans.skew import skew_join
 
 
 def child_axis(parents: DataFrame, children: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each child with its parent's columns; the parent side has one row per key."""
-    return join_unique(children, parents, keys)
+    return skew_join(children, parents, keys)
 
 
 def ancestor_paths(path):
@@ -29,7 +29,7 @@ def descendant_axis(nodes: DataFrame, doc: str, path: str, tops: DataFrame) -> D
     finds the match, so no range or prefix join is needed."""
     each = nodes.withColumn("ancestor", F.explode(ancestor_paths(F.col(path))))
     top = tops.select(F.col(doc), F.col(path).alias("ancestor")).distinct()
-    return join_unique(each, top, [doc, "ancestor"], "left_semi")
+    return skew_join(each, top, [doc, "ancestor"], "left_semi")
 
 
 def ancestor_axis(nodes: DataFrame, doc: str, path: str, of: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def nearest_binding(nodes: DataFrame, decls: DataFrame, doc: str = "doc_id", pat
     """The value declared by the nearest ancestor-or-self; an empty text undeclares."""
     each = nodes.select(doc, path, F.explode(F.concat(F.coalesce(ancestor_paths(F.col(path)), F.array().cast("array<string>")),
                                                       F.array(F.col(path)))).alias("_at"))
-    near = (join_unique(each, decls.select(doc, F.col(path).alias("_at"), value), [doc, "_at"])
+    near = (skew_join(each, decls.select(doc, F.col(path).alias("_at"), value), [doc, "_at"])
             .groupBy(doc, path).agg(F.max_by(value, F.length("_at")).alias("binding")))
-    return join_unique(nodes, near, [doc, path], "left").withColumn("binding", F.nullif(F.col("binding"), F.lit("")))
+    return skew_join(nodes, near, [doc, path], "left").withColumn("binding", F.nullif(F.col("binding"), F.lit("")))
 
 
 def binding_as_of(df: DataFrame, keys: Sequence[str], order: str, column: str, out: str = "binding",

@@ -135,9 +135,9 @@ def plausible_name(name: Column, names: Sequence[str]) -> Column:
 
 def did_you_mean(df: DataFrame, name: str, dictionary: Sequence[str], out: str = "suggestion") -> DataFrame:
     """Suggest a declared name for each row; distinct names are scored once."""
-    from plumbline.plans.skew import join_unique
+    from plumbline.plans.skew import skew_join
     scored = df.select(name).distinct().withColumn(out, plausible_name(F.col(name), dictionary))
-    return join_unique(df, scored, [name], "left")
+    return skew_join(df, scored, [name], "left")
 
 
 def rename_fields(df: DataFrame, declared: Sequence[str], keep_unknown: bool = False) -> DataFrame:

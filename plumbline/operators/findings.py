@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
-from plumbline.plans.skew import join_unique, top_n_per_group
+from plumbline.plans.skew import top_n_per_group
 
 FIX = "struct<title:string,value:string,speculative:boolean>"
 SCHEMA = T.StructType.fromDDL(
@@ -59,7 +59,8 @@ def counts_by_file(findings: DataFrame, docs: DataFrame, key: str) -> DataFrame:
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"))
     keyed = docs.select(key).distinct().withColumn("_k", F.col(key).cast("string"))
-    return join_unique(keyed, per, ["_k"], "left").select(
+    # one row per document on both sides
+    return keyed.join(per, "_k", "left").select(
         key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("errors", "warnings")])
 
 
@@ -67,7 +68,7 @@ def verdict(findings: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """A document is valid when it has no finding of severity error."""
     bad = findings.where(F.col("severity") == "error").select(F.col("doc_key").alias("_k")).distinct()
     keyed = docs.select(key).distinct().withColumn("_k", F.col(key).cast("string"))
-    marked = join_unique(keyed, bad.withColumn("_bad", F.lit(True)), ["_k"], "left")
+    marked = keyed.join(bad.withColumn("_bad", F.lit(True)), "_k", "left")
     return marked.select(key, F.col("_bad").isNull().alias("valid"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.findings import finding, key_text
-from plumbline.plans.skew import join_unique
+from plumbline.plans.skew import skew_join
 
 
 def _present(cols: Sequence[str]) -> Column:
@@ -23,7 +23,7 @@ def duplicate_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def unique(df: DataFrame, cols: Sequence[str], row_key: Sequence[str] | None = None, code: str = "cvc-identity-constraint.4.1") -> DataFrame:
     """Every row whose key another row also has."""
-    rows = join_unique(df, duplicate_keys(df, cols), cols)
+    rows = skew_join(df, duplicate_keys(df, cols), cols)
     return rows.select(*finding(source="schema", severity="error", code=code, row_key=key_text(*(row_key or cols)), anchor="element",
                                 column=",".join(cols), message=F.concat(F.col("rows").cast("string"), F.lit(" rows share this key"))))
 
@@ -46,7 +46,7 @@ def dangling(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFra
     wanted = child.where(_present(refs)).select(*refs).distinct()
     known = parent.select(*[F.col(p).alias(c) for c, p in on.items()])
     bad = wanted.join(known, refs, "left_anti")
-    return join_unique(child, bad, refs, "left_semi")
+    return skew_join(child, bad, refs, "left_semi")
 
 
 def keyref(child: DataFrame, parent: DataFrame, on: dict[str, str], row_key: Sequence[str]) -> DataFrame:
@@ -75,7 +75,7 @@ def lookup_rule(df: DataFrame, tables: dict[str, DataFrame], side: str, on: dict
     right = tables[side]
     names = list(on)
     boxed = right.select(*[F.col(p).alias(c) for c, p in on.items()], F.struct(*right.columns).alias(side))
-    rows = join_unique(df, boxed, names, "left").where(~F.coalesce(F.expr(test), F.lit(False)))
+    rows = skew_join(df, boxed, names, "left").where(~F.coalesce(F.expr(test), F.lit(False)))
     return rows.select(*finding(source="rules", severity="error", code="assert", row_key=key_text(*row_key), anchor="element", message=message, technical=test))
 
 
@@ -101,14 +101,14 @@ def dangling_refs(refs: DataFrame, defs: DataFrame, external: Sequence[str] = ()
 def duplicate_defs(defs: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Definitions of a name already defined, each naming the first one. `order` is unique."""
     firsts = defs.groupBy(*keys).agg(F.min(order).alias("first_defined"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return join_unique(defs, firsts, keys).where(F.col(order) > F.col("first_defined"))
+    return skew_join(defs, firsts, keys).where(F.col(order) > F.col("first_defined"))
 
 
 def references_to(refs: DataFrame, defs: DataFrame, on: dict[str, str], out: str = "uses") -> DataFrame:
     """How often each definition is used, zero included; counted before joining."""
     names = list(on)
     counts = refs.groupBy(*[F.col(r).alias(d) for d, r in on.items()]).agg(F.count(F.lit(1)).alias(out))
-    return join_unique(defs, counts, names, "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
+    return defs.join(counts, names, "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
 def overlay(base: DataFrame, own: DataFrame, key: str, prohibited: str | None = None) -> DataFrame:

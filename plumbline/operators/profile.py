@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import lexical as L
 from plumbline.functions.text import humanise
 from plumbline.plans.ordered import neighbours
-from plumbline.plans.skew import join_unique, top_n_per_group
+from plumbline.plans.skew import skew_join, top_n_per_group
 
 ENUM_LIMIT = 8   # fixed value: most distinct values of an enumeration
 VALUE_CAP = 64   # fixed value: values kept as examples per name

@@ -13,7 +13,7 @@ from plumbline.functions.types import SimpleType, problems
 from plumbline.operators.check import plausible_name
 from plumbline.operators.findings import finding, key_text
 from plumbline.plans.ordered import row_numbers
-from plumbline.plans.skew import join_unique
+from plumbline.plans.skew import skew_join
 
 
 def required_fields(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def field_status(df: DataFrame, spec: dict[str, dict], key: Sequence[str]) -> Da
 
 def empty_content(parents: DataFrame, children: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Parents declared empty that have children. The child side is reduced to its keys first."""
-    rows = join_unique(parents, children.select(*keys).distinct(), keys, "left_semi")
+    rows = parents.join(children.select(*keys).distinct(), list(keys), "left_semi")
     return rows.select(*finding(source="schema", severity="error", code="cvc-complex-type.2.1", row_key=key_text(*keys),
                                 anchor="element", message="nothing may be inside this record"))
 
@@ -191,7 +191,7 @@ def unordered_members(parents: DataFrame, children: DataFrame, keys: Sequence[st
     unknown = children.where(stranger & ~admitted).select(*row("cvc-complex-type.2.4.d", F.concat(F.col(name), F.lit(" is not allowed here"))))
     counts = children.where(~stranger).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
     over = counts.where(F.col("_n") > bound(F.col(name))["max"]).select(*keys, name)
-    surplus = row_numbers(join_unique(children, over, [*keys, name], "left_semi"), [*keys, name], order, "_rn")
+    surplus = row_numbers(skew_join(children, over, [*keys, name], "left_semi"), [*keys, name], order, "_rn")
     surplus = surplus.where(F.col("_rn") > bound(F.col(name))["max"]).select(
         *row("cvc-complex-type.2.4.b", F.concat(F.lit("at most "), bound(F.col(name))["max"].cast("string"), F.lit(" of "), F.col(name))))
     lacking = cardinality(parents, children, keys, name, spec).where("state = 'too few'").select(*finding(
@@ -210,7 +210,7 @@ def open_content(children: DataFrame, keys: Sequence[str], order: str, matches:
     if mode != "suffix":
         raise ValueError("mode is interleave or suffix")
     last = children.where(~hit).groupBy(*keys).agg(F.max(order).alias("_last"))
-    return join_unique(children, last, keys).where(F.col(order) <= F.col("_last")).drop("_last")
+    return skew_join(children, last, keys).where(F.col(order) <= F.col("_last")).drop("_last")
 
 
 def namespace_allowed(col: Column, constraint: str | Sequence[str | None], target: str | None = None) -> Column:
@@ -225,7 +225,7 @@ def namespace_allowed(col: Column, constraint: str | Sequence[str | None], targe
 def missing_count(parents: DataFrame, fields: Sequence[str], missing_children: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Required fields absent plus required children absent (`missing_children`: keys, missing)."""
     own = reduce(lambda a, b: a + b, [F.col(f).isNull().cast("long") for f in fields], F.lit(0).cast("long"))
-    out = join_unique(parents.select(*keys, own.alias("_own")), missing_children.select(*keys, "missing"), keys, "left")
+    out = parents.select(*keys, own.alias("_own")).join(missing_children.select(*keys, "missing"), list(keys), "left")
     return out.select(*keys, (F.col("_own") + F.coalesce("missing", F.lit(0))).alias("missing"))
 
 

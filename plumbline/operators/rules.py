@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import squeeze
 from plumbline.operators.findings import FIX, SCHEMA, finding, key_text, severity, union_findings
-from plumbline.plans.skew import join_unique
 
 
 @dataclass(frozen=True)
@@ -317,7 +316,7 @@ def group_assert(parents: DataFrame, children: DataFrame, keys: Sequence[str], a
     aggregated before the join; a parent without children sees NULL aggregates, and then the test
     counts as false unless it says otherwise."""
     per = children.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    rows = join_unique(parents, per, keys, "left")
+    rows = parents.join(per, list(keys), "left")  # a parent key is one row on both sides
     scope = _Scope(rows)
     text = render_message(message, {}, scope)
     return rows.where(~F.coalesce(F.expr(tolerant(test)), F.lit(False))).select(*finding(

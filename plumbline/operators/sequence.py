@@ -19,7 +19,7 @@ from plumbline.functions.model import Model
 from plumbline.functions.repairs import PER_EDIT, Repairer, alive_before, chunk_map, trace
 from plumbline.operators.findings import finding, key_text
 from plumbline.plans.ordered import CHUNK, with_chunks, row_numbers
-from plumbline.plans.skew import join_unique
+from plumbline.plans.skew import skew_join
 
 OP = "struct<kind:string,index:long,name:string,existing:string>"
 
@@ -244,7 +244,7 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
 
         failing = g.chunks.where(~model.is_accepting(g._fold(F.col("_cls"))))
         shapes = failing.select("_cls").distinct().withColumn("_plan", solve("_cls"))
-        out = join_unique(failing, shapes, ["_cls"])
+        out = skew_join(failing, shapes, ["_cls"])
         out = out.select(*g.keys, F.col("_plan.cost").alias("cost"), F.col("_plan.edits").alias("_edits"), "_syms", "_ords")
         return out.withColumn("edits", F.transform("_edits", lambda e: F.struct(
             e["kind"].alias("kind"), e["index"].alias("index"),
@@ -386,7 +386,7 @@ def fill_missing_children(g: Groups, values: dict[str, Column]) -> DataFrame:
     """
     need = missing_to_complete(g).where(F.size("missing") > 0)
     last = g.df.groupBy(*g.keys).agg(F.max(g.order).alias("_max"))
-    new = join_unique(need, last, g.keys).select(*g.keys, "_max", F.posexplode("missing").alias("_p", "symbol"))
+    new = need.join(last, g.keys).select(*g.keys, "_max", F.posexplode("missing").alias("_p", "symbol"))
     new = new.withColumn("_i", F.col("_p") + 1)
     types = {f.name: f.dataType for f in g.df.schema.fields}
     cols = []

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
 from plumbline.plans.ordered import CHUNK, row_numbers, with_chunks
-from plumbline.plans.skew import join_unique
+from plumbline.plans.skew import skew_join
 
 NODE = ("struct<position:array<int>,path:string,parent_path:string,name:string,ordinal:int,depth:int,"
         "value:string,attrs:map<string,string>>")
@@ -104,7 +104,7 @@ def outline(df: DataFrame, parent: Sequence[str], name: str, order: str, has_chi
     rows = df.where(~(F.col(name).isNull() & (F.trim(F.col(text)) == ""))) if text else df
     numbered = row_numbers(rows, [*parent, name], order, "ordinal", chunk_rows)
     sizes = rows.groupBy(*parent, name).agg(F.count(F.lit(1)).alias("siblings"))
-    out = join_unique(numbered, sizes, [*parent, name])
+    out = skew_join(numbered, sizes, [*parent, name])
     return out.withColumn("has_children", has_children) if has_children is not None else out
 
 

@@ -92,21 +92,21 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, column: str,
     boxed = F.struct(F.col(column).alias("v"))
     out = chunked if cut else df
     if previous:
-        out = out.withColumn("_p", F.lag(boxed).over(win))
+        out = out.withColumn("__n_p", F.lag(boxed).over(win))
     if following:
-        out = out.withColumn("_f", F.lead(boxed).over(win))
+        out = out.withColumn("__n_f", F.lead(boxed).over(win))
     if cut:
         ends = chunked.groupBy(*parts).agg(F.min_by(boxed, order).alias("_first"), F.max_by(boxed, order).alias("_last"))
-        ends = ends.select(*parts, F.lag("_last").over(_chunk_window(keys)).alias("_pe"),
-                           F.lead("_first").over(_chunk_window(keys)).alias("_fe"))
+        ends = ends.select(*parts, F.lag("_last").over(_chunk_window(keys)).alias("__n_pe"),
+                           F.lead("_first").over(_chunk_window(keys)).alias("__n_fe"))
         out = out.join(ends, parts)
     else:
-        out = out.withColumn("_pe", F.lit(None)).withColumn("_fe", F.lit(None))
+        out = out.withColumn("__n_pe", F.lit(None)).withColumn("__n_fe", F.lit(None))
     if previous:
-        out = out.withColumn(previous, F.coalesce("_p", "_pe")["v"] if cut else F.col("_p.v")).drop("_p")
+        out = out.withColumn(previous, F.coalesce("__n_p", "__n_pe")["v"] if cut else F.col("__n_p.v")).drop("__n_p")
     if following:
-        out = out.withColumn(following, F.coalesce("_f", "_fe")["v"] if cut else F.col("_f.v")).drop("_f")
-    return out.drop("_pe", "_fe", CHUNK)
+        out = out.withColumn(following, F.coalesce("__n_f", "__n_fe")["v"] if cut else F.col("__n_f.v")).drop("__n_f")
+    return out.drop("__n_pe", "__n_fe", CHUNK)
 
 
 def running_last(df: DataFrame, keys: Sequence[str], order: str, column: str, name: str,

@@ -41,33 +41,39 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], k: int = HEAVY_KEYS) -> DataF
     )
 
 
-def join_unique(facts: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner",
-                k: int = HEAVY_KEYS, split: bool | None = None) -> DataFrame:
-    """Join rows of any skew to a side holding at most one row per key.
+def salt(df: DataFrame, salts: int = SALTS) -> Column:
+    """A salt that depends on the row only, so a recomputed task deals the rows the same way."""
+    plain = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()
+             and "variant" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+
+
+def skew_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner",
+              k: int = HEAVY_KEYS, salts: int = SALTS, salted: bool | None = None) -> DataFrame:
+    """Equi-join in which no key value of `facts` can make one task the bottleneck.
 
     A side below the session's broadcast threshold is left to Spark, which broadcasts it after the
-    same check. Otherwise the k heaviest fact keys are joined map-side against their (at most k)
-    side rows, and only the remaining keys, none of which can be hot, are shuffled.
+    same check. Otherwise the rows of the k heaviest fact keys are dealt over `salts` buckets and
+    their (few) side rows are copied to each bucket; every other key joins as it is. Rows without a
+    key match nothing and are dealt over the buckets too. Either input is planned once.
     `how` is one of inner, left, left_semi, left_anti.
     """
     keys = list(keys)
-    if split is None:
+    if salted is None:
         size = planned_bytes(side)
-        split = size is None or size > broadcast_limit(side)
-    if not split:
+        salted = size is None or size > broadcast_limit(side)
+    if not salted:
         return facts.join(side, keys, how)
-    heavy = F.broadcast(heavy_keys(facts, keys, k))
-    hot_side = F.broadcast(side.join(heavy, keys, "left_semi"))
-    hot = facts.join(heavy, keys, "left_semi").join(hot_side, keys, how)
-    cold = facts.join(heavy, keys, "left_anti").join(side, keys, how)
-    return hot.unionByName(cold)
-
-
-def salt(df: DataFrame, salts: int = SALTS) -> Column:
-    """A salt that depends on the row only, so a recomputed task deals the rows the same way."""
-    plain = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()
-             and "variant" not in f.dataType.simpleString()]
-    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+    heavy = F.broadcast(heavy_keys(facts, keys, k).withColumn("_hot", F.lit(True)))
+    absent = F.lit(False)
+    for key in keys:
+        absent = absent | F.col(key).isNull()
+    spread = F.col("_hot").isNotNull() | absent
+    dealt = facts.withColumn("_bucket", salt(facts, salts)).join(heavy, keys, "left")
+    dealt = dealt.withColumn("_salt", F.when(spread, F.col("_bucket")).otherwise(F.lit(0))).drop("_hot", "_bucket")
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = side.join(heavy, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

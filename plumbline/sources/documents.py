@@ -91,7 +91,7 @@ def read_xsd_gated(spark: SparkSession, path: str, row_tag: str, schema: str | T
 
 def to_xml_col(record: str | Column, row_tag: str = "record") -> Column:
     """A struct as XML text, escaped by Spark's writer."""
-    return F.to_xml(F.col(record) if isinstance(record, str) else record, {"rowTag": row_tag, "indent": ""})
+    return F.rtrim(F.to_xml(F.col(record) if isinstance(record, str) else record, {"rowTag": row_tag, "indent": ""}), F.lit("\n"))
 
 
 def write_documents(df: DataFrame, path: str, root_tag: str = "documents", row_tag: str = "record", mode: str = "error") -> None:

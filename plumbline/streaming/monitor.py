@@ -13,7 +13,7 @@ from pyspark.sql import functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions.model import Model
-from plumbline.plans.skew import join_unique
+from plumbline.plans.skew import skew_join
 
 
 def event_time(df: DataFrame, col: str) -> DataFrame:
@@ -42,7 +42,7 @@ def latest_revision(df: DataFrame, keys: Sequence[str], revision: str) -> DataFr
 def mark_stale(results: DataFrame, revisions: DataFrame, keys: Sequence[str], revision: str) -> DataFrame:
     """Results stay, flagged where a newer revision of their own document exists."""
     newest = revisions.groupBy(*keys).agg(F.max(revision).alias("_latest"))
-    out = join_unique(results, newest, keys, "left")
+    out = skew_join(results, newest, keys, "left")
     return out.withColumn("stale", F.coalesce(F.col(revision) < F.col("_latest"), F.lit(False))).drop("_latest")
 
 
