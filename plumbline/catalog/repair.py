@@ -49,7 +49,7 @@ def enumeration(spark, sf):
 
 
 @query("C4_pattern_fixes", with_base("part_text") + """
-select p_partkey, brand, case when starts_with(brand, 'b') then upper(brand) || '?' when contains(brand, '-') then case when regexp_full_match(upper(brand), 'B[A-Za-z]*#[0-9]+') then '' else '' end || replace(brand, '-', '') || '?' end || ',Brand#1?' as fixes
+select p_partkey, brand, case when starts_with(brand, 'b') then upper(brand) || '?' when contains(brand, '-') then replace(brand, '-', '') || '?' end || case when brand = 'Brand-#1' then '' else ',Brand#1?' end as fixes
 from part_text where starts_with(brand, 'b') or contains(brand, '-')""")
 def pattern(spark, sf):
     t = Y.builtin("string", pattern=[r"B[A-Za-z]*#\d+"])
@@ -170,8 +170,7 @@ def checkers(spark, sf):
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query("F3_table_transform", "select doc_id, lang, row_number() over (partition by lang order by doc_id) as ordinal from documents")
+@query("F3_table_transform", "select doc_id, source, lang, row_number() over (partition by source, lang order by doc_id) as ordinal from documents")
 def transform(spark, sf):
     from plumbline.operators.shred import outline
-    return table(spark, sf, "documents").transform(outline, ["source"], "lang", "doc_id").transform(
-        lambda d: outline(d.drop("ordinal", "siblings").withColumn("all", F.lit(0)), ["all"], "lang", "doc_id")).select("doc_id", "lang", "ordinal")
+    return table(spark, sf, "documents").transform(outline, ["source"], "lang", "doc_id").select("doc_id", "source", "lang", "ordinal")

@@ -60,6 +60,27 @@ def route(spark, sf):
     return D.route_by_root(pages.unionByName(docs), "content", {"html": "page", "schema": "spec", "rules": "rules"}).select("page_id", "root", "kind")
 
 
+XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="order"><xs:complexType><xs:sequence>
+<xs:element name="order_id" type="xs:long"/><xs:element name="status"><xs:simpleType><xs:restriction base="xs:string"><xs:enumeration value="O"/><xs:enumeration value="F"/></xs:restriction></xs:simpleType></xs:element>
+<xs:element name="line" minOccurs="0" maxOccurs="2"><xs:complexType><xs:sequence><xs:element name="sku" type="xs:string"/><xs:element name="qty" type="xs:nonNegativeInteger"/></xs:sequence></xs:complexType></xs:element>
+</xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+@query("S4_read_xsd_gated", "select o_orderstatus in ('O', 'F') and o_custkey % 4 <= 2 as valid, count(*) as documents from orders group by 1")
+def gated(spark, sf):
+    """Orders written as XML files and read back through an XML schema."""
+    import os
+    import tempfile
+    from plumbline.streaming.monitor import run_dir
+    path = os.path.join(run_dir(spark, "xml"), "orders")
+    D.write_documents(nested_orders(spark, sf).select("order.*"), path, "orders", "order")
+    schema_file = tempfile.NamedTemporaryFile("w", suffix=".xsd", delete=False)  # a spec; shipped with the job
+    with schema_file:
+        schema_file.write(XSD)
+    read = D.read_xsd_gated(spark, path, "order", ORDER, schema_file.name)
+    return read.groupBy("valid").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query("S5_to_xml", LINES + """
 select o_orderkey as k, '<order><order_id>' || o_orderkey || '</order_id><status>' || o_orderstatus || '</status>' || coalesce(x, '') || '</order>' as content from orders left join (
   select k, string_agg('<line><sku>' || sku || '</sku><qty>' || qty || '</qty></line>', '' order by i) as x from l group by 1) on k = o_orderkey""")

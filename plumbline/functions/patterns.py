@@ -18,9 +18,30 @@ ESCAPES = {
 }
 
 
-@lru_cache(maxsize=4096)
 def translate(pattern: str) -> str | None:
     """The anchored JVM pattern, or None when the spelling cannot be read (it then rejects nothing)."""
+    text = _rewrite(pattern)
+    session = SparkSession.getActiveSession()
+    if text is not None and session is not None and hasattr(session, "_jvm") and not _compiles(session, text):
+        return None
+    return None if text is None else rf"\A(?:{text})\z"
+
+
+_checked: dict[str, bool] = {}
+
+
+def _compiles(session: SparkSession, text: str) -> bool:
+    if text not in _checked:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(text)
+            _checked[text] = True
+        except Exception:
+            _checked[text] = False
+    return _checked[text]
+
+
+@lru_cache(maxsize=4096)
+def _rewrite(pattern: str) -> str | None:
     out, depth, i = [], 0, 0
     while i < len(pattern):
         ch = pattern[i]
@@ -59,11 +80,4 @@ def translate(pattern: str) -> str | None:
         i += 1
     if depth:
         return None
-    text = "".join(out)
-    session = SparkSession.getActiveSession()
-    if session is not None and hasattr(session, "_jvm"):
-        try:
-            session._jvm.java.util.regex.Pattern.compile(text)
-        except Exception:
-            return None
-    return rf"\A(?:{text})\z"
+    return "".join(out)

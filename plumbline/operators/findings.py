@@ -11,12 +11,11 @@ from pyspark.sql import functions as F, types as T
 from plumbline.plans.skew import top_n_per_group
 
 FIX = "struct<title:string,value:string,speculative:boolean>"
-SCHEMA = T.StructType.fromDDL(
-    "source string, severity string, code string, doc_key string, row_key string, ordinal long, "
-    "anchor string, column string, message string, technical string, "
-    "pattern_id string, rule_id string, assertion_id string, "
-    f"fixes array<{FIX}>"
-)
+_TEXT = "source severity code doc_key row_key ordinal anchor column message technical pattern_id rule_id assertion_id".split()
+SCHEMA = T.StructType(
+    [T.StructField(n, T.LongType() if n == "ordinal" else T.StringType()) for n in _TEXT]
+    + [T.StructField("fixes", T.ArrayType(T.StructType([
+        T.StructField("title", T.StringType()), T.StructField("value", T.StringType()), T.StructField("speculative", T.BooleanType())])))])
 SOURCES = ("well-formedness", "schema", "engine", "rules", "schema-health")
 ANCHORS = ("element", "attribute", "text", "childGap")
 

@@ -243,7 +243,8 @@ def evaluate(df: DataFrame, ruleset: RuleSet, key: Sequence[str], doc: str | Non
         c["message"].alias("message"),
         F.array(*[F.struct(h.alias("title"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("speculative")) for h in c["hints"]]
                 ).cast(f"array<{FIX}>").alias("hints"))) for c in live]))
-    out = rows.where(reduce(lambda a, b: a | b, map(hit, live))).select("*", F.explode(outcome).alias("_f"))
+    # built in a projection of its own: SQL functions may not stand inside a generator
+    out = rows.where(reduce(lambda a, b: a | b, map(hit, live))).withColumn("_o", outcome).select("*", F.explode("_o").alias("_f"))
     return out.select(*finding(
         source="rules", severity=severity(F.coalesce("_f.role", F.lit(""))), code=F.col("_f.kind"), row_key=key_text(*key),
         doc_key=key_text(doc) if doc else None, ordinal=F.col(order) if order else None, anchor="element",
