@@ -190,11 +190,9 @@ def delta(spark, sf):
 select doc_key, row_key from (select l_suppkey as doc_key, l_orderkey || '|' || l_linenumber || '|' || l_partkey as row_key, row_number() over (partition by l_suppkey order by l_orderkey, l_orderkey || '|' || l_linenumber || '|' || l_partkey) as rn from lineitem where l_quantity > 20)
 where rn <= 50""")
 def limited(spark, sf):
-    found = C.check_column(table(spark, sf, "lineitem"), "l_quantity", Y.builtin("double", max_inclusive="20"), ["l_orderkey", "l_linenumber", "l_partkey"])
-    keyed = found.withColumn("ordinal", F.substring_index("row_key", "|", 1).cast("long"))
-    supplier = table(spark, sf, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey").alias("row_key"), F.col("l_suppkey").alias("doc_key"))
-    rows = keyed.drop("doc_key").join(supplier, "row_key")
-    return N.limit_per_document(rows, 50).select("doc_key", "row_key")
+    found = C.check_column(table(spark, sf, "lineitem"), "l_quantity", Y.builtin("double", max_inclusive="20"), ["l_orderkey", "l_linenumber", "l_partkey"], "l_suppkey")
+    placed = found.withColumn("ordinal", F.substring_index("row_key", "|", 1).cast("long"))
+    return N.limit_per_document(placed, 50).select(F.col("doc_key").cast("long").alias("doc_key"), "row_key")
 
 
 @query("K4_top_repeated", "select event_type, count(*) as occurrences from events group by event_type having count(*) > 1 order by 2 desc, 1 limit 3")

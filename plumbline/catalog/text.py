@@ -67,9 +67,9 @@ def xpath(spark, sf):
     """Orders written as XML; every fourth is broken and must give NULL."""
     doc = F.concat(F.lit("<order id='"), F.col("o_orderkey").cast("string"), F.lit("'><status>"), F.col("o_orderstatus"), F.lit("</status><customer>"),
                    F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 4 == 1, "</client></order>").otherwise("</customer></order>"))
-    df = table(spark, sf, "orders").withColumn("doc", doc)
-    return df.select("o_orderkey", X.xpath_value(F.col("doc"), "/order/status").alias("status"), X.xpath_value(F.col("doc"), "/order[customer mod 2 = 0]", "boolean").alias("even"),
-                     F.size(X.xpath_value(F.col("doc"), "/order/*/text()", "nodes")).alias("parts"))
+    found = X.xpath_values(F.col("doc"), {"status": ("/order/status", "string"), "even": ("/order[customer mod 2 = 0]", "boolean"), "parts": ("/order/*/text()", "nodes")})
+    df = table(spark, sf, "orders").withColumn("doc", doc).select("o_orderkey", found.alias("x"))
+    return df.select("o_orderkey", "x.status", "x.even", F.size("x.parts").alias("parts"))
 
 
 @query("P9_text_preview", r"""

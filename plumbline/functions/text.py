@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The XML name classes (Basic Multilingual Plane) and the predefined entities.
+# The XML name classes (Basic Multilingual Plane) and the predefined entities, white space.
 NAME_START = (r":A-Z_a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{37D}\x{37F}-\x{1FFF}\x{200C}-\x{200D}"
               r"\x{2070}-\x{218F}\x{2C00}-\x{2FEF}\x{3001}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFFD}")
 NAME_EXTRA = r"\-.0-9\x{B7}\x{300}-\x{36F}\x{203F}-\x{2040}"
+WHITESPACE = " \t\n\x0b\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 ENTITIES = {"lt": "<", "gt": ">", "apos": "'", "quot": '"'}
 REFERENCE = r"(?:#x[0-9a-fA-F]+|#[0-9]+|[A-Za-z_:][A-Za-z0-9_.:\-]*)"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def strip(col: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(col, F.lit(WHITESPACE))
+
+
 def normalize_space(col: Column, mode: str = "collapse") -> Column:
     """preserve; replace (tab, LF, CR become spaces); collapse (also trim and squeeze)."""
     if mode == "preserve":
@@ -90,7 +101,7 @@ def valid_name(col: Column) -> Column:
 
 
 def text_preview(col: Column, limit: int = 48) -> Column:
-    text = F.regexp_replace(col, r"\A\s+|\s+\z", "")
+    text = strip(col)
     return (F.when(text == "", None)
             .when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text))
 
@@ -136,20 +147,27 @@ def well_formed(col: Column) -> Column:
     Spark's parser checks nesting and attributes but stops at the end of the first element, so the
     number of top-level elements is counted from the tags.
     """
-    parsed = F.from_xml(col, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     bare = F.regexp_replace(col, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^\[>]*(?:\[[^\]]*\])?\s*>", "")
-    bare = F.regexp_replace(bare, r"\A\s+|\s+\z", "")
-    tags = F.regexp_extract_all(bare, F.lit(r"""<(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>"""), F.lit(0))
+    bare = strip(bare)
     move = lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
-    walk = F.aggregate(
-        tags, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("tops")),
-        lambda acc, t: F.struct((acc["depth"] + move(t)).alias("depth"),
-                                (acc["tops"] + F.when(acc["depth"] == 0, 1).otherwise(0)).alias("tops")))
-    framed = bare.startswith("<") & bare.endswith(">")
-    return F.when(col.isNotNull(), framed & parsed["_bad"].isNull() & (walk["tops"] == 1) & (walk["depth"] == 0))
+
+    def one_root(text: Column) -> Column:
+        tags = F.regexp_extract_all(text, F.lit(r"""<(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>"""), F.lit(0))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("tops"))
+        walk = F.aggregate(tags, start, lambda acc, t: F.struct(
+            (acc["depth"] + move(t)).alias("depth"), (acc["tops"] + F.when(acc["depth"] == 0, 1).otherwise(0)).alias("tops")))
+        return text.startswith("<") & text.endswith(">") & (walk == F.struct(F.lit(0).alias("depth"), F.lit(1).alias("tops")))
+
+    parsed = F.from_xml(col, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(col.isNotNull(), let(bare, one_root) & parsed["_bad"].isNull())
 
 
 def xpath_value(col: Column, expr: str, kind: str = "string") -> Column:
     """XPath 1.0 over an XML text column; NULL instead of a failed job where the text is not XML."""
-    fn = {"string": F.xpath_string, "boolean": F.xpath_boolean, "number": F.xpath_number, "nodes": F.xpath}[kind]
-    return F.when(well_formed(col), fn(col, F.lit(expr)))
+    return xpath_values(col, {"v": (expr, kind)})["v"]
+
+
+def xpath_values(col: Column, wanted: dict[str, tuple[str, str]]) -> Column:
+    """Several expressions {name: (XPath, kind)} over one text as a struct, checked once."""
+    fn = {"string": F.xpath_string, "boolean": F.xpath_boolean, "number": F.xpath_number, "nodes": F.xpath}
+    return F.when(well_formed(col), F.struct(*[fn[kind](col, F.lit(expr)).alias(name) for name, (expr, kind) in wanted.items()]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import lexical as L
 from plumbline.functions.patterns import translate
-from plumbline.functions.text import normalize_space
+from plumbline.functions.text import let, normalize_space
 
 PROBLEM = "struct<code:string,message:string>"
 SPACE_RANK = {"preserve": 0, "replace": 1, "collapse": 2}
@@ -378,7 +378,7 @@ def is_valid(col: Column, t: SimpleType) -> Column:
         tidy = _verdict(col, t)  # no lexical form of these types has a space in it
     else:
         tidy = ~_untidy(col, t.white_space) & _verdict(col, t)
-    return F.when(col.isNotNull(), tidy | (_untidy(col, t.white_space) & L.let(normalize_space(col, t.white_space), lambda v: _verdict(v, t))))
+    return F.when(col.isNotNull(), tidy | (_untidy(col, t.white_space) & let(normalize_space(col, t.white_space), lambda v: _verdict(v, t))))
 
 
 def surely_valid(col: Column, t: SimpleType) -> Column:
@@ -394,7 +394,7 @@ def problems(col: Column, t: SimpleType) -> Column:
     """All problems of a value, as an array; a value outside the lexical space reports only that."""
     if t.white_space == "preserve":
         return problems_of_normal(col, t)
-    return L.let(normalize_space(col, t.white_space), lambda v: problems_of_normal(v, t))
+    return let(normalize_space(col, t.white_space), lambda v: problems_of_normal(v, t))
 
 
 def problems_of_normal(v: Column, t: SimpleType) -> Column:

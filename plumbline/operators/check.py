@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import normalize_space
+from plumbline.functions.text import let, normalize_space, strip
 from plumbline.functions.types import (SimpleType, fixed_value_broken, is_valid, problems_of_normal, starting_value,
                                       surely_valid)
 from plumbline.operators.findings import FIX, SCHEMA, finding, key_text
@@ -69,7 +69,7 @@ def spec_health(spark: SparkSession, health: Sequence[tuple[str, str, str]]) ->
 
 def fix_candidates(col: Column, t: SimpleType, sample: str | None = None, limit: int = 4) -> Column:
     """Ordered fixes, each checked against the type again, without repeats, four at most."""
-    trimmed = F.regexp_replace(col, r"\A\s+|\s+\z", "")
+    trimmed = strip(col)
     offer = lambda value, title, guess: F.struct(title.alias("title"), value.alias("value"), F.lit(guess).alias("speculative"))
     to = lambda value: F.concat(F.lit('Change to "'), value, F.lit('"'))
     out = [offer(trimmed, F.concat(F.lit('Trim to "'), trimmed, F.lit('"')), False)]
@@ -98,8 +98,8 @@ def fix_candidates(col: Column, t: SimpleType, sample: str | None = None, limit:
         out.append(offer(whole, F.lit("Drop the decimal part"), False))
     usable = F.filter(F.array(*out), lambda f: f["value"].isNotNull() & (f["value"] != col)
                       & F.coalesce(is_valid(f["value"], t), F.lit(False)))
-    first = F.filter(usable, lambda f, i: F.array_position(F.transform(usable, lambda g: g["value"]), f["value"]) == i + 1)
-    return F.slice(first, 1, limit).cast(f"array<{FIX}>")
+    first = lambda u: F.filter(u, lambda f, i: F.array_position(u["value"], f["value"]) == i + 1)
+    return F.slice(let(usable, first), 1, limit).cast(f"array<{FIX}>")
 
 
 def best_fix(col: Column, t: SimpleType, speculative: bool = False, sample: str | None = None) -> Column:
@@ -113,11 +113,13 @@ def best_fix(col: Column, t: SimpleType, speculative: bool = False, sample: str
 def apply_fixes(df: DataFrame, spec: dict[str, SimpleType], key: Sequence[str],
                 speculative: bool = False) -> tuple[DataFrame, DataFrame]:
     """(repaired table, audit of changes). Values no fix makes valid are left as they are."""
-    fixes = {c: best_fix(F.col(c), t, speculative) for c, t in spec.items()}
-    repaired = df.withColumns({c: F.coalesce(f["value"], F.col(c)) for c, f in fixes.items()})
+    place = {c: f"_fix{i}" for i, c in enumerate(spec)}
+    fixed = df.withColumns({place[c]: best_fix(F.col(c), t, speculative) for c, t in spec.items()})
+    fixes = {c: F.col(p) for c, p in place.items()}
+    repaired = fixed.withColumns({c: F.coalesce(f["value"], F.col(c)) for c, f in fixes.items()}).drop(*place.values())
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("old"), f["value"].alias("new"),
                               f["title"].alias("title"), f["speculative"].alias("speculative")) for c, f in fixes.items()])
-    audit = df.select(*key, F.explode(F.filter(rows, lambda r: r["new"].isNotNull())).alias("_r"))
+    audit = fixed.select(*key, F.explode(F.filter(rows, lambda r: r["new"].isNotNull())).alias("_r"))
     return repaired, audit.select(*key, "_r.*")
 
 
