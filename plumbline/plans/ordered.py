@@ -60,7 +60,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: str,
     fine = F.slice("_cuts", (F.col("_b") - 1) * step + 1, step)
     chunk = (F.when(F.col("_cuts").isNull() | (F.col("_b") == 0), F.lit(0))
              .otherwise((F.col("_b") - 1) * step + below(fine)))
-    return out.withColumn(CHUNK, chunk.cast("int")).drop("_cuts", "_b"), True
+    return out.select(*df.columns, chunk.cast("int").alias(CHUNK)), True
 
 
 def _chunk_window(keys: Sequence[str]) -> W:
@@ -78,8 +78,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str = "ord
     before = F.sum("_n").over(_chunk_window(keys).rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select(*keys, CHUNK, F.coalesce(before, F.lit(0)).alias("_before"))
     return (chunked.withColumn("_local", local).join(offsets, [*keys, CHUNK])
-            .withColumn(name, (F.col("_local") + F.col("_before")).cast("long"))
-            .drop("_local", "_before", CHUNK))
+            .select(*df.columns, (F.col("_local") + F.col("_before")).cast("long").alias(name)))
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, column: str,
@@ -106,7 +105,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, column: str,
         out = out.withColumn(previous, F.coalesce("__n_p", "__n_pe")["v"] if cut else F.col("__n_p.v")).drop("__n_p")
     if following:
         out = out.withColumn(following, F.coalesce("__n_f", "__n_fe")["v"] if cut else F.col("__n_f.v")).drop("__n_f")
-    return out.drop("__n_pe", "__n_fe", CHUNK)
+    return out.select(*df.columns, *[n for n in (previous, following) if n])
 
 
 def running_last(df: DataFrame, keys: Sequence[str], order: str, column: str, name: str,
@@ -122,8 +121,7 @@ def running_last(df: DataFrame, keys: Sequence[str], order: str, column: str, na
     carry = F.last("_v", ignorenulls=True).over(_chunk_window(keys).rowsBetween(W.unboundedPreceding, -1))
     lasts = lasts.select(*parts, carry.alias("_carry"))
     return (chunked.join(lasts, parts)
-            .withColumn(name, F.coalesce(F.last(column, ignorenulls=True).over(upto(parts)), F.col("_carry")))
-            .drop("_carry", CHUNK))
+            .select(*df.columns, F.coalesce(F.last(column, ignorenulls=True).over(upto(parts)), F.col("_carry")).alias(name)))
 
 
 def positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
@@ -140,4 +138,4 @@ def positions(df: DataFrame, order: Sequence[str], name: str = "position") -> Da
     # one row per partition of the sort
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     out = ordered.withColumn("_part", F.shiftright("_ix", 33)).join(F.broadcast(before.drop("_n")), "_part")
-    return out.withColumn(name, (local + F.col("_before") + 1).cast("long")).drop("_ix", "_part", "_before")
+    return out.select(*df.columns, (local + F.col("_before") + 1).cast("long").alias(name))
