@@ -397,6 +397,17 @@ def problems(col: Column, t: SimpleType) -> Column:
     return let(normalize_space(col, t.white_space), lambda v: problems_of_normal(v, t))
 
 
+def problem_rows(v: Column, t: SimpleType) -> list[tuple[str, Column, Column]]:
+    """(code, broken, message) for each way a normalised value can fail; not for list types."""
+    if t.variety == "union":
+        return [("cvc-datatype-valid.1.2.3", ~_any_member(v, t), F.concat(_quoted(v), F.lit(f" is not {t.doc}"))), *_facets(v, t)]
+    if not t.primitive:
+        return _facets(v, t)
+    lexical = L.is_lexical(v, t.primitive)
+    outside = ("cvc-datatype-valid.1.2.1", ~lexical, F.concat(_quoted(v), F.lit(f" is not {t.doc}")))
+    return [outside, *[(code, lexical & broken, message) for code, broken, message in _facets(v, t)]]
+
+
 def problems_of_normal(v: Column, t: SimpleType) -> Column:
     """The same for a value whose whitespace is already handled."""
     empty = F.array().cast(f"array<{PROBLEM}>")
@@ -409,15 +420,8 @@ def problems_of_normal(v: Column, t: SimpleType) -> Column:
         inner = F.flatten(F.transform(items, lambda x: F.transform(problems_of_normal(x, t.item), lambda p: F.struct(
             p["code"].alias("code"), F.concat(F.lit("item "), x, F.lit(": "), p["message"]).alias("message")))))
         out = F.concat(listed(_facets(v, t, F.size(items))), inner.cast(f"array<{PROBLEM}>"))
-    elif t.variety == "union":
-        none = ("cvc-datatype-valid.1.2.3", ~_any_member(v, t), F.concat(_quoted(v), F.lit(f" is not {t.doc}")))
-        out = listed([none, *_facets(v, t)])
     else:
-        out = listed(_facets(v, t))
-        if t.primitive:
-            bad = F.array(F.struct(F.lit("cvc-datatype-valid.1.2.1").alias("code"),
-                                   F.concat(_quoted(v), F.lit(f" is not {t.doc}")).alias("message"))).cast(f"array<{PROBLEM}>")
-            out = F.when(L.is_lexical(v, t.primitive), out).otherwise(bad)
+        out = listed(problem_rows(v, t))
     return F.when(v.isNotNull(), out).otherwise(empty)
 
 

@@ -237,14 +237,14 @@ def evaluate(df: DataFrame, ruleset: RuleSet, key: Sequence[str], doc: str | Non
         return problems_of(df, ruleset, phase).where("code <> code")
     fires = lambda c: (F.col(f"_c{c['px']}") == c["rx"]) & c["fails"]
     hit = lambda c: F.coalesce(fires(c), F.lit(False))
-    outcome = F.array_compact(F.array(*[F.when(hit(c), F.struct(
+    outcome = F.array(*[F.when(hit(c), F.struct(
         F.lit(c["pattern"]).alias("pattern"), F.lit(c["rule"]).alias("rule"), F.lit(c["a"].id).cast("string").alias("assertion"),
         F.lit(c["a"].kind).alias("kind"), F.lit(c["a"].role).cast("string").alias("role"), F.lit(c["a"].test).alias("test"),
         c["message"].alias("message"),
         F.array(*[F.struct(h.alias("title"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("speculative")) for h in c["hints"]]
-                ).cast(f"array<{FIX}>").alias("hints"))) for c in live]))
+                ).cast(f"array<{FIX}>").alias("hints"))) for c in live])
     # built in a projection of its own: SQL functions may not stand inside a generator
-    out = rows.where(reduce(lambda a, b: a | b, map(hit, live))).withColumn("_o", outcome).select("*", F.explode("_o").alias("_f"))
+    out = rows.where(reduce(lambda a, b: a | b, map(hit, live))).withColumn("_o", outcome).select("*", F.explode("_o").alias("_f")).where("_f is not null")
     return out.select(*finding(
         source="rules", severity=severity(F.coalesce("_f.role", F.lit(""))), code=F.col("_f.kind"), row_key=key_text(*key),
         doc_key=key_text(doc) if doc else None, ordinal=F.col(order) if order else None, anchor="element",
