@@ -27,16 +27,16 @@ def check_table(df: DataFrame, spec: dict[str, SimpleType], key: Sequence[str],
     failing = reduce(lambda a, b: a | b, [~surely_valid(text[c], t) for c, t in spec.items()])
     tidy = {c: f"_v{i}" for i, c in enumerate(spec)}
     kept = df.where(failing).withColumns({tidy[c]: normalize_space(text[c], t.white_space) for c, t in spec.items()})
-    # one slot per possible problem, empty slots dropped after the explode: all of it generated code
+    # one slot per possible problem; empty slots go before the explode, so only real problems make rows
     slot = lambda c, code, message: F.struct(F.lit(c).alias("column"), F.struct(code.alias("code"), message.alias("message")).alias("p"))
     slots = [F.when(F.coalesce(broken, F.lit(False)), slot(c, F.lit(code), message))
              for c, t in spec.items() if t.variety != "list" for code, broken, message in problem_rows(F.col(tidy[c]), t)]
-    arrays = [F.array(*slots)] if slots else []
+    arrays = [F.array_compact(F.array(*slots))] if slots else []
     def of_list(c: str, t: SimpleType) -> Column:
         return F.transform(problems_of_normal(F.col(tidy[c]), t), lambda p: slot(c, p["code"], p["message"]))
     arrays += [of_list(c, t) for c, t in spec.items() if t.variety == "list"]
     every = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    rows = kept.select("*", F.explode(every).alias("_x")).where("_x is not null")
+    rows = kept.select("*", F.explode(every).alias("_x"))
     fix = F.lit(None)
     if fixes:
         for c, t in spec.items():
