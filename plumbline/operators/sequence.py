@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.model import Model
 from plumbline.functions.repairs import PER_EDIT, Repairer, alive_before, chunk_map, trace
 from plumbline.operators.findings import finding, key_text
-from plumbline.plans.ordered import CHUNK, with_chunks, row_numbers
+from plumbline.plans.ordered import CHUNK, match, row_numbers, with_chunks
 from plumbline.plans.skew import skew_join
 
 OP = "struct<kind:string,index:long,name:string,existing:string>"
@@ -104,7 +104,7 @@ class Groups:
         known = known.select(*self.keys, "_seen", F.explode(F.arrays_zip(F.col("_parts.chunk").alias("chunk"), F.col("_b").alias("b"))).alias("_z"))
         known = known.select(*self.keys, F.col("_z.chunk").alias(CHUNK), F.col("_z.b.entry").alias("_entry"), F.col("_z.b.alive").alias("_alive"),
                              F.col("_z.b.before").alias("_before"), F.col("_z.b.final").alias("_final"), "_seen", F.col("_z.b.last").alias("_last"))
-        return self.chunks.join(known, [*self.keys, CHUNK])
+        return match(self.chunks, known, [*self.keys, CHUNK])
 
 
 def sequence_valid(g: Groups) -> DataFrame:
@@ -253,10 +253,10 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
             F.get("_ords", e["index"].cast("int")).alias("at")))).select(*g.keys, "cost", "edits")
 
     broken = g.final_states().where(~model.is_accepting(F.col("state"))).select(*g.keys)
-    chunks = g.bounded_chunks().join(broken, g.keys, "left_semi")
+    chunks = match(g.bounded_chunks(), broken, g.keys, "left_semi")
     tail = F.lag(F.element_at("_cls", -1)).over(W.partitionBy(*g.keys).orderBy(CHUNK))
     ends = chunks.select(*g.keys, CHUNK, F.coalesce(tail, F.lit(-1)).alias("_prev"))
-    chunks = chunks.join(ends, [*g.keys, CHUNK])
+    chunks = match(chunks, ends, [*g.keys, CHUNK])
 
     @F.pandas_udf("array<array<long>>")
     def matrix(cls: pd.Series, prev: pd.Series) -> pd.Series:
@@ -281,7 +281,7 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
     steps = routes.where("cost is not null").select(*g.keys, F.posexplode("_chunks").alias("_i", CHUNK), "_st").select(
         *g.keys, CHUNK, F.get("_st", F.col("_i")).alias("_in"), F.get("_st", F.col("_i") + 1).alias("_out"))
     # a chunk whose own map leads from entry to exit needs no edit
-    work = chunks.join(steps, [*g.keys, CHUNK])
+    work = match(chunks, steps, [*g.keys, CHUNK])
     states = len(model.delta)
     plain = (F.col("_in") < states) & (F.aggregate("_cls", F.col("_in"), model.step) == F.col("_out"))
     work = work.where(~plain).withColumn("_e", edits("_cls", "_in", "_out", "_prev", "_before"))
@@ -295,14 +295,14 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
     heads = g.chunks.select(*g.keys, CHUNK, F.get("_syms", F.lit(0)).alias("_h"), F.get("_ords", F.lit(0)).alias("_hat"))
     nxt = heads.select(*g.keys, CHUNK, F.lead("_h").over(W.partitionBy(*g.keys).orderBy(CHUNK)).alias("_nh"),
                        F.lead("_hat").over(W.partitionBy(*g.keys).orderBy(CHUNK)).alias("_nat"))
-    work = work.join(nxt, [*g.keys, CHUNK])
+    work = match(work, nxt, [*g.keys, CHUNK])
     final = F.transform("_e", lambda e: F.struct(
         e["kind"].alias("kind"), e["index"].alias("index"),
         F.when(e["kind"] == "transpose", F.coalesce(e["_next"], F.col("_nh"))).otherwise(e["name"]).alias("name"),
         e["existing"].alias("existing"), F.coalesce(e["at"], F.col("_nat")).alias("at")))
     listed = (work.select(*g.keys, CHUNK, final.alias("_e")).groupBy(*g.keys)
               .agg(F.flatten(F.array_sort(F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), "_e")))["_e"]).alias("edits")))
-    return routes.select(*g.keys, "cost").join(listed, g.keys, "left")
+    return match(routes.select(*g.keys, "cost"), listed, g.keys, "left")
 
 
 def repair_plan(g: Groups, max_edits: int = 4) -> DataFrame:
@@ -386,7 +386,7 @@ def fill_missing_children(g: Groups, values: dict[str, Column]) -> DataFrame:
     """
     need = missing_to_complete(g).where(F.size("missing") > 0)
     last = g.df.groupBy(*g.keys).agg(F.max(g.order).alias("_max"))
-    new = need.join(last, g.keys).select(*g.keys, "_max", F.posexplode("missing").alias("_p", "symbol"))
+    new = match(need, last, g.keys).select(*g.keys, "_max", F.posexplode("missing").alias("_p", "symbol"))
     new = new.withColumn("_i", F.col("_p") + 1)
     types = {f.name: f.dataType for f in g.df.schema.fields}
     cols = []

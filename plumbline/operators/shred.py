@@ -104,7 +104,9 @@ def outline(df: DataFrame, parent: Sequence[str], name: str, order: str, has_chi
     rows = df.where(~(F.col(name).isNull() & (F.trim(F.col(text)) == ""))) if text else df
     numbered = row_numbers(rows, [*parent, name], order, "ordinal", chunk_rows)
     sizes = rows.groupBy(*parent, name).agg(F.count(F.lit(1)).alias("siblings"))
-    out = skew_join(numbered, sizes, [*parent, name])
+    out = skew_join(numbered, sizes, [*parent, name], "left")
+    single = F.col(name).isNull()  # a row without a name has no same-named siblings
+    out = out.withColumns({c: F.when(single, F.lit(1).cast("long")).otherwise(F.col(c)) for c in ("ordinal", "siblings")})
     return out.withColumn("has_children", has_children) if has_children is not None else out
 
 

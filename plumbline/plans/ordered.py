@@ -18,6 +18,15 @@ FRACTIONS = 4096
 CHUNK = "_chunk"
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys with NULL equal to NULL: rows without a key are a group like any other."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def _cut_points(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int) -> DataFrame | None:
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows)
     # at most total_rows / chunk_rows rows: small control data, never the table
@@ -32,7 +41,7 @@ def _cut_points(df: DataFrame, keys: Sequence[str], order: str, chunk_rows: int)
     )
     fractions = [i / FRACTIONS for i in range(1, FRACTIONS)]
     cuts = (
-        df.select(*keys, order).join(F.broadcast(hot), list(keys))
+        match(df.select(*keys, order), F.broadcast(hot), keys)
         .groupBy(*keys, "_n")
         .agg(F.percentile_approx(order, F.array(*[F.lit(f) for f in fractions]), F.lit(FRACTIONS * 10)).alias("_q"))
     )
@@ -55,7 +64,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: str,
     step = 64
     coarse = F.filter("_cuts", lambda c, i: i % step == 0)
     below = lambda arr: F.size(F.filter(arr, lambda c: c < F.col(order)))
-    out = df.join(F.broadcast(cuts), list(keys), "left")
+    out = match(df, F.broadcast(cuts), keys, "left")
     out = out.withColumn("_b", F.when(F.col("_cuts").isNotNull(), below(coarse)))
     fine = F.slice("_cuts", (F.col("_b") - 1) * step + 1, step)
     chunk = (F.when(F.col("_cuts").isNull() | (F.col("_b") == 0), F.lit(0))
@@ -77,7 +86,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: str, name: str = "ord
     counts = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(_chunk_window(keys).rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select(*keys, CHUNK, F.coalesce(before, F.lit(0)).alias("_before"))
-    return (chunked.withColumn("_local", local).join(offsets, [*keys, CHUNK])
+    return (match(chunked.withColumn("_local", local), offsets, [*keys, CHUNK])
             .select(*df.columns, (F.col("_local") + F.col("_before")).cast("long").alias(name)))
 
 
@@ -98,7 +107,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, column: str,
         ends = chunked.groupBy(*parts).agg(F.min_by(boxed, order).alias("_first"), F.max_by(boxed, order).alias("_last"))
         ends = ends.select(*parts, F.lag("_last").over(_chunk_window(keys)).alias("__n_pe"),
                            F.lead("_first").over(_chunk_window(keys)).alias("__n_fe"))
-        out = out.join(ends, parts)
+        out = match(out, ends, parts)
     else:
         out = out.withColumn("__n_pe", F.lit(None)).withColumn("__n_fe", F.lit(None))
     if previous:
@@ -120,7 +129,7 @@ def running_last(df: DataFrame, keys: Sequence[str], order: str, column: str, na
         F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_v"))
     carry = F.last("_v", ignorenulls=True).over(_chunk_window(keys).rowsBetween(W.unboundedPreceding, -1))
     lasts = lasts.select(*parts, carry.alias("_carry"))
-    return (chunked.join(lasts, parts)
+    return (match(chunked, lasts, parts)
             .select(*df.columns, F.coalesce(F.last(column, ignorenulls=True).over(upto(parts)), F.col("_carry")).alias(name)))
 
 

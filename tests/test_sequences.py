@@ -27,7 +27,8 @@ def words():
 
 @pytest.fixture(scope="module")
 def frame(spark, words):
-    return spark.createDataFrame([(k, i * 10, ch) for k, s in words.items() for i, ch in enumerate(s)], "k int, o int, s string").cache()
+    return spark.createDataFrame([(k, i * 10, ch) for k, s in words.items() for i, ch in enumerate(s)]
+                                 + [(None, i, ch) for i, ch in enumerate("abcbbcd")], "k int, o int, s string").cache()
 
 
 def groups(frame, rows=None):
@@ -36,7 +37,7 @@ def groups(frame, rows=None):
 
 def test_validity(frame, words):
     got = {r["k"]: r["valid"] for r in Q.sequence_valid(groups(frame)).collect()}
-    assert got == {k: bool(PATTERN.match(s)) for k, s in words.items()}
+    assert got == {None: False, **{k: bool(PATTERN.match(s)) for k, s in words.items()}}
 
 
 @pytest.mark.parametrize("operator", [Q.sequence_valid, Q.sequence_trace, Q.first_invalid, Q.missing_to_complete, Q.allowed_next, Q.allowed_at_gaps, Q.insertion_plan, Q.repair_cost])
