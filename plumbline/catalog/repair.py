@@ -118,7 +118,7 @@ ORDER_SPEC = {"status": {"type": STATUS, "required": True}, "total": {"type": Y.
 
 
 @query("G1_synthesise", """
-select o_orderkey, ['O', 'F', 'P'][cast(o_orderkey % 3 + 1 as integer)] as status, '10.50' as total, '2026-01-01' as day, 'AB1234' as code, null as note, '2.0' as version, 0 as problems from orders""")
+select o_orderkey, ['O', 'F', 'P'][cast(o_orderkey % 3 + 1 as integer)] as status, '10.50' as total, '2026-01-01' as day, 'AB1234' as code, cast(null as varchar) as note, '2.0' as version, 0 as problems from orders""")
 def synthesise(spark, sf):
     rows = G.synthesise(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", ORDER_SPEC)
     bad = None

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
-from plumbline.plans.skew import top_n_per_group
+from plumbline.plans.skew import skew_join, top_n_per_group
 
 FIX = "struct<title:string,value:string,speculative:boolean>"
 _TEXT = "source severity code doc_key row_key ordinal anchor column message technical pattern_id rule_id assertion_id".split()
@@ -117,5 +117,5 @@ def rollup_worst(findings: DataFrame, nodes: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_i") + 1 == F.col("_len"), F.col("rank"))).alias("here"),
         F.max(F.when(F.col("_i") + 1 < F.col("_len"), F.col("rank"))).alias("inside"))
     name = lambda c: F.when(F.col(c) == 2, "error").when(F.col(c) == 1, "warning").when(F.col(c) == 0, "info")
-    return nodes.select("path").join(worst, "path", "left").select(
+    return skew_join(nodes.select("path"), worst, ["path"], "left").select(
         "path", name("here").alias("here"), name("inside").alias("inside"))

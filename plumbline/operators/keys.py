@@ -44,7 +44,7 @@ def dangling(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFra
     """
     refs = list(on)
     wanted = child.where(_present(refs)).select(*refs).distinct()
-    known = parent.select(*[F.col(p).alias(c) for c, p in on.items()])
+    known = parent.select(*[F.col(p).alias(c) for c, p in on.items()]).distinct()
     bad = wanted.join(known, refs, "left_anti")
     return skew_join(child, bad, refs, "left_semi")
 

@@ -13,6 +13,7 @@ from plumbline.plans.skew import skew_join
 NODE = ("struct<position:array<int>,path:string,parent_path:string,name:string,ordinal:int,depth:int,"
         "value:string,attrs:map<string,string>>")
 ATTRIBUTE_PREFIX, TEXT_FIELD = "_", "_VALUE"
+MAX_COLUMNS = 10_000
 
 
 def _join(a: Column, b: Column) -> Column:
@@ -87,7 +88,10 @@ def largest_repeated_group(df: DataFrame, parent: Sequence[str], name: str, orde
 
 def column_names(cells: DataFrame, name: str) -> list[str]:
     """Names that become columns: a schema-sized list, collected to plan the table."""
-    return sorted(r[0] for r in cells.select(name).distinct().where(F.col(name).isNotNull()).collect())
+    names = [r[0] for r in cells.select(name).distinct().where(F.col(name).isNotNull()).limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} different names: these are values, not columns")
+    return sorted(names)
 
 
 def repeated_to_table(cells: DataFrame, row: Sequence[str], name: str, value: str, columns: Sequence[str] | None = None) -> DataFrame:
