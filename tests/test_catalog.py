@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as entry_module  # noqa: E402
+from plumbline import catalog  # noqa: E402
 from compare import TABLES, canon  # noqa: E402
 
 SF = os.environ.get("PLUMBLINE_TEST_SF", "/root/testdata/sf0.001")
@@ -26,11 +27,16 @@ def oracle():
     return con
 
 
+catalog.load_all()
+
+
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, oracle, name):
     got = entry_module.queries()[name](spark, SF).toArrow().to_pandas()
     want = oracle.sql(entry_module.oracle_sql()[name]).to_arrow_table().to_pandas()
