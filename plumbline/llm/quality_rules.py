@@ -24,6 +24,7 @@ RULES: dict[str, Callable[[Callable[[str], Column]], Column]] = {
     "shouting": lambda m: 2 * m("n_capitals") > m("word_chars"),
     "many_marks": lambda m: 4 * m("n_marks") > 3 * m("n_words"),
     "repeated_lines": lambda m: 5 * m("n_dup_lines") > 3 * m("n_lines"),
+    "doubled_words": lambda m: 10 * m("n_doubled") > 3 * m("n_words"),
     "odd_word_length": lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 20 * m("n_words")),
 }
 
@@ -88,7 +89,8 @@ def facts(text: Column) -> Column:
     numbers = lambda w, x: {
         "n_words": F.size(w), "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")), "n_symbols": chars_of(t, SYMBOLS),
         "n_dup_lines": x["n_dup_lines"], "n_repeat_words": repeated_window_words(w), "n_lines": x["n_lines"],
-        "n_capitals": chars_of(t, CAPITALS), "n_marks": chars_of(t, "!?")}
+        "n_capitals": chars_of(t, CAPITALS), "n_marks": chars_of(t, "!?"),
+        "n_doubled": F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))))}
     return let(line_facts, lambda x: let(split_words(text), lambda w: F.struct(
         *[v.cast("long").alias(k) for k, v in numbers(w, x).items()])))
 

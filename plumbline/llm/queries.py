@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules, sharding
+from plumbline.llm import context_tree, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding
 from plumbline.llm.kit import crc_mod
 from plumbline.llm.sql import SQL  # noqa: F401
 
@@ -36,6 +36,13 @@ def op1_language_id(spark, sf):
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "phrase_rate")
 
 
+@query
+def op2_lm_scoring(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = context_tree.score(docs, crc_mod("doc_id", 5) != 1)
+    return scored.withColumn("held_out", crc_mod("doc_id", 5) == 1)
+
+
 @query
 def op3_sharding(spark, sf):
     docs = table(spark, sf, "documents")
@@ -73,3 +80,21 @@ def op8_quality_rules(spark, sf):
 @query
 def op9_jaccard_join(spark, sf):
     return jaccard_join.components(table(spark, sf, "documents"))
+
+
+#: Where the documents stand in a tree of directories: most in the third level, some nearer to their source.
+PATH = ("concat(source, '/', case when doc_id % 100 = 0 then '' when doc_id % 10 = 0 then concat(cast(doc_id div 1000 as string), '/') "
+        "else concat(cast(doc_id div 1000 as string), '/', cast(doc_id div 100 as string), '/') end, cast(doc_id as string), '.txt')")
+
+
+@query
+def op7_license_scan(spark, sf):
+    return license_scan.scan(table(spark, sf, "documents").withColumn("path", F.expr(PATH)))
+
+
+@query
+def op10_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality_classifier.learn(docs, table(spark, sf, "labels"), crc_mod("doc_id", 5) != 0)
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
