@@ -9,7 +9,8 @@ one above it) shingle hashes are dealt to m segments of the universe. At most H
 more than H filled segments shares a filled one with every partner. Segments are indexed at the following cost, cheapest safe
 form first:
   - every filled segment once, as one hash of its members;
-  - segments that more than HOT classes share are skipped for sets which have more than H filled ones without them;
+  - segments that more than HOT classes share are skipped for sets which have more than H filled ones without them, and a
+    pair must then share as many of the other filled segments as exceed H;
   - sets with at most H filled segments are also indexed by fewer, wider segments with their one-deletion neighbourhoods
     (of m' segments at most H / 2 differ in two members or more).
 Index entries are exchanged as packed blocks, equal sets count once (a class), and candidates are verified against whole
@@ -196,8 +197,9 @@ def _index(docs: DataFrame, id: str, text: str, parts: int) -> DataFrame:
 
 
 def _meet(index: DataFrame, kind: str) -> DataFrame:
-    """Digests pass; entries of one part meet: pairs of up to HOT classes, and the members of more crowded segments."""
-    names = ["id", "n", "cls", "slack0", "slack1", "a", "b", "roles"]
+    """Digests pass; entries of one part meet: pairs of up to HOT classes with the number of shared segments, and the members of
+    more crowded segments. Two sets of one band meet as its lower members only; what they share in the family below is left out."""
+    names = ["id", "n", "cls", "slack0", "slack1", "hot", "a", "b", "roles"]
 
     def meet(p: int, held: list) -> list[tuple]:
         cls = np.concatenate([np.frombuffer(x, U) for x, _, _ in held])
@@ -225,23 +227,23 @@ def _meet(index: DataFrame, kind: str) -> DataFrame:
         size = np.bincount(group, minlength=0)
         out = []
         few = size[group] <= HOT
-        k2, c2 = group[few], cls[few].view(np.int64)
-        a, b = [], []
-        for d in range(1, HOT):
-            same = k2[d:] == k2[:-d]
-            a.append(c2[:-d][same])
-            b.append(c2[d:][same])
-        if len(k2):
-            pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            low, high = np.minimum(pair[:, 0], pair[:, 1]), np.maximum(pair[:, 0], pair[:, 1])
-            out += [(low[i:i + 50_000], high[i:i + 50_000], None) for i in range(0, len(low), 50_000)]
-        many = ~few
+        k2, c2, r2 = group[few], cls[few].view(np.int64), role[few]
+        found = []
+        for d in range(1, min(HOT, len(k2))):
+            same = (k2[d:] == k2[:-d]) & ((r2[d:] & r2[:-d] & 1) == 0)
+            x, y, rx, ry = c2[:-d][same], c2[d:][same], r2[:-d][same], r2[d:][same]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.where(x < y, rx << 2 | ry, ry << 2 | rx)], 1))
+        if found:
+            pair, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            out += [(False, pair[i:i + 50_000, 0], pair[i:i + 50_000, 1], n[i:i + 50_000] << 4 | pair[i:i + 50_000, 2]) for i in range(0, len(pair), 50_000)]
+        lower = np.bincount(group, (role & 1) == 0, len(size)) > 0
+        many = ~few & lower[group] if len(group) else few
         c3, r3, k3 = cls[many].view(np.int64), role[many], (key[many] | (U(p) << U(40))).view(np.int64)
-        out += [(k3[i:i + 50_000], c3[i:i + 50_000], r3[i:i + 50_000]) for i in range(0, len(c3), 50_000)]
+        out += [(True, k3[i:i + 50_000], c3[i:i + 50_000], r3[i:i + 50_000]) for i in range(0, len(c3), 50_000)]
         return out
 
     def batch(rows: list[tuple], kind) -> pa.RecordBatch:
-        lists = [pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in range(3)]
+        lists = [pa.array([r[0] for r in rows]), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2, 3))]
         return pa.RecordBatch.from_arrays([pa.nulls(len(rows), kind), *(pa.nulls(len(rows), pa.int64()) for _ in range(4)), *lists], names)
 
     def run(batches):
@@ -251,7 +253,7 @@ def _meet(index: DataFrame, kind: str) -> DataFrame:
             digest = b.filter(b.column("classes").is_null())
             if digest.num_rows:
                 none = pa.nulls(digest.num_rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(digest.column(c) for c in names[:5]), none, none, none], names)
+                yield pa.RecordBatch.from_arrays([*(digest.column(c) for c in names[:5]), pa.nulls(digest.num_rows, pa.bool_()), none, none, none], names)
             packed = b.filter(b.column("classes").is_valid())
             for p, *blobs in zip(*(packed.column(c).to_pylist() for c in ("p", "classes", "runs", "keys")), strict=True):
                 if p != now and held:
@@ -263,16 +265,14 @@ def _meet(index: DataFrame, kind: str) -> DataFrame:
         if held and (rows := meet(now, held)):
             yield batch(rows, id_type)
 
-    return index.mapInArrow(run, f"id {kind}, n long, cls long, slack0 long, slack1 long, a array<long>, b array<long>, roles array<long>")
+    return index.mapInArrow(run, f"id {kind}, n long, cls long, slack0 long, slack1 long, hot boolean, a array<long>, b array<long>, roles array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Those of the class pairs (a, b) whose sets link. Members of a are compared with a's set, in rooms of about SALT_ROWS."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    flags = spark.sparkContext.broadcast(np.packbits(bitmap(wanted, "cls", FILTER_BITS)))
+def _sets(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(cls, set) of the classes wanted, and a few others that pass the filter; 48 bits of each member, in order."""
+    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap(wanted, "cls", FILTER_BITS)))
 
-    def sets_of(batches):
+    def run(batches):
         bits, seen = np.unpackbits(flags.value).astype(bool), set()
         for texts in slices(batches):
             sets = Sets(texts)
@@ -286,11 +286,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "set"])
 
+    return keep(docs.select(F.col(text).alias("text")).mapInArrow(run, "cls long, set binary"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the class pairs (a, b) whose sets link. Members of a are compared with a's set, in rooms of about SALT_ROWS."""
+    spark = pairs.sparkSession
     rooms = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("rooms"))
     homes = rooms.select(F.col("a").alias("cls"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"), F.lit(0).alias("guest"))
     guests = pairs.join(rooms, "a").select(F.col("b").alias("cls"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), "rooms").cast("int").alias("room"), F.lit(1).alias("guest"))
     routes = homes.unionByName(guests)
-    sets = docs.select(F.col(text).alias("text")).mapInArrow(sets_of, "cls long, set binary")
     there = sets.join(routes, "cls").repartition(shuffle_parts(spark), "center", "room").sortWithinPartitions("center", "room", "guest")
 
     def widen(x: bytes) -> np.ndarray:
@@ -340,17 +345,20 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     dealt = _index(docs, id, text, parts).repartition(shuffle_parts(spark), "p").sortWithinPartitions("p")
     met = keep(_meet(dealt, kind))
     digest = met.where("cls is not null").select("id", "n", "cls", "slack0", "slack1")
-    small = keep(met.where("a is not null and roles is null").select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct())
-    hot = met.where("roles is not null").select(F.explode(F.arrays_zip("a", "b", "roles")).alias("p")).select(F.col("p.a").alias("bucket"), F.col("p.b").alias("cls"), F.col("p.roles").alias("role"))
-    full = _crowded(hot, digest)
+    hot = met.where("hot").select(F.explode(F.arrays_zip("a", "b", "roles")).alias("p")).select(F.col("p.a").alias("bucket"), F.col("p.b").alias("cls"), F.col("p.roles").alias("role"))
+    need = keep(_needed(hot, digest))
+    small = keep(_candidates(met, need))
+    full = _crowded(hot, need)
     centers = keep(full.groupBy("bucket").agg(F.min("cls").alias("center")))
-    stars = keep(full.join(centers, "bucket").where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct())
-    tried = keep(small.unionByName(stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    edges = _verified(tried, docs, text)
+    stars = full.join(centers, "bucket").where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
+    pairs = keep(small.unionByName(stars).distinct())
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(full.select("cls")), docs, text)
+    tried = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    edges = _verified(tried, sets)
     comp = keep(connected(edges))
-    more = _apart(small.unionByName(stars).distinct(), comp).join(tried, ["a", "b"], "left_anti")
-    edges, comp, tried = _extend(more, tried, edges, comp, docs, text)
-    edges, comp = _settle(full, tried, edges, comp, docs, text)
+    more = _apart(pairs, comp).join(tried, ["a", "b"], "left_anti")
+    edges, comp, tried = _extend(more, tried, edges, comp, sets)
+    edges, comp = _settle(full, tried, edges, comp, sets)
     first = digest.groupBy("cls").agg(F.min("id").alias("first"))
     named = first.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -360,12 +368,30 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     return out
 
 
-def _crowded(hot: DataFrame, digest: DataFrame) -> DataFrame:
-    """Members of crowded segments that can't do without them: their filled segments less the crowded ones are at most H."""
-    load = hot.groupBy("cls", "role").agg(F.count(F.lit(1)).alias("n_hot"))
-    slack = digest.groupBy("cls").agg(F.max("slack0").alias("slack0"), F.max("slack1").alias("slack1"))
-    held = load.join(slack, "cls").where("role > 1 or n_hot >= if(role = 0, slack0, slack1)").select("cls", "role")
-    return keep(hot.join(keep(held), ["cls", "role"]).select("bucket", "cls").distinct())
+def _needed(hot: DataFrame, digest: DataFrame) -> DataFrame:
+    """(cls, role, need): filled segments outside crowded ones, less H. A partner shares at least as many of them."""
+    load = hot.where("role < 2").groupBy("cls", "role").agg(F.count(F.lit(1)).alias("n_hot"))
+    slack = digest.where("n > 0").groupBy("cls").agg(F.max("slack0").alias("s0"), F.max("slack1").alias("s1"))
+    by_role = slack.select("cls", F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("role"), F.col(f"s{r}").alias("s")) for r in (0, 1)])).alias("x"))
+    return by_role.select("cls", "x.role", "x.s").join(load, ["cls", "role"], "left").select("cls", "role", (F.col("s") - F.coalesce("n_hot", F.lit(0))).alias("need"))
+
+
+def _candidates(met: DataFrame, need: DataFrame) -> DataFrame:
+    """Pairs that share as many segments as a link makes sure of, and those that met in wide segments."""
+    one = met.where("not hot").select(F.explode(F.arrays_zip("a", "b", "roles")).alias("p")).select(
+        "p.a", "p.b", F.shiftright("p.roles", 4).alias("n"), F.shiftright("p.roles", 2).bitwiseAND(F.lit(3)).alias("ra"), F.col("p.roles").bitwiseAND(F.lit(3)).alias("rb"))
+    met_by = one.groupBy("a", "b").agg(F.max(F.greatest("ra", "rb") >= 2).alias("wide"), F.sum(F.when(F.greatest("ra", "rb") < 2, F.col("n")).otherwise(0)).alias("n"),
+                                       F.max(F.when(F.greatest("ra", "rb") < 2, F.col("ra"))).alias("ra"), F.max(F.when(F.greatest("ra", "rb") < 2, F.col("rb"))).alias("rb"))
+    of = lambda c: need.select(F.col("cls").alias(c), F.col("role").alias(f"r{c}"), F.col("need").alias(f"need_{c}"))
+    known = met_by.join(of("a"), ["a", "ra"], "left").join(of("b"), ["b", "rb"], "left")
+    return known.where(F.col("wide") | (F.col("n") >= F.greatest("need_a", "need_b"))).select("a", "b")
+
+
+def _crowded(hot: DataFrame, need: DataFrame) -> DataFrame:
+    """Members of crowded segments that can't do without them, because nothing is needed outside."""
+    short = need.where("need <= 0").select("cls", "role")
+    wide = hot.where("role > 1").select("cls", "role").distinct()
+    return keep(hot.join(keep(short.unionByName(wide)), ["cls", "role"]).select("bucket", "cls").distinct())
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -375,11 +401,11 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return named.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
 
-def _extend(more: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, docs: DataFrame, text: str):
+def _extend(more: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame):
     more = keep(more)
     if more.isEmpty():
         return edges, comp, tried
-    found = _verified(more, docs, text)
+    found = _verified(more, sets)
     tried = tried.unionByName(more)
     if found.isEmpty():
         return edges, comp, tried
@@ -387,7 +413,7 @@ def _extend(more: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame
     return edges, keep(connected(edges)), tried
 
 
-def _settle(full: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, docs: DataFrame, text: str):
+def _settle(full: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame):
     """Crowded segments whose members are not of one component: each member in turn, in doubling numbers, meets the rest."""
     low = 1
     while True:
@@ -400,7 +426,7 @@ def _settle(full: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame
         ranked = open_.withColumn("rank", order)
         turn = ranked.where(F.col("rank").between(low, 2 * low - 1)).select("bucket", F.col("cls").alias("c"), F.col("comp").alias("cc"))
         met = ranked.join(turn, "bucket").where("comp <> cc").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
-        edges, comp, tried = _extend(met.join(tried, ["a", "b"], "left_anti"), tried, edges, comp, docs, text)
+        edges, comp, tried = _extend(met.join(tried, ["a", "b"], "left_anti"), tried, edges, comp, sets)
         low *= 2
 
 
