@@ -118,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, id: str = "doc_i
     chosen = known.where("y = 1").orderBy(order, "id").limit(sample).select("id", F.lit(True).alias("good"))
     some = docs.where(eligible).select(F.col(id).alias("id")).orderBy(order, "id").limit(sample).select("id", F.lit(False).alias("good"))
     wanted = F.broadcast(chosen.unionByName(some))  # at most 2 * sample ids
-    rows = docs.where(eligible).join(wanted, docs[id] == F.col("id")).select(docs[id].alias("row_id"), docs[text].alias("row_text"), "good")
+    rows = docs.where(eligible).select(F.col(id).alias("row_id"), F.col(text).alias("row_text")).join(wanted, F.col("row_id") == F.col("id")).drop("id")
     x = {True: [], False: []}
     pairs = rows.select(F.struct("row_id", "good").alias("row"), F.col("row_text"))
     for r in _featured(pairs, "row", "row_text").toLocalIterator():

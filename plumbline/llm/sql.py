@@ -1,3 +1,44 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+_BLANK = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]"
+
 SQL: dict[str, str] = {}
+
+SQL["op5_line_dedup"] = f"""
+with parts as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+lines as (select doc_id, unnest(range(1, len(ls) + 1)) as i, ls from parts),
+line as (select doc_id, i, ls[i] as line from lines),
+worded as (select doc_id, i, line, row_number() over (partition by doc_id order by i) - 1 as k, count(*) over (partition by doc_id) as n
+  from line where regexp_matches(line, '{_WORD}')),
+ahead as (select doc_id, k, n, line, lead(line, 1) over w as l1, lead(line, 2) over w as l2 from worded window w as (partition by doc_id order by k)),
+win as (select doc_id, k, row_number() over (partition by least(n, 3), line, coalesce(l1, ''), coalesce(l2, '') order by doc_id, k) as seen
+  from ahead where k <= greatest(n - 3, 0)),
+gone as (select distinct w.doc_id, w.i from worded w join win r on w.doc_id = r.doc_id and r.seen > 1 and w.k between r.k and r.k + 2),
+cut as (select l.doc_id, count(g.i) as n_removed, coalesce(string_agg(l.line, chr(10) order by l.i) filter (where g.i is null), '') as rest
+  from line l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id having count(g.i) > 0)
+select d.doc_id, coalesce(c.n_removed, 0)::bigint as n_removed, case when c.doc_id is null then d.text else c.rest end as text
+from documents d left join cut c on d.doc_id = c.doc_id
+"""
+
+SQL["op8_quality_rules"] = f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda x: x <> '') as words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as ls, text from t),
+pos as (select doc_id, unnest(range(1, len(words) - 6)) as i, words from w where len(words) >= 8),
+win as (select doc_id, i, array_to_string(words[i:i + 7], chr(31)) as s from pos),
+rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) as c from win) where c > 1),
+cov as (select doc_id, sum(least(8, coalesce(nxt - i, 8))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from rep) group by doc_id),
+m as (select w.doc_id, len(words) as n_words, length(regexp_replace(text, '{_BLANK}', '', 'g')) as word_chars,
+  length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+  coalesce(cov.n, 0) as n_repeat_words, len(ls) as n_lines,
+  length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as n_capitals,
+  length(text) - length(translate(text, '!?', '')) as n_marks,
+  len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) as n_doubled
+  from w left join cov on w.doc_id = cov.doc_id),
+b as (select *, (n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_words)::bigint + 4 * (10 * n_symbols > 2 * n_words)::bigint
+  + 8 * (2 * n_capitals > word_chars)::bigint + 16 * (4 * n_marks > 3 * n_words)::bigint + 32 * (5 * n_dup_lines > 3 * n_lines)::bigint
+  + 64 * (10 * n_doubled > 3 * n_words)::bigint + 128 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::bigint as failed_rules from m)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+  n_repeat_words::bigint as n_repeat_words, failed_rules % 4 > 0 as base_failed, failed_rules = 0 as kept, failed_rules from b
+"""
