@@ -30,7 +30,7 @@ with c as (select l_orderkey, l_returnflag || l_linestatus as name, count(*) as
 select name, cast(case when count(*) < any_value(parents) then 0 else min(n) end as bigint) as min_occurs, case when max(n) <= 1 then max(n) end as max_occurs, max(n) as most_seen from c, t group by name""")
 def occurs(spark, sf):
     lines = table(spark, sf, "lineitem").selectExpr("l_orderkey", "concat(l_returnflag, l_linestatus) as name")
-    return P.infer_occurs(table(spark, sf, "orders"), lines, ["l_orderkey"], "name")
+    return P.infer_occurs(table(spark, sf, "orders"), lines, ["l_orderkey"], "name", ["o_orderkey"])
 
 
 @query("A3_infer_required", with_base("docs_gaps") + """

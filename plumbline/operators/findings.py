@@ -34,8 +34,8 @@ def finding(**fields) -> list[Column]:
 
 
 def key_text(*cols: str) -> Column:
-    """Readable row key; NULL parts stay visible so that keys never collide by omission."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in cols]
+    """Readable row key; NULL parts stay visible, and a separator or ∅ inside a value is escaped, so that keys never collide."""
+    parts = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\\|∅])", r"\\$1"), F.lit("∅")) for c in cols]
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 

@@ -11,7 +11,7 @@ from plumbline.plans.lineage import cut
 
 
 def closure(edges: DataFrame, src: str = "head", dst: str = "member", starts: DataFrame | None = None,
-            abstract: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+            abstract: DataFrame | None = None) -> DataFrame:
     """All (src, dst, depth) pairs reachable along edges, cycles allowed, shortest depth kept.
 
     Each round joins only the newest pairs; lineage is cut through the checkpoint folder. Names in
@@ -23,7 +23,9 @@ def closure(edges: DataFrame, src: str = "head", dst: str = "member", starts: Da
         first = first.join(starts.select(F.col(starts.columns[0]).alias(src)).distinct(), src, "left_semi")
     found = cut(first.withColumn("depth", F.lit(1)))
     newest = found
-    for depth in range(2, max_rounds + 2):
+    depth = 1
+    while True:
+        depth += 1
         step = (newest.join(hops, F.col(dst) == F.col("_from")).select(src, F.col("_to").alias(dst)).distinct()
                 .join(found, [src, dst], "left_anti").withColumn("depth", F.lit(depth)))
         newest = cut(step)

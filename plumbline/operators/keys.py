@@ -68,14 +68,15 @@ def idref_resolves(refs: DataFrame, ids: DataFrame, doc: str, ref: str, ident: s
 
 def lookup_rule(df: DataFrame, tables: dict[str, DataFrame], side: str, on: dict[str, str], test: str, row_key: Sequence[str],
                 message: str) -> DataFrame:
-    """A rule that reads one row of another table; findings stay on the driving row. Columns of the
-    side table are written `side.column` in the test. An unknown side table is an error at once."""
+    """A rule that reads another table; findings stay on the driving row, one for each row_key none of whose side rows meets
+    the test. Columns of the side table are written `side.column`. An unknown side table is an error at once."""
     if side not in tables:
         raise KeyError(f"the rule reads table {side}, which is not available; known: {sorted(tables)}")
     right = tables[side]
     names = list(on)
     boxed = right.select(*[F.col(p).alias(c) for c, p in on.items()], F.struct(*right.columns).alias(side))
-    rows = skew_join(df, boxed, names, "left").where(~F.coalesce(F.expr(test), F.lit(False)))
+    met = skew_join(df, boxed, names, "left").groupBy(*row_key).agg(F.max(F.coalesce(F.expr(test), F.lit(False))).alias("_met"))
+    rows = met.where(~F.col("_met"))
     return rows.select(*finding(source="rules", severity="error", code="assert", row_key=key_text(*row_key), anchor="element", message=message, technical=test))
 
 

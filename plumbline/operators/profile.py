@@ -40,11 +40,13 @@ def profile(nodes: DataFrame, name: str = "name", value: str = "value", has_chil
     return stats.join(values, [*keys, "name"], "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
 
 
-def infer_occurs(parents: DataFrame, children: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def infer_occurs(parents: DataFrame, children: DataFrame, keys: Sequence[str], name: str,
+                 parent_keys: Sequence[str] | None = None) -> DataFrame:
     """Fewest and most of each child name per parent; absent anywhere means 0, more than one means
     unbounded (NULL)."""
     total = parents.count()
-    counts = children.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
+    owned = children.join(parents.select(*[F.col(p).alias(k) for p, k in zip(parent_keys or keys, keys, strict=True)]).distinct(), list(keys), "left_semi")  # a child without a parent says nothing
+    counts = owned.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n"))
     per = counts.groupBy(name).agg(F.count(F.lit(1)).alias("_with"), F.min("_n").alias("_min"), F.max("_n").alias("_max"))
     return per.select(name, F.when(F.col("_with") < total, 0).otherwise(F.col("_min")).cast("long").alias("min_occurs"),
                       F.when(F.col("_max") <= 1, F.col("_max")).alias("max_occurs"), F.col("_max").alias("most_seen"))

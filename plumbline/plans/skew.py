@@ -13,12 +13,9 @@ HEAVY_KEYS = 1000
 SALTS = 64
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, or None where the session does not expose it."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return None
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -60,8 +57,7 @@ def skew_join(facts: DataFrame, side: DataFrame, keys: Sequence[str], how: str =
     """
     keys = list(keys)
     if salted is None:
-        size = planned_bytes(side)
-        salted = size is None or size > broadcast_limit(side)
+        salted = planned_bytes(side) > broadcast_limit(side)
     if not salted:
         return facts.join(side, keys, how)
     heavy = F.broadcast(heavy_keys(facts, keys, k).withColumn("_hot", F.lit(True)))

@@ -33,10 +33,11 @@ def debounce(df: DataFrame, keys: Sequence[str], ts: str, gap: str, value: Colum
 
 
 def latest_revision(df: DataFrame, keys: Sequence[str], revision: str) -> DataFrame:
-    """Newest revision of each document: an aggregate, so one row per document is kept as state and
-    a stream runs it in update or complete mode."""
+    """Newest revision of each document, as a whole row; of equal revisions the row with the largest other columns. An
+    aggregate, so one row per document is kept as state and a stream runs it in update or complete mode."""
     cols = [c for c in df.columns if c not in (*keys, revision)]
-    return df.groupBy(*keys).agg(F.max(revision).alias(revision), *[F.max_by(c, revision).alias(c) for c in cols])
+    newest = df.groupBy(*keys).agg(F.max(F.struct(revision, *cols)).alias("_newest"))
+    return newest.select(*keys, *[F.col(f"_newest.{c}").alias(c) for c in (revision, *cols)])
 
 
 def mark_stale(results: DataFrame, revisions: DataFrame, keys: Sequence[str], revision: str) -> DataFrame:
@@ -168,14 +169,28 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def spec_hash(spec: object) -> str:
     """Stable text identity of a spec."""
     import hashlib
-    return hashlib.sha256(repr(spec).encode()).hexdigest()
+    return hashlib.sha256(_plain(spec).encode()).hexdigest()
+
+
+def _plain(x: object) -> str:
+    """Text of a spec that does not depend on the order of sets and dicts."""
+    import dataclasses
+    if dataclasses.is_dataclass(x) and not isinstance(x, type):
+        return type(x).__name__ + _plain({f.name: getattr(x, f.name) for f in dataclasses.fields(x)})
+    if isinstance(x, dict):
+        return "{" + ",".join(sorted(f"{_plain(k)}:{_plain(v)}" for k, v in x.items())) + "}"
+    if isinstance(x, (set, frozenset)):
+        return "<" + ",".join(sorted(map(_plain, x))) + ">"
+    if isinstance(x, (list, tuple)):
+        return "[" + ",".join(map(_plain, x)) + "]"
+    return repr(x)
 
 
 def recheck_on_spec_change(docs: DataFrame, key: Sequence[str], spec: object, verdicts: DataFrame | None) -> DataFrame:
     """Documents whose stored verdict is not for this text and this spec. Stored verdicts carry
     (key, doc_hash, spec_hash); new hashes are added to the returned rows."""
     cols = sorted(c for c in docs.columns if c not in key)
-    hashed = docs.withColumn("doc_hash", F.xxhash64(*cols)).withColumn("spec_hash", F.lit(spec_hash(spec)))
+    hashed = docs.withColumn("doc_hash", F.xxhash64(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))).withColumn("spec_hash", F.lit(spec_hash(spec)))
     if verdicts is None:
         return hashed
     done = verdicts.select(*key, "doc_hash", "spec_hash").distinct()
