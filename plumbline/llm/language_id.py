@@ -37,17 +37,16 @@ def letters(text: str | None) -> str:
 
 def training_text(docs: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id",
                   train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(lang, text): `train_docs` documents of each language, those with the smallest hashes. Two-stage, so that a language
-    with most of all rows is cut down within its tasks first."""
+    """(lang, h, text): at most `train_docs` documents of each language, those with the smallest id hashes.
+
+    The counts, one row per language like the model itself, go to all tasks; with them each task keeps about twice as many
+    rows as are wanted, so only these few carry their text into the exchange that ranks them."""
     held = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(5)).alias("h"))
-    cell = held.withColumn("part", F.spark_partition_id())
-    first = W.partitionBy("lang", "part").orderBy("h")
-    some = cell.withColumn("r", F.row_number().over(first)).where(F.col("r") <= train_docs)
-    edge = some.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("hs")).select(
-        "lang", F.element_at("hs", F.least(F.size("hs"), F.lit(train_docs))).alias("edge"))
-    full = docs.select(F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(5)).alias("h"), F.col(text).alias("text"))
-    return full.where("text is not null").join(edge, "lang").where("h <= edge").select("lang", "h", "text")
+        F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(5)).alias("h"), F.col(text).alias("text"))
+    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = held.join(F.broadcast(counts), "lang").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= 2.0 * train_docs / F.col("n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= train_docs).select("lang", "h", "text")
 
 
 class Automata:
