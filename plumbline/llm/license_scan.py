@@ -50,7 +50,7 @@ def weights(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], dic
         norm = math.sqrt(sum(x * x for x in raw.values()))
         vectors[name] = {w: x / norm for w, x in raw.items()}
         rest = 0.0
-        for w, x in sorted(vectors[name].items(), key=lambda i: (i[1], i[0])):
+        for w, x in sorted(vectors[name].items(), key=lambda i: (round(i[1], 9), len(i[0]), i[0])):  # of equal weights the longer words are needed
             rest += x * x
             if math.sqrt(rest) >= THRESHOLD:  # terms up to here may be missing only if the others are there
                 needed.add(w)
