@@ -2,8 +2,8 @@
 
 DataFrame functions only. Terms are runs of a-z, 0-9 after lower-casing; idf comes from the templates (a term that none has
 gets the highest). A line (header) or a whole text (licence file) carries the licence of the template with the largest cosine
-of at least THRESHOLD, ties going to the smaller name. A unit can reach the threshold only if it has one of the `needed`
-terms (the rest of each template weighs too little, by Cauchy-Schwarz), so others are dropped before terms are counted.
+of at least THRESHOLD, ties going to the smaller name. Terms are counted inside the row of their unit, so no text and no term
+is exchanged; a text or line whose terms of every template weigh too little to reach the threshold is passed over first.
 
 Directories with licence files give their best one to all documents below that carry none; the nearest ancestor wins. The
 joins are on distinct directories, so a directory with a third of all rows is one row of the path table.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,45 +37,65 @@ TEMPLATES = {
 }
 
 
-def weights(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], dict[str, float], float, list[str]]:
-    """Unit vectors of the templates, idf of their terms, idf of other terms, and the needed terms."""
+def weights(templates: dict[str, str]) -> tuple[dict[str, dict[str, float]], dict[str, float], float]:
+    """Unit vectors of the templates, idf of their terms, and idf of other terms."""
     terms = {name: re.findall("[a-z0-9]+", text.lower()) for name, text in templates.items()}
     df: dict[str, int] = {}
     for words in terms.values():
         for w in set(words):
             df[w] = df.get(w, 0) + 1
     idf = {w: math.log((1 + len(terms)) / (1 + n)) + 1 for w, n in df.items()}
-    vectors, needed = {}, set()
+    vectors = {}
     for name, words in terms.items():
         raw = {w: words.count(w) * idf[w] for w in words}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         vectors[name] = {w: x / norm for w, x in raw.items()}
-        rest = 0.0
-        for w, x in sorted(vectors[name].items(), key=lambda i: (round(i[1], 9), len(i[0]), i[0])):  # of equal weights the longer words are needed
-            rest += x * x
-            if math.sqrt(rest) >= THRESHOLD:  # terms up to here may be missing only if the others are there
-                needed.add(w)
-    return vectors, idf, math.log(1 + len(terms)) + 1, sorted(needed)
+    return vectors, idf, math.log(1 + len(terms)) + 1
 
 
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _sum(parts: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, parts)
+
+
+def _in_reach(text: Column, vectors: dict[str, dict[str, float]], known: list[str]) -> Column:
+    """Whether the terms a text has of some template weigh enough for THRESHOLD (Cauchy-Schwarz). A line never has more than its text."""
+
+    def enough(held: Column, vector: dict[str, float]) -> Column:
+        return _sum([F.when(F.array_contains(held, w), x * x).otherwise(0.0) for w, x in vector.items()]) >= THRESHOLD * THRESHOLD - 1e-6
+
+    held = F.array_intersect(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*map(F.lit, known)))
+    return F.exists(F.array(held), lambda h: reduce(lambda x, y: x | y, [enough(h, v) for v in vectors.values()]))
+
+
+def _squares(ordered: Column) -> Column:
+    """Sum of squared term counts of an ordered array: the k-th copy of a term adds 2 k - 1."""
+
+    def step(at: Column, w: Column) -> Column:
+        k = F.when(at["last"] == w, at["k"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(w.alias("last"), k.alias("k"), (at["total"] + 2 * k - 1).alias("total"))
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(ordered, F.struct(F.lit("").alias("last"), zero.alias("k"), zero.alias("total")), step, lambda at: at["total"])
+
+
 def _scored(units: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """(key, unit) with the best template of each unit of text that reaches the threshold."""
-    spark = units.sparkSession
-    vectors, idf, other, needed = weights(templates)
-    held = units.where(F.lower("unit_text").rlike("(^|[^a-z0-9])(" + "|".join(needed) + ")($|[^a-z0-9])"))
-    terms = keep(held.select("key", "unit", F.explode(_terms(F.col("unit_text"))).alias("term")).groupBy("key", "unit", "term").agg(F.count(F.lit(1)).alias("tf")))
-    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    part = spark.createDataFrame([(w, name, x) for name, v in sorted(vectors.items()) for w, x in sorted(v.items())], "term string, license string, w double")
-    table = F.broadcast(part.join(known, "term"))  # the terms of the templates
-    norms = terms.join(F.broadcast(known), "term", "left").groupBy("key", "unit").agg(
-        F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"))
-    dots = terms.join(table, "term").groupBy("key", "unit", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
-    scores = dots.join(norms, ["key", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= THRESHOLD)
-    return scores.groupBy("key", "unit").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"))
+    """(key, unit, license, score) of the templates that a unit of text reaches, worked out inside its row."""
+    vectors, idf, other = weights(templates)
+    known = sorted(idf)
+    place = {w: i for i, w in enumerate(known)}
+    ordered = units.where(_in_reach(F.col("unit_text"), vectors, known)).select("key", "unit", F.sort_array(_terms(F.col("unit_text"))).alias("terms"))
+    split = ordered.select("key", "unit", _squares(F.col("terms")).alias("squares"), F.filter("terms", lambda w: w.isin(known)).alias("held"))
+    counted = split.select("key", "unit", "squares", F.transform(F.array(*map(F.lit, known)), lambda w: F.size(F.filter("held", lambda x: x == w)).cast("double")).alias("tf"))
+    tf = lambda w: F.col("tf")[place[w]]
+    norm = F.sqrt(other * other * F.col("squares") + _sum([(idf[w] ** 2 - other * other) * tf(w) * tf(w) for w in known]))
+    normed = counted.select("key", "unit", "tf", norm.alias("norm"))
+    each = [F.struct(F.lit(name).alias("license"), F.round(_sum([tf(w) * (idf[w] * x) for w, x in v.items()]) / F.col("norm"), 6).alias("score"))
+            for name, v in sorted(vectors.items())]
+    return normed.select("key", "unit", F.explode(F.array(*each)).alias("best")).select("key", "unit", "best.license", "best.score").where(F.col("score") >= THRESHOLD)
 
 
 def _parent(path: Column) -> Column:
@@ -84,9 +105,10 @@ def _parent(path: Column) -> Column:
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = "path", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(id, path, license, score, licence_file, inherited, inherited_from, effective) of every row."""
     rows = docs.select(F.col(id).alias("id"), F.col(path).alias("path"), F.xxhash64(F.col(id), F.col(path), F.col(text)).alias("key"), F.col(text).alias("text"))
-    lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("unit", "unit_text"))
-    whole = rows.select("key", F.lit(-1).alias("unit"), F.col("text").alias("unit_text"))
-    found = _scored(lines.unionByName(whole), templates)
+    vectors, idf, _ = weights(templates)
+    near = rows.where(_in_reach(F.col("text"), vectors, sorted(idf)))
+    units = near.select("key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("at", "unit_text"))
+    found = _scored(units.withColumn("unit", F.col("at") - 1), templates)  # -1: the whole text
     own = keep(found.groupBy("key").agg(
         F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"),
         F.min_by("license", F.when(F.col("unit") == -1, F.struct(-F.col("score"), F.col("license")))).alias("file_license")))
