@@ -35,6 +35,7 @@ HOT = 8
 FILTER_BITS = 24
 FLUSH = 4_000_000
 SALT_ROWS = 1024
+RARE = 64
 
 
 def band_edges(most: int = 1 << 40) -> list[int]:
@@ -358,7 +359,9 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     comp = keep(connected(edges))
     more = _apart(pairs, comp).join(tried, ["a", "b"], "left_anti")
     edges, comp, tried = _extend(more, tried, edges, comp, sets)
-    edges, comp = _settle(full, tried, edges, comp, sets)
+    rare, hard = _finest(full, comp, sets)
+    edges, comp, tried = _extend(rare.join(tried, ["a", "b"], "left_anti"), tried, edges, comp, sets)
+    comp = _settle(full, hard, digest, tried, edges, comp, sets)
     first = digest.groupBy("cls").agg(F.min("id").alias("first"))
     named = first.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -413,21 +416,53 @@ def _extend(more: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame
     return edges, keep(connected(edges)), tried
 
 
-def _settle(full: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame):
-    """Crowded segments whose members are not of one component: each member in turn, in doubling numbers, meets the rest."""
-    low = 1
+def _finest(full: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of crowded segments by single shingles: pairs (a, b) of which the smaller set shares one of its rarest shingles
+    with the larger, in another component, and the classes (cls) whose shingles are too common for that."""
+
+    def spread(batches):
+        for b in batches:
+            held = b.column("set")
+            size = np.array([len(x) // 6 for x in held.to_pylist()], np.int64)
+            packed = np.frombuffer(b"".join(held.to_pylist()), np.uint8).reshape(-1, 6)
+            value = np.zeros((len(packed), 8), np.uint8)
+            value[:, :6] = packed
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("cls").to_numpy(), size)), pa.array(np.repeat(size, size)),
+                                              pa.array(value.view(np.int64).reshape(-1))], ["cls", "n", "value"])
+
+    members = sets.join(full.select("cls").distinct(), "cls", "left_semi").select("cls", "set")
+    shingle = keep(members.mapInArrow(spread, "cls long, n long, value long"))
+    holders = shingle.groupBy("value").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") <= RARE)
+    rank = F.row_number().over(W.partitionBy("cls").orderBy("holders", "value"))
+    rare = keep(shingle.join(holders, "value").withColumn("rank", rank))
+    spare = F.col("n") - F.floor(F.col("n") / 7)  # shingles that a larger partner has for sure
+    enough = rare.where(F.col("rank") > F.col("n") - spare).select("cls").distinct()
+    hard = keep(shingle.select("cls").distinct().join(enough, "cls", "left_anti"))
+    named = rare.where("holders > 1").join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
+    shared = keep(named.join(mixed, "value"))
+    probe = shared.where(F.col("rank") <= F.col("n") - spare + 1).join(hard, "cls", "left_anti").select("value", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    pairs = probe.join(shared.select("value", "cls", "n", "comp"), "value").where("comp <> cx and n >= nx and 3 * n <= 4 * nx")
+    return keep(pairs.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()), hard
+
+
+def _settle(full: DataFrame, hard: DataFrame, digest: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """Crowded segments whose members are not of one component: each hard member in turn, in doubling numbers, meets those that
+    are as large or up to a third larger."""
+    sizes = digest.where("n > 0").select("cls", "n").distinct().join(hard.withColumn("hard", F.lit(True)), "cls", "left")
+    sized = keep(full.join(sizes, "cls").select("bucket", "cls", "n", F.coalesce("hard", F.lit(False)).alias("hard")))
+    low = 0
     while True:
-        named = full.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where(f"x <> y and size > {low}")
+        named = sized.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.col("hard").cast("int")).alias("turns")).where(f"x <> y and turns > {low}")
         open_ = keep(named.join(mixed.select("bucket"), "bucket"))
         if open_.isEmpty():
-            return edges, comp
-        order = F.row_number().over(W.partitionBy("bucket").orderBy("cls")) - 1
-        ranked = open_.withColumn("rank", order)
-        turn = ranked.where(F.col("rank").between(low, 2 * low - 1)).select("bucket", F.col("cls").alias("c"), F.col("comp").alias("cc"))
-        met = ranked.join(turn, "bucket").where("comp <> cc").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
+            return comp
+        ranked = open_.where("hard").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("cls")) - 1)
+        turn = ranked.where(F.col("rank").between(low, 2 * low)).select("bucket", F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("comp").alias("cc"))
+        met = open_.join(turn, "bucket").where("comp <> cc and n >= nc and 3 * n <= 4 * nc").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
         edges, comp, tried = _extend(met.join(tried, ["a", "b"], "left_anti"), tried, edges, comp, sets)
-        low *= 2
+        low = 2 * low + 1
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
