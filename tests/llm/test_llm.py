@@ -170,6 +170,21 @@ def test_jaccard_join(spark, docs, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 9, 10, 11, 12, 13]  # 8 shares 9 of 11 shingles with 7
 
 
+def test_jaccard_join_shared_passages(spark, monkeypatch):
+    """Long passages that half of the rows share, next to own words: found by rare shingles, or by turns in crowded segments."""
+    monkeypatch.setattr(jaccard_join, "RARE", 16)
+    rng = np.random.default_rng(3)
+    made = []
+    for i in range(240):
+        group = int(rng.integers(60))
+        w = [f"p{i % 2}_{j}" for j in range(80)] + [f"g{group}_{j}" for j in range(int(rng.choice([4, 8, 12, 20, 40])))]
+        for at in rng.choice(len(w), int(rng.integers(3)), replace=False):
+            w[at] = f"z{i}_{at}"
+        made.append((i, " ".join(w)))
+    got = jaccard_join.components(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(made)
+
+
 def test_language_id(spark, docs, odd, none):
     train = docs.where("doc_id % 3 <> 1")
     got = language_id.identify(docs, train).join(docs.select("doc_id", "lang"), "doc_id").where("doc_id % 3 = 1")
