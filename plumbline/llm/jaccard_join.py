@@ -24,6 +24,8 @@ Null ids are a value; repeated rows are members of one class; other columns are
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
@@ -61,8 +63,8 @@ class Sets:
     def __init__(self, texts):
         start, end, before = texts.words()
         values, doc = shingles(texts.hashes(start, end), before)
-        order = np.lexsort((values, doc))
-        values, doc = values[order], doc[order]
+        for i, j in pairwise(np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()):
+            values[i:j].sort()
         new = np.ones(len(values), bool)
         new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
         self.values, self.doc = values[new], doc[new]
@@ -148,10 +150,11 @@ def _index(docs: DataFrame, id: str, text: str, parts: int) -> DataFrame:
         held, pending, kind = [], 0, None
 
         def flush():
-            key, cls, role = (np.concatenate(x) for x in zip(*held, strict=True))
+            place = np.cumsum([0, *(len(c) for _, _, _, c in held)])
+            key, role, of = (np.concatenate(x) for x in ([k for k, _, _, _ in held], [r for _, _, r, _ in held], [d + at for (_, d, _, _), at in zip(held, place, strict=False)]))
             p = ((key >> U(32)) * U(parts)) >> U(32)
-            order = np.lexsort((role, cls, p))
-            key, cls, role, p = key[order], cls[order], role[order], p[order]
+            order = np.argsort(p << U(44) | of.astype(U) << U(2) | role.astype(U))
+            key, cls, role, p = key[order], np.concatenate([c for _, _, _, c in held])[of[order]], role[order], p[order]
             new = np.ones(len(p), bool)
             new[1:] = (p[1:] != p[:-1]) | (cls[1:] != cls[:-1]) | (role[1:] != role[:-1])
             run_at = np.flatnonzero(new)
@@ -184,7 +187,7 @@ def _index(docs: DataFrame, id: str, text: str, parts: int) -> DataFrame:
                 [pa.array((((cls >> U(32)) * U(parts)) >> U(32)).astype(np.int32)), texts.ids("id"), pa.array(size.astype(np.int64)), pa.array(cls.view(np.int64)),
                  pa.array(slack[0]), pa.array(slack[1]), none, none, none], names)
             if len(key):
-                held.append((key, cls[doc], role))
+                held.append((key, doc, role, cls))
                 pending += len(key)
             if pending > FLUSH:
                 yield flush()
@@ -323,19 +326,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(v, comp): smallest vertex of each vertex' component, by alternating large and small stars."""
+    """(v, comp): smallest vertex of each vertex' component, by alternating large and small stars until only stars are left."""
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1 and up > 0").isEmpty():
+            return now.select(F.col("u").alias("v"), F.col("v").alias("comp")).unionByName(now.select("v", F.col("v").alias("comp")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u")
-        small = keep(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        sums = [x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, small)]
-        now = small
-        if sums[0] == sums[1]:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("comp")).unionByName(now.select("v", F.col("v").alias("comp")).distinct())
+        now = keep(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+
+
+def merged(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more edges: only the components that they join are worked on."""
+    links = keep(_by_component(edges, comp).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).where("a <> b").distinct())
+    if links.isEmpty():
+        return comp
+    moved = connected(links)
+    added = moved.join(comp.select("v"), "v", "left_anti")
+    old = comp.join(moved.select(F.col("v").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return keep(old.select("v", F.coalesce("to", "comp").alias("comp")).unionByName(added))
 
 
 def components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,13 +368,12 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     pairs = keep(small.unionByName(stars).distinct())
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(full.select("cls")), docs, text)
     tried = keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    edges = _verified(tried, sets)
-    comp = keep(connected(edges))
+    comp = keep(connected(_verified(tried, sets)))
     more = _apart(pairs, comp).join(tried, ["a", "b"], "left_anti")
-    edges, comp, tried = _extend(more, tried, edges, comp, sets)
+    comp, tried = _extend(more, tried, comp, sets)
     rare, hard = _finest(full, comp, sets)
-    edges, comp, tried = _extend(rare.join(tried, ["a", "b"], "left_anti"), tried, edges, comp, sets)
-    comp = _settle(full, hard, digest, tried, edges, comp, sets)
+    comp, tried = _extend(rare.join(tried, ["a", "b"], "left_anti"), tried, comp, sets)
+    comp = _settle(full, hard, digest, tried, comp, sets)
     first = digest.groupBy("cls").agg(F.min("id").alias("first"))
     named = first.join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
@@ -397,23 +409,31 @@ def _crowded(hot: DataFrame, need: DataFrame) -> DataFrame:
     return keep(hot.join(keep(short.unionByName(wide)), ["cls", "role"]).select("bucket", "cls").distinct())
 
 
+def _by_component(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs with the components of both; a class that has no link yet is its own."""
+    of = lambda c: comp.select(F.col("v").alias(c), F.col("comp").alias(f"of_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("of_a", "a").alias("comp_a"), F.coalesce("of_b", "b").alias("comp_b"))
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose classes lie in different components."""
-    of = lambda c: comp.select(F.col("v").alias(c), F.col("comp").alias(f"comp_{c}"))
-    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return named.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    return _by_component(pairs, comp).where("comp_a <> comp_b").select("a", "b")
 
 
-def _extend(more: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame):
+def _extend(more: DataFrame, tried: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components and tried pairs after more pairs are verified; only sets of these pairs are exchanged."""
     more = keep(more)
     if more.isEmpty():
-        return edges, comp, tried
-    found = _verified(more, sets)
-    tried = tried.unionByName(more)
-    if found.isEmpty():
-        return edges, comp, tried
-    edges = edges.unionByName(found)
-    return edges, keep(connected(edges)), tried
+        return comp, tried
+    flags = sets.sparkSession.sparkContext.broadcast(np.packbits(bitmap(more.select(F.explode(F.array("a", "b")).alias("cls")), "cls", FILTER_BITS)))
+
+    def wanted(batches):
+        bits = np.unpackbits(flags.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(passes(bits, b.column("cls").to_numpy())))
+
+    found = _verified(more, sets.mapInArrow(wanted, sets.schema))
+    return merged(comp, found), tried.unionByName(more)
 
 
 def _finest(full: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -446,7 +466,7 @@ def _finest(full: DataFrame, comp: DataFrame, sets: DataFrame) -> tuple[DataFram
     return keep(pairs.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()), hard
 
 
-def _settle(full: DataFrame, hard: DataFrame, digest: DataFrame, tried: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+def _settle(full: DataFrame, hard: DataFrame, digest: DataFrame, tried: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     """Crowded segments whose members are not of one component: each hard member in turn, in doubling numbers, meets those that
     are as large or up to a third larger."""
     sizes = digest.where("n > 0").select("cls", "n").distinct().join(hard.withColumn("hard", F.lit(True)), "cls", "left")
@@ -461,7 +481,7 @@ def _settle(full: DataFrame, hard: DataFrame, digest: DataFrame, tried: DataFram
         ranked = open_.where("hard").withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("cls")) - 1)
         turn = ranked.where(F.col("rank").between(low, 2 * low)).select("bucket", F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("comp").alias("cc"))
         met = open_.join(turn, "bucket").where("comp <> cc and n >= nc and 3 * n <= 4 * nc").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
-        edges, comp, tried = _extend(met.join(tried, ["a", "b"], "left_anti"), tried, edges, comp, sets)
+        comp, tried = _extend(met.join(tried, ["a", "b"], "left_anti"), tried, comp, sets)
         low = 2 * low + 1
 
 
