@@ -121,7 +121,7 @@ def applied(spark, sf):
 
 @query("Q13_sequence_findings", """
 with shapes as (select conv_id, string_agg(left(role, 1), '' order by turn) as s, count(*) as n from conversations group by conv_id)
-select cast(conv_id as varchar) as doc_key, n as ordinal, 'cvc-complex-type.2.4.b' as code, 'Add assistant' as message, 'childGap' as anchor from shapes where not regexp_full_match(s, 's?(ua)+')""")
+select cast(conv_id as varchar) as doc_key, n as ordinal, 'cvc-complex-type.2.4.b' as code, 'Missing here: assistant' as message, 'childGap' as anchor from shapes where not regexp_full_match(s, 's?(ua)+')""")
 def findings(spark, sf):
     return Q.sequence_findings(talk(spark, sf, False)).select("doc_key", "ordinal", "code", "message", "anchor")
 

@@ -42,15 +42,10 @@ def squeeze(col: Column) -> Column:
 
 def humanise(col: Column) -> Column:
     """shipDate, ship_date, SHIP-DATE -> "Ship date"; an acronym inside a name keeps its capitals."""
-    spaced = F.regexp_replace(col, "[_-]+", " ")
-    spaced = F.regexp_replace(spaced, "([a-z0-9])([A-Z])", "$1 $2")
-    spaced = F.trim(F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2"))
-    shouting = col == F.upper(col)
-    words = F.split(F.when(shouting, F.lower(spaced)).otherwise(spaced), " ")
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))
-    word = lambda w, i: (F.when((F.length(w) > 1) & (w == F.upper(w)), w)
-                         .when(i == 0, capital(w)).otherwise(F.lower(w)))
-    return F.when(spaced == "", col).otherwise(F.array_join(F.transform(words, word), " "))
+    words = F.filter(F.split(col, r"[_\-\s]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"), lambda w: w != "")
+    acronym = lambda w: col.rlike(r"\p{Ll}") & w.rlike(r"\A[\p{Lu}\d]{2,}\z")
+    title = F.array_join(F.transform(words, lambda w: F.when(acronym(w), w).otherwise(F.lower(w))), " ")
+    return F.when(F.size(words) == 0, col).otherwise(F.concat(F.upper(F.left(title, F.lit(1))), F.substr(title, F.lit(2))))
 
 
 def decode_entities(col: Column) -> Column:
@@ -107,26 +102,35 @@ def text_preview(col: Column, limit: int = 48) -> Column:
 
 
 def strip_namespaces(col: Column) -> Column:
-    """Drop xmlns declarations and the prefixes of tags and attributes."""
-    out = F.regexp_replace(col, r'\sxmlns(:[\w.-]+)?="[^"]*"', "")
-    out = F.regexp_replace(out, r"<(/?)[\w.-]+:", "<$1")
-    return F.regexp_replace(out, r"\s[\w.-]+:([\w.-]+)=", " $1=")
+    """Drop xmlns declarations and the prefixes of tags and attributes; text between tags is left alone."""
+    surplus = r"""\sxmlns(?::[\w.-]+)?=(?:"[^"]*"|'[^']*')|(?<=<|</)[\w.-]+:|(?<=\s)[\w.-]+:(?=[\w.-]+=)"""
+
+    def in_tag(piece: Column) -> Column:
+        end = F.instr(piece, ">")
+        return F.concat(F.regexp_replace(F.left(piece, end), surplus, ""), F.substr(piece, end + 1))
+
+    pieces = F.split(col, "(?=<)")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("<"), in_tag(p)).otherwise(p)), "")
 
 
 def _fold_path(path: Column) -> Column:
-    """Fold '.' and '..' ; '..' at the top is dropped."""
-    step = lambda acc, s: (F.when((s == "") | (s == "."), acc)
-                           .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-                           .otherwise(F.concat(acc, F.array(s))))
-    folded = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), folded)
+    """Without empty, '.' and '..' steps. Read from the end: each '..' takes away the next name before it, if there is one."""
+    names = F.filter(F.reverse(F.split(path, "/")), lambda s: ~s.isin("", "."))
+
+    def take(acc: Column, s: Column) -> Column:
+        gone = (s != "..") & (acc["up"] > 0)
+        kept = F.when((s == "..") | gone, acc["kept"]).otherwise(F.concat(F.array(s), acc["kept"]))
+        return F.struct((acc["up"] + F.when(s == "..", 1).when(gone, -1).otherwise(0)).alias("up"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("up"), F.array().cast("array<string>").alias("kept"))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(names, start, take)["kept"], "/"))
 
 
 def resolve_uri(loc: Column, base: Column) -> Column:
     """A location against a base: absolute stays, rooted keeps the authority, else same directory."""
     scheme = r"\A[A-Za-z][A-Za-z0-9+.\-]*:"
     authority = F.regexp_extract(base, r"\A([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    base_path = F.regexp_replace(F.substring(base, F.length(authority) + 1, 1_000_000), r"[?#].*\z", "")
+    base_path = F.regexp_replace(F.substr(base, F.length(authority) + 1), r"[?#].*\z", "")
     directory = F.regexp_extract(base_path, r"\A(.*/)", 1)
     directory = F.when((authority != "") & (directory == ""), "/").otherwise(directory)
     suffix = F.regexp_extract(loc, r"([?#].*)\z", 1)

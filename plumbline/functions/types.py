@@ -46,52 +46,52 @@ class SimpleType:
 
 # The named built-in types, their bases, whitespace and own facets.
 _BUILTIN_ROWS = [
-    ("anySimpleType", None, None, "preserve", "any value", {}),
-    ("anyAtomicType", "anySimpleType", None, "preserve", "any single value", {}),
-    ("string", "anyAtomicType", "string", "preserve", "text", {}),
-    ("boolean", "anyAtomicType", "boolean", "collapse", "true or false", {}),
-    ("decimal", "anyAtomicType", "decimal", "collapse", "a decimal number", {}),
-    ("float", "anyAtomicType", "float", "collapse", "a floating-point number", {}),
-    ("double", "anyAtomicType", "double", "collapse", "a floating-point number", {}),
-    ("duration", "anyAtomicType", "duration", "collapse", "a duration such as P1Y2M or PT30M", {}),
-    ("dateTime", "anyAtomicType", "dateTime", "collapse", "a date with a time", {}),
-    ("time", "anyAtomicType", "time", "collapse", "a time of day", {}),
-    ("date", "anyAtomicType", "date", "collapse", "a calendar date", {}),
-    ("gYearMonth", "anyAtomicType", "gYearMonth", "collapse", "a month of a year such as 2026-07", {}),
-    ("gYear", "anyAtomicType", "gYear", "collapse", "a year", {}),
-    ("gMonthDay", "anyAtomicType", "gMonthDay", "collapse", "a yearly day such as --07-29", {}),
-    ("gDay", "anyAtomicType", "gDay", "collapse", "a monthly day such as ---29", {}),
-    ("gMonth", "anyAtomicType", "gMonth", "collapse", "a month such as --07", {}),
-    ("hexBinary", "anyAtomicType", "hexBinary", "collapse", "hexadecimal octets", {}),
-    ("base64Binary", "anyAtomicType", "base64Binary", "collapse", "base64 octets", {}),
-    ("anyURI", "anyAtomicType", "anyURI", "collapse", "a URI", {}),
-    ("QName", "anyAtomicType", "QName", "collapse", "a name with an optional prefix", {}),
-    ("NOTATION", "anyAtomicType", "NOTATION", "collapse", "a notation name", {}),
-    ("normalizedString", "string", "string", "replace", "single-line text", {}),
-    ("token", "normalizedString", "string", "collapse", "text without surplus spaces", {}),
-    ("language", "token", "string", "collapse", "a language tag such as en-GB", {"pattern": ["[a-zA-Z]{1,8}(-[a-zA-Z0-9]{1,8})*"]}),
-    ("Name", "token", "string", "collapse", "an XML name", {"pattern": [r"\i\c*"]}),
-    ("NCName", "Name", "string", "collapse", "an XML name without a colon", {"pattern": [r"[\i-[:]][\c-[:]]*"]}),
-    ("ID", "NCName", "string", "collapse", "an identifier", {}),
-    ("IDREF", "NCName", "string", "collapse", "a reference to an identifier", {}),
-    ("ENTITY", "NCName", "string", "collapse", "an entity name", {}),
-    ("NMTOKEN", "token", "string", "collapse", "a name token", {"pattern": [r"\c+"]}),
-    ("integer", "decimal", "decimal", "collapse", "a whole number", {"fraction_digits": 0}),
-    ("nonPositiveInteger", "integer", "decimal", "collapse", "a whole number up to zero", {"max_inclusive": "0"}),
-    ("negativeInteger", "nonPositiveInteger", "decimal", "collapse", "a whole number under zero", {"max_inclusive": "-1"}),
-    ("long", "integer", "decimal", "collapse", "a 64-bit whole number", {"min_inclusive": "-9223372036854775808", "max_inclusive": "9223372036854775807"}),
-    ("int", "long", "decimal", "collapse", "a 32-bit whole number", {"min_inclusive": "-2147483648", "max_inclusive": "2147483647"}),
-    ("short", "int", "decimal", "collapse", "a 16-bit whole number", {"min_inclusive": "-32768", "max_inclusive": "32767"}),
-    ("byte", "short", "decimal", "collapse", "an 8-bit whole number", {"min_inclusive": "-128", "max_inclusive": "127"}),
-    ("nonNegativeInteger", "integer", "decimal", "collapse", "a whole number from zero up", {"min_inclusive": "0"}),
-    ("unsignedLong", "nonNegativeInteger", "decimal", "collapse", "an unsigned 64-bit number", {"max_inclusive": "18446744073709551615"}),
-    ("unsignedInt", "unsignedLong", "decimal", "collapse", "an unsigned 32-bit number", {"max_inclusive": "4294967295"}),
-    ("unsignedShort", "unsignedInt", "decimal", "collapse", "an unsigned 16-bit number", {"max_inclusive": "65535"}),
-    ("unsignedByte", "unsignedShort", "decimal", "collapse", "an unsigned 8-bit number", {"max_inclusive": "255"}),
-    ("positiveInteger", "nonNegativeInteger", "decimal", "collapse", "a whole number from one up", {"min_inclusive": "1"}),
-    ("dateTimeStamp", "dateTime", "dateTime", "collapse", "a date with a time and a zone", {"explicit_timezone": "required"}),
-    ("yearMonthDuration", "duration", "duration", "collapse", "a duration in years and months", {"pattern": ["[^DT]*"]}),
-    ("dayTimeDuration", "duration", "duration", "collapse", "a duration in days and smaller", {"pattern": ["[^YM]*(T.*)?"]}),
+    ("anySimpleType", None, None, "preserve", {}),
+    ("anyAtomicType", "anySimpleType", None, "preserve", {}),
+    ("string", "anyAtomicType", "string", "preserve", {}),
+    ("boolean", "anyAtomicType", "boolean", "collapse", {}),
+    ("decimal", "anyAtomicType", "decimal", "collapse", {}),
+    ("float", "anyAtomicType", "float", "collapse", {}),
+    ("double", "anyAtomicType", "double", "collapse", {}),
+    ("duration", "anyAtomicType", "duration", "collapse", {}),
+    ("dateTime", "anyAtomicType", "dateTime", "collapse", {}),
+    ("time", "anyAtomicType", "time", "collapse", {}),
+    ("date", "anyAtomicType", "date", "collapse", {}),
+    ("gYearMonth", "anyAtomicType", "gYearMonth", "collapse", {}),
+    ("gYear", "anyAtomicType", "gYear", "collapse", {}),
+    ("gMonthDay", "anyAtomicType", "gMonthDay", "collapse", {}),
+    ("gDay", "anyAtomicType", "gDay", "collapse", {}),
+    ("gMonth", "anyAtomicType", "gMonth", "collapse", {}),
+    ("hexBinary", "anyAtomicType", "hexBinary", "collapse", {}),
+    ("base64Binary", "anyAtomicType", "base64Binary", "collapse", {}),
+    ("anyURI", "anyAtomicType", "anyURI", "collapse", {}),
+    ("QName", "anyAtomicType", "QName", "collapse", {}),
+    ("NOTATION", "anyAtomicType", "NOTATION", "collapse", {}),
+    ("normalizedString", "string", "string", "replace", {}),
+    ("token", "normalizedString", "string", "collapse", {}),
+    ("language", "token", "string", "collapse", {"pattern": ["[a-zA-Z]{1,8}(-[a-zA-Z0-9]{1,8})*"]}),
+    ("Name", "token", "string", "collapse", {"pattern": [r"\i\c*"]}),
+    ("NCName", "Name", "string", "collapse", {"pattern": [r"[\i-[:]][\c-[:]]*"]}),
+    ("ID", "NCName", "string", "collapse", {}),
+    ("IDREF", "NCName", "string", "collapse", {}),
+    ("ENTITY", "NCName", "string", "collapse", {}),
+    ("NMTOKEN", "token", "string", "collapse", {"pattern": [r"\c+"]}),
+    ("integer", "decimal", "decimal", "collapse", {"fraction_digits": 0}),
+    ("nonPositiveInteger", "integer", "decimal", "collapse", {"max_inclusive": "0"}),
+    ("negativeInteger", "nonPositiveInteger", "decimal", "collapse", {"max_inclusive": "-1"}),
+    ("long", "integer", "decimal", "collapse", {"min_inclusive": "-9223372036854775808", "max_inclusive": "9223372036854775807"}),
+    ("int", "long", "decimal", "collapse", {"min_inclusive": "-2147483648", "max_inclusive": "2147483647"}),
+    ("short", "int", "decimal", "collapse", {"min_inclusive": "-32768", "max_inclusive": "32767"}),
+    ("byte", "short", "decimal", "collapse", {"min_inclusive": "-128", "max_inclusive": "127"}),
+    ("nonNegativeInteger", "integer", "decimal", "collapse", {"min_inclusive": "0"}),
+    ("unsignedLong", "nonNegativeInteger", "decimal", "collapse", {"max_inclusive": "18446744073709551615"}),
+    ("unsignedInt", "unsignedLong", "decimal", "collapse", {"max_inclusive": "4294967295"}),
+    ("unsignedShort", "unsignedInt", "decimal", "collapse", {"max_inclusive": "65535"}),
+    ("unsignedByte", "unsignedShort", "decimal", "collapse", {"max_inclusive": "255"}),
+    ("positiveInteger", "nonNegativeInteger", "decimal", "collapse", {"min_inclusive": "1"}),
+    ("dateTimeStamp", "dateTime", "dateTime", "collapse", {"explicit_timezone": "required"}),
+    ("yearMonthDuration", "duration", "duration", "collapse", {"pattern": ["[^DT]*"]}),
+    ("dayTimeDuration", "duration", "duration", "collapse", {"pattern": ["[^YM]*(T.*)?"]}),
 ]
 _BUILTIN_LISTS = [("IDREFS", "IDREF"), ("ENTITIES", "ENTITY"), ("NMTOKENS", "NMTOKEN")]
 
@@ -162,7 +162,8 @@ def derive(base: SimpleType, name: str | None = None, doc: str | None = None, fi
 
 def _builtins() -> dict[str, SimpleType]:
     table: dict[str, SimpleType] = {}
-    for name, base, primitive, space, doc, facets in _BUILTIN_ROWS:
+    for name, base, primitive, space, facets in _BUILTIN_ROWS:
+        doc = f"of type {name}"
         if base is None or table[base].primitive is None:
             table[name] = SimpleType(name, doc, primitive, space, ancestry=((base, *table[base].ancestry) if base else ()))
             if facets:

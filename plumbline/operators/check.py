@@ -73,39 +73,55 @@ def spec_health(spark: SparkSession, health: Sequence[tuple[str, str, str]]) ->
 
 # --- fixes ---------------------------------------------------------------------------------------
 
-def fix_candidates(col: Column, t: SimpleType, sample: str | None = None, limit: int = 4) -> Column:
-    """Ordered fixes, each checked against the type again, without repeats, four at most."""
-    trimmed = strip(col)
-    offer = lambda value, title, guess: F.struct(title.alias("title"), value.alias("value"), F.lit(guess).alias("speculative"))
-    to = lambda value: F.concat(F.lit('Change to "'), value, F.lit('"'))
-    out = [offer(trimmed, F.concat(F.lit('Trim to "'), trimmed, F.lit('"')), False)]
-    if t.enumeration:
-        options = F.array(*map(F.lit, t.enumeration))
-        same = F.get(F.filter(options, lambda o: F.lower(o) == F.lower(trimmed)), F.lit(0))
-        out.append(offer(same, to(same), False))
-        near = F.array_min(F.transform(options, lambda o, i: F.struct(
-            F.levenshtein(F.lower(o), F.lower(trimmed)).alias("d"), i.alias("i"), o.alias("o"))))
-        close = F.when(near["d"] <= 3, near["o"])
-        out.append(offer(close, to(close), True))
-    if t.patterns:
-        out.append(offer(F.upper(trimmed), to(F.upper(trimmed)), True))
-        out.append(offer(F.regexp_replace(trimmed, r"[\s-]", ""), F.lit("Remove spaces and hyphens"), True))
-        if sample:
-            out.append(offer(F.lit(sample), F.lit(f'Use the example "{sample}"'), True))
-    longest = t.max_length if t.max_length is not None else t.length
-    if longest is not None and t.variety == "atomic":
-        cut = F.when(F.char_length(trimmed) > longest, F.substring(trimmed, 1, longest))
-        out.append(offer(cut, F.concat(F.lit('Shorten to "'), cut, F.lit('"')), True))
-    for facet, bound in t.bounds:
-        if facet in ("min_inclusive", "max_inclusive"):
-            out.append(offer(F.lit(bound), F.lit(f"Change to {bound}"), True))
-    if t.primitive == "decimal":
-        whole = F.when(trimmed.rlike(r"\A[+-]?\d+\.0*\z"), F.regexp_replace(trimmed, r"\.0*\z", ""))
-        out.append(offer(whole, F.lit("Drop the decimal part"), False))
-    usable = F.filter(F.array(*out), lambda f: f["value"].isNotNull() & (f["value"] != col)
-                      & F.coalesce(is_valid(f["value"], t), F.lit(False)))
-    first = lambda u: F.filter(u, lambda f, i: F.array_position(u["value"], f["value"]) == i + 1)
-    return F.slice(let(usable, first), 1, limit).cast(f"array<{FIX}>")
+def _same_letters(v: Column, t: SimpleType) -> list[Column]:
+    return [F.get(F.filter(F.array(*map(F.lit, t.enumeration)), lambda o: F.lower(o) == F.lower(v)), F.lit(0))] if t.enumeration else []
+
+
+def _nearest(v: Column, t: SimpleType) -> list[Column]:
+    """The enumerated value with the fewest edits, the first of equals; none beyond three edits."""
+    if not t.enumeration:
+        return []
+    ranked = F.transform(F.array(*map(F.lit, t.enumeration)), lambda o, i: F.struct(F.levenshtein(F.lower(o), F.lower(v)).alias("edits"), i.alias("at"), o.alias("value")))
+    best = F.array_min(ranked)
+    return [F.when(best["edits"] <= 3, best["value"])]
+
+
+def _limits(v: Column, t: SimpleType) -> list[Column]:
+    return [F.lit(bound) for facet, bound in t.bounds if facet.endswith("_inclusive")]
+
+
+def _cut(v: Column, t: SimpleType) -> list[Column]:
+    most = t.length if t.max_length is None else t.max_length
+    return [F.left(v, F.lit(most))] if most is not None and t.variety == "atomic" else []
+
+
+def _whole(v: Column, t: SimpleType) -> list[Column]:
+    return [F.when(v.rlike(r"\A[+-]?\d+\.0*\z"), F.substring_index(v, ".", 1))] if t.primitive == "decimal" else []
+
+
+#: Kinds of fix in the order of their rank: (title, whether it guesses, values that it proposes for a trimmed text and a type).
+#: Fixes that keep the meaning come first.
+FIX_KINDS = (
+    ("without outer blanks", False, lambda v, t: [v]),
+    ("spelling of the list", False, _same_letters),
+    ("as a whole number", False, _whole),
+    ("nearest listed value", True, _nearest),
+    ("in capitals", True, lambda v, t: [F.upper(v)] if t.patterns else []),
+    ("without blanks and hyphens", True, lambda v, t: [F.regexp_replace(v, r"[\s-]", "")] if t.patterns else []),
+    ("cut to length", True, _cut),
+    ("moved to the limit", True, _limits),
+)
+
+
+def fix_candidates(col: Column, t: SimpleType, sample: str | None = None) -> Column:
+    """Every fix that changes the value and makes it valid, by rank of its kind, each value once. A sample comes last."""
+    kinds = (*FIX_KINDS, ("example", True, lambda v, t: [F.lit(sample)] if sample else []))
+    text = strip(col)
+    out = [F.struct(F.concat(F.lit(f"{title}: "), value).alias("title"), value.alias("value"), F.lit(guess).alias("speculative"))
+           for title, guess, propose in kinds for value in propose(text, t)]
+    valid = F.filter(F.array(*out), lambda f: F.coalesce((f["value"] != col) & is_valid(f["value"], t), F.lit(False)))
+    once = lambda u: F.filter(u, lambda f, i: F.array_position(F.transform(u, lambda g: g["value"]), f["value"]) == i + 1)
+    return let(valid, once).cast(f"array<{FIX}>")
 
 
 def best_fix(col: Column, t: SimpleType, speculative: bool = False, sample: str | None = None) -> Column:

@@ -333,10 +333,10 @@ def apply_repair(symbols: Column, edits: Column) -> Column:
 
 
 def edit_text(kind: Column, name: Column, existing: Column) -> Column:
-    return (F.when(kind == "insert", F.concat(F.lit("Add "), name))
-            .when(kind == "delete", F.concat(F.lit("Remove "), existing))
-            .when(kind == "replace", F.concat(F.lit("Change "), existing, F.lit(" to "), name))
-            .otherwise(F.concat(F.lit("Swap "), existing, F.lit(" and "), name)))
+    said = {"insert": ("Missing here: ", name), "delete": ("Does not belong here: ", existing),
+            "replace": ("Expected ", name, " in place of ", existing), "swap": ("Out of order: ", name, " comes before ", existing)}
+    text = {k: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]) for k, parts in said.items()}
+    return F.when(kind == "insert", text["insert"]).when(kind == "delete", text["delete"]).when(kind == "replace", text["replace"]).otherwise(text["swap"])
 
 
 def sequence_findings(g: Groups, max_edits: int = 4) -> DataFrame:

@@ -109,8 +109,8 @@ def test_purchase_order_messages(spark):
     rows = [(k, i, s) for k, v in cases.items() for i, s in enumerate(v.split())]
     g = Q.Groups(spark.createDataFrame(rows, "k string, o int, s string"), ["k"], "o", "s", model)
     got = {r["doc_key"]: (r["code"], r["message"]) for r in Q.sequence_findings(g).collect()}
-    assert got == {"wrong order": ("cvc-complex-type.2.4.a", "Swap line and id"), "missing line": ("cvc-complex-type.2.4.b", "Add line"),
-                   "stray": ("cvc-complex-type.2.4.d", "Remove nope"), "too many": ("cvc-complex-type.2.4.d", "Remove note")}
+    assert got == {"wrong order": ("cvc-complex-type.2.4.a", "Out of order: id comes before line"), "missing line": ("cvc-complex-type.2.4.b", "Missing here: line"),
+                   "stray": ("cvc-complex-type.2.4.d", "Does not belong here: nope"), "too many": ("cvc-complex-type.2.4.d", "Does not belong here: note")}
 
 
 def test_models():
