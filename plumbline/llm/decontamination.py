@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
-Three fixed masks over twelve words each keep eight and ignore four, so a passage with replaced words still shares a
-seed. Seeds of the benchmark are also set in a bitmap of fixed size, which goes to every task; a document's seeds that
+Four fixed masks of five compared words are laid at every word. Whichever three of twelve words are replaced, one of the
+masks lies inside the twelve words on equal words only, so every window the check accepts holds a seed (the tests go
+through all placements). Seeds of the benchmark are also set in a bitmap of fixed size, which goes to every task; a document's seeds that
 miss it are dropped where they are made, the few others are joined with the benchmark's seeds. Around each meeting the
 two word sequences are compared along their common diagonal: twelve-word windows with at least nine equal words are an
 overlap. Items shorter than the mask are looked for as a whole, without ignored positions.
@@ -20,21 +21,21 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.kit import U, bitmap, fresh, keep, mix, passes, slices
 
-#: Fixed masks: 1 is compared, 0 is ignored.
-MASKS = ("110110101011", "101101110011", "111001011101")
+#: Fixed masks: 1 is compared, 0 is ignored. Together they meet every window of SPAN words with ENOUGH equal ones; other values of those need other masks.
+MASKS = ("110111", "110001011", "1110100001", "100000011011")
 SPAN = 12
 ENOUGH = 9
 FILTER_BITS = 24
 
 
-def _seeds(words: np.ndarray, left: np.ndarray, short: list[int], whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _seeds(words: np.ndarray, left: np.ndarray, short: list[int], size: np.ndarray, items: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Seed hashes and the word each begins at. left: words from here to the document's end. short: lengths of short items;
-    whole, for items: their number of words, so that only whole short items are hashed."""
+    size: number of words of the whole text; of items, only whole short ones are hashed."""
     n, out, at = len(words), [], []
     where = np.arange(n)
     with np.errstate(over="ignore"):
         for k, mask in enumerate(MASKS):
-            ok = where[left >= SPAN]
+            ok = where[(left >= len(mask)) & (size >= SPAN)]
             total = np.full(len(ok), U(k + 1))
             for j, bit in enumerate(mask):
                 if bit == "1":
@@ -43,7 +44,7 @@ def _seeds(words: np.ndarray, left: np.ndarray, short: list[int], whole: np.ndar
             out.append(mix(total))
             at.append(ok)
         for length in short:
-            ok = where[left >= length] if whole is None else where[(whole == length) & (left == length)]
+            ok = where[(size == length) & (left == length)] if items else where[left >= length]
             total = np.full(len(ok), U(1000 + length))
             for j in range(length):
                 total = mix(total + words[ok + j] * U(2 * j + 3))
@@ -66,7 +67,7 @@ def benchmark_seeds(items: DataFrame, short: list[int], id: str, text: str) -> D
             n = np.diff(before)
             doc = np.repeat(np.arange(len(texts)), n)
             left = before[1:][doc] - np.arange(len(words))
-            seed, at = _seeds(words, left, short, n[doc])
+            seed, at = _seeds(words, left, short, n[doc], items=True)
             yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "item": texts.ids("id").take(pa.array(doc[at])),
                                               "place": at - before[doc[at]]})
 
@@ -93,9 +94,10 @@ def _stretches(docs: DataFrame, flags: np.ndarray, short: list[int], reach: int,
         bits = np.unpackbits(held.value).astype(bool)
         for texts in slices(batches):
             words, before = _doc_words(texts)
-            doc = np.repeat(np.arange(len(texts)), np.diff(before))
+            n = np.diff(before)
+            doc = np.repeat(np.arange(len(texts)), n)
             left = before[1:][doc] - np.arange(len(words))
-            seed, at = _seeds(words, left, short)
+            seed, at = _seeds(words, left, short, n[doc])
             ok = passes(bits, seed)
             seed, at = seed[ok], at[ok]
             order = np.argsort(at, kind="stable")

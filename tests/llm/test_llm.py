@@ -1,6 +1,7 @@
 """The text operators against brute force, SQL, exact round trips and odd inputs."""
 
 import collections
+import itertools
 import re
 import sys
 import zlib
@@ -130,6 +131,47 @@ def test_decontamination(spark, odd, none):
     assert decontamination.overlaps(none, bench).count() == 0 and decontamination.overlaps(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_masks():
+    """Whichever one, two or three of twelve words are replaced, a mask inside the window lies on equal words only."""
+    places = [{at + j for j, bit in enumerate(m) if bit == "1"} for m in decontamination.MASKS for at in range(decontamination.SPAN - len(m) + 1)]
+    for n in range(decontamination.SPAN - decontamination.ENOUGH + 1):
+        for gone in itertools.combinations(range(decontamination.SPAN), n):
+            assert any(p.isdisjoint(gone) for p in places), gone
+
+
+def brute_overlaps(docs, items):
+    """Pairs with a window of twelve words at the same distance of which nine are equal; shorter items as a whole."""
+    found = set()
+    for d, text in docs:
+        w = np.array(WORD.findall((text or "").translate(LOW)), object)
+        for i, passage in items:
+            x = np.array(WORD.findall((passage or "").translate(LOW)), object)
+            span, need = min(12, len(x)), 9 if len(x) >= 12 else len(x)
+            for at in range(span - len(x), len(w) - span + 1) if len(x) else ():
+                low, high = max(0, -at), min(len(x), len(w) - at)
+                same = (w[low + at:high + at] == x[low:high]).astype(int)
+                if np.convolve(same, np.ones(span, int), "valid").max() >= need:
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_decontamination_replaced_words(spark, docs):
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    rng, made = np.random.default_rng(11), [tuple(r) for r in docs.select("doc_id", "text").collect()][:60]
+    for k, (_, passage) in enumerate(items):
+        for n, rate in enumerate((None, 0.2, 0.25, 0.3)):
+            w = passage.split()
+            for at in range(k % 4, len(w), 4) if rate is None else np.flatnonzero(rng.random(len(w)) < rate):
+                w[at] = f"new{at}"
+            low = int(rng.integers(max(1, len(w) - 20)))
+            made.append((10_000 + 10 * k + n, " ".join(w if rate is None else ["before", *w[low:low + 20], "after"])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.overlaps(spark.createDataFrame(made, "doc_id long, text string").repartition(4), bench).collect()
+    want = brute_overlaps(made, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want and {10_000 + 10 * k for k in range(len(items))} <= {d for d, _ in want}
+
+
 def brute_components(pairs):
     sets, parent = {}, {}
     for d, x in pairs:
