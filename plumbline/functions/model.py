@@ -16,7 +16,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STATE_BUDGET = 2000  # fixed value: the size above which a model is approximated
-STEP_LIMIT = 40      # fixed value: longest completion searched for
 OTHER = "\x00other"
 
 EPS, NONE = ("eps",), ("none",)
@@ -164,26 +163,36 @@ class Model:
         return frozenset(out)
 
     @cached_property
-    def completion(self) -> tuple[tuple[str, ...] | None, ...]:
-        """Per state, the shortest named continuation to acceptance; declaration order breaks ties."""
+    def toward(self) -> tuple[tuple[int, int, int] | None, ...]:
+        """Per state: symbols of the shortest named continuation to acceptance, class of the first and the state behind it; declaration
+        order breaks ties, and accepting states have (0, -1, state). None where there is no continuation."""
+        before: dict[int, set[int]] = {}
+        for s, classes in enumerate(self.suggests):
+            for c in classes:
+                before.setdefault(self.delta[s][c], set()).add(s)
+        left, queue = dict.fromkeys(self.accepting, 0), deque(sorted(self.accepting))
+        while queue:
+            state = queue.popleft()
+            for s in before.get(state, ()):
+                if s not in left:
+                    left[s] = left[state] + 1
+                    queue.append(s)
         out = []
-        for start in range(len(self.delta)):
-            queue, seen, best = deque([(start, ())]), {start}, None
-            while queue:
-                state, path = queue.popleft()
-                if state in self.accepting:
-                    best = path
-                    break
-                if len(path) >= STEP_LIMIT:
-                    continue
-                for c in sorted(self.suggests[state]):
-                    nxt = self.delta[state][c]
-                    if nxt != self.dead and nxt not in seen:
-                        seen.add(nxt)
-                        queue.append((nxt, (*path, self.names[c])))
-            out.append(None if best is None else best)
+        for s in range(len(self.delta)):
+            n = left.get(s)
+            step = next((c for c in sorted(self.suggests[s]) if n and left.get(self.delta[s][c]) == n - 1), -1)
+            out.append(None if n is None else (n, step, self.delta[s][step] if n else s))
         return tuple(out)
 
+    @cached_property
+    def completion(self) -> tuple[tuple[str, ...] | None, ...]:
+        """Per state, the shortest named continuation to acceptance; declaration order breaks ties."""
+        found: dict[int, tuple[str, ...]] = {}
+        for s in sorted((s for s, x in enumerate(self.toward) if x), key=lambda s: self.toward[s][0]):
+            n, step, behind = self.toward[s]
+            found[s] = (self.names[step], *found[behind]) if n else ()
+        return tuple(found.get(s) for s in range(len(self.delta)))
+
     def next_names(self, state: int) -> list[str]:
         """Named symbols legal after `state` that can still lead to acceptance."""
         return [self.names[c] for c in sorted(self.suggests[state]) if self.delta[state][c] in self.live]

@@ -24,7 +24,7 @@ def as_nodes(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> Da
 
 def profile(nodes: DataFrame, name: str = "name", value: str = "value", has_children: str | None = None,
             keys: Sequence[str] = ()) -> DataFrame:
-    """Per name: occurrences, has_text, has_children, distinct values, and up to 64 of them.
+    """Per name: occurrences, has_text, has_children, distinct values, and up to 64 of them (`profile_values` has all).
 
     Counted per (name, value) first, so neither a frequent name nor a frequent value gathers rows.
     """
@@ -40,6 +40,12 @@ def profile(nodes: DataFrame, name: str = "name", value: str = "value", has_chil
     return stats.join(values, [*keys, "name"], "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
 
 
+def profile_values(nodes: DataFrame, name: str = "name", value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """Every distinct value of every name with its count, one row each, so no row grows with the values."""
+    text = F.nullif(F.trim(F.col(value)), F.lit(""))
+    return nodes.groupBy(*keys, F.col(name).alias("name"), text.alias("value")).agg(F.count(F.lit(1)).alias("occurrences")).where("value is not null")
+
+
 def infer_occurs(parents: DataFrame, children: DataFrame, keys: Sequence[str], name: str,
                  parent_keys: Sequence[str] | None = None) -> DataFrame:
     """Fewest and most of each child name per parent; absent anywhere means 0, more than one means

@@ -147,7 +147,16 @@ def _per_state(values: Sequence[Sequence[str] | None]) -> Column:
 
 def missing_to_complete(g: Groups) -> DataFrame:
     """Shortest named continuation of each group; NULL where it is already broken."""
-    return g.final_states().select(*g.keys, F.get(_per_state(g.model.completion), F.col("state")).alias("missing"))
+    model = g.model
+    left = F.array(*[F.lit(x[0] if x else None).cast("int") for x in model.toward])
+    symbol = F.array(*[F.lit(model.names[x[1]] if x and x[0] else None).cast("string") for x in model.toward])
+    behind = F.array(*[F.lit(x[2] if x else None).cast("int") for x in model.toward])
+    start = F.struct(F.col("state").cast("int").alias("at"), F.array().cast("array<string>").alias("path"))
+    path = F.aggregate(F.sequence(F.lit(1), F.get(left, F.col("state"))), start,
+                       lambda done, _: F.struct(F.get(behind, done["at"]).alias("at"), F.concat(done["path"], F.array(F.get(symbol, done["at"]))).alias("path")),
+                       lambda done: done["path"])
+    n = F.get(left, F.col("state"))
+    return g.final_states().select(*g.keys, F.when(n == 0, F.array().cast("array<string>")).when(n > 0, path).alias("missing"))
 
 
 def allowed_next(g: Groups) -> DataFrame:

@@ -148,3 +148,12 @@ def test_random_models_against_re(spark):
                 state = m.delta[state][m.names.index(ch) if ch in m.names else m.width - 1]
             assert (state in m.accepting) == bool(rx.match(word)), (text, word)
             assert m.completion[state] is not None or state not in m.live
+
+
+def test_long_completions(spark):
+    """Continuations of more than 40 symbols are found whole."""
+    model = compile_model(seq(elem("head"), elem("x", 60, 80), choice(seq(elem("p"), elem("q")), elem("z"))))
+    assert model.completion[0] == ("head", *["x"] * 60, "z")
+    frame = spark.createDataFrame([(1, 1, "head"), (1, 2, "x"), (2, 1, "x"), (3, 1, "head"), *[(3, i, "x") for i in range(2, 62)], (3, 62, "z")], "k long, o long, s string")
+    got = {r.k: r.missing for r in Q.missing_to_complete(Q.Groups(frame, ["k"], "o", "s", model)).collect()}
+    assert got == {1: ["x"] * 59 + ["z"], 2: None, 3: []}

@@ -213,3 +213,12 @@ def test_monitor_reports_violations_and_incomplete_keys(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(set(seen)) == [("b", "incomplete"), ("c", "violation")]
+
+
+def test_profile_values(spark):
+    """All values of a name, more than the 64 of the profile's list."""
+    from plumbline.operators import profile as P
+
+    frame = spark.range(500).selectExpr("concat(' v', id % 200) as a", "case when id < 5 then ' ' else 'b' end as b")
+    got = {(r.name, r.value): r.occurrences for r in P.profile_values(P.as_nodes(frame, ["a", "b"])).collect()}
+    assert got == {**{("a", f"v{i}"): 3 if i < 100 else 2 for i in range(200)}, ("b", "b"): 495}
