@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import context_tree, decontamination, jaccard_join, language_id, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding
+from plumbline.llm import context_tree, decontamination, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding
 from plumbline.llm.kit import crc_mod
 from plumbline.llm.sql import SQL  # noqa: F401
 
@@ -98,3 +98,9 @@ def op10_quality_classifier(spark, sf):
     model = quality_classifier.learn(docs, table(spark, sf, "labels"), crc_mod("doc_id", 5) != 0)
     scored = quality_classifier.score(docs, model)
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op13_fill_in_middle(spark, sf):
+    stored = fill_in_middle.store(table(spark, sf, "documents"))
+    return fill_in_middle.infill(stored, with_frames=False)

@@ -42,3 +42,16 @@ b as (select *, (n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_word
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
   n_repeat_words::bigint as n_repeat_words, failed_rules % 4 > 0 as base_failed, failed_rules = 0 as kept, failed_rules from b
 """
+
+SQL["op13_fill_in_middle"] = """
+with t as (select doc_id, coalesce(text, '') as text, sha256(concat('1:', doc_id)) as h from documents),
+h as (select *, length(text)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3,
+  ('0x' || h[25:32])::bigint as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+  when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substring(text, 1, a) as pre, substring(text, a + 1, b - a) as mid, substring(text, b + 1) as suf from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then concat('<P>', pre, '<S>', suf, '<M>', mid) else concat('<S>', suf, '<P>', pre, '<M>', mid) end)
+    as output_sha256, sha256(text) as restored_sha256 from p
+"""
