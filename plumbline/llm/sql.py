@@ -55,3 +55,29 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
   sha256(case form when 'plain' then text when 'psm' then concat('<P>', pre, '<S>', suf, '<M>', mid) else concat('<S>', suf, '<P>', pre, '<M>', mid) end)
     as output_sha256, sha256(text) as restored_sha256 from p
 """
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Rounds written out one after another; parts as lists of doubles, which hold these whole numbers exactly."""
+    near = """near{t} as materialized (select rid, p, min([list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), e]) as best
+  from part join book{t} using (p) group by rid, p)"""
+    book = """sum{t} as materialized (select p, e, pos, sum(x)::bigint as s, count(*) as n from (select p, best[2] as e, unnest(v) as x, generate_subscripts(v, 1) as pos
+  from part join near{t} using (rid, p)) group by p, e, pos),
+mean{t} as (select p, e, list(((s - ((s % n) + n) % n) // n)::double order by pos) as c from sum{t} group by p, e),
+book{u} as materialized (select p, e, coalesce(m.c, b.c) as c from book{t} b left join mean{t} m using (p, e))"""
+    steps = ",\n".join(near.format(t=t) + ",\n" + book.format(t=t, u=t + 1) for t in range(rounds))
+    return f"""
+with kept as (select row_number() over (order by vec_id) - 1 as rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+part as materialized (select rid, p::double as p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] as v from kept, range(4) r(p)),
+book0 as materialized (select p, rid::double as e, v as c from part where rid < 256),
+{steps},
+{near.format(t=rounds)},
+found as (select rid, string_agg(printf('%02x', best[2]::int), '' order by p) as code, sum(best[1])::bigint as error from near{rounds} group by rid),
+flat as (select p, e, unnest(c) as x, generate_subscripts(c, 1) as pos from book{rounds}),
+digest as (select sha256(string_agg(x::bigint::varchar, ',' order by p, e, pos)) as codebooks_sha256 from flat)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from kept join found using (rid), digest
+"""
+
+
+SQL["op12_vector_codes"] = _vector_codes()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from plumbline.llm import fill_in_middle, queries  # noqa: E402
+from plumbline.llm import fill_in_middle, queries, vector_codes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, n long, form string, frames string, id long, first string, length long"
@@ -68,3 +68,65 @@ def test_fill_in_middle_reuses_whole_frames():
     out = fill_in_middle.arranged(text, "psm", 2500, 30100, [b"<P>", b"<S>", b"<M>"])
     assert len(frames) == 40 and len(set(frames[:2] + frames[3:30] + frames[31:]) - set(out)) == 0
     assert b"".join(map(fill_in_middle.plain, out)) == b"<P>" + data[:2500].tobytes() + b"<S>" + data[30100:].tobytes() + b"<M>" + data[2500:30100].tobytes()
+
+
+def lloyd(rows, rounds=4):
+    """Codes and final codebooks of (id, vector) rows by full scans in whole numbers."""
+    kept = sorted(((i is None, i or 0), [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v))
+    width = -(-max(len(v) for _, v in kept) // 4) * 4
+    x = np.array([v + [0] * (width - len(v)) for _, v in kept], object).reshape(len(kept), 4, -1)
+    books = [x[:256, p] for p in range(4)]
+    for k in range(rounds + 1):
+        codes = np.array([[min(range(len(books[p])), key=lambda e: (((v[p] - books[p][e]) ** 2).sum(), e)) for p in range(4)] for v in x])
+        if k < rounds:
+            books = [np.array([x[codes[:, p] == e, p].sum(0) // (codes[:, p] == e).sum() if (codes[:, p] == e).any() else c for e, c in enumerate(books[p])])
+                     for p in range(4)]
+    errors = [sum(((v[p] - books[p][c[p]]) ** 2).sum() for p in range(4)) for v, c in zip(x, codes)]
+    return sorted((key, bytes(c.tolist()).hex(), int(e)) for (key, _), c, e in zip(kept, codes, errors)), books
+
+
+def vectors(n, seed, size=8, spread=0.3):
+    rng = np.random.default_rng(seed)
+    made = [(i, (rng.normal(size=size) * spread + rng.integers(0, 3, size)).astype(np.float32).tolist(), int(i % 5) if i % 7 else None) for i in range(n)]
+    return made + made[:3]
+
+
+@pytest.mark.parametrize("case", ["plain", "odd", "far"])
+def test_vector_codes(spark, case):
+    made = vectors(600, 4)
+    if case == "odd":
+        nan, inf = float("nan"), float("inf")
+        made = vectors(90, 5) + [(200, None, 1), (201, [1.0, None, 2.0], 1), (202, [nan] * 8, 1), (203, [inf, 1.0], None), (None, [0.5] * 8, None), (None, [0.5] * 8, None),
+                                 (204, [], 2), (205, [0.25] * 5, 3), (3, [0.1] * 8, 2)]
+    if case == "far":  # squares beyond the whole numbers of floating point
+        made = [(i, [x * 20_000 for x in v], b) for i, v, b in vectors(300, 6, 4)]
+    df = spark.createDataFrame([(i, v, b, "x", 1) for i, v, b in made], "vec_id long, embedding array<float>, label int, code string, x int").repartition(5)
+    coded, books = vector_codes.learn(df)
+    got = coded.collect()
+    want, want_books = lloyd([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v, _ in made])
+    assert sorted(((r.id is None, r.id or 0), r.code, r.error) for r in got) == want
+    assert books.tolist() == [[list(map(int, c)) for c in b] for b in want_books]
+    if case == "plain":
+        assert sum(r.scans for r in got) < 0.7 * 5 * 4 * 256 * len(got)
+    total = collections.defaultdict(int)
+    for r in got:
+        total[r.label] += r.error
+    out = vector_codes.label_errors(coded).collect()
+    assert len(out) == len(got) and all(r.label_error == total[r.label] for r in out)
+    back = vector_codes.restored(coded.limit(3), books).collect()
+    assert all(np.allclose(r.vector, np.concatenate([books[p][e] for p, e in enumerate(bytes.fromhex(r.code))]) / 1024) for r in back)
+
+
+def test_vector_codes_many_labels(spark, monkeypatch):
+    """Labels below the share of heavy ones are exchanged; results do not change."""
+    monkeypatch.setattr(vector_codes, "HEAVY", 3)
+    coded = spark.createDataFrame([(i, None if i % 3 == 0 else i % 40, "00", i, 0) for i in range(500)], "id long, label int, code string, error long, scans long")
+    want = {r.label: r.s for r in coded.groupBy("label").agg(F.sum("error").alias("s")).collect()}
+    out = vector_codes.label_errors(coded).collect()
+    assert len(out) == 500 and all(r.label_error == want[r.label] for r in out)
+
+
+def test_vector_codes_none(spark):
+    df = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
+    coded, books = vector_codes.learn(df)
+    assert coded.count() == 0 and vector_codes.label_errors(coded).count() == 0 and vector_codes.codebooks_digest(books) == hashlib.sha256(b"").hexdigest()

@@ -54,7 +54,8 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF).toArrow().to_pandas()
     want = con.sql(queries.SQL[name]).to_arrow_table().to_pandas()
     assert sorted(got.columns) == sorted(want.columns)
