@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import context_tree, decontamination, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, packing, quality_classifier, quality_rules, sharding, vector_codes
+from plumbline.llm import (best_fit_packing, context_tree, decontamination, fill_in_middle, jaccard_join, language_id, license_scan, line_dedup, packing,
+                           quality_classifier, quality_rules, sharding, vector_codes)
 from plumbline.llm.kit import crc_mod
 from plumbline.llm.sql import SQL  # noqa: F401
 
@@ -111,3 +112,8 @@ def op12_vector_codes(spark, sf):
     coded, books = vector_codes.learn(table(spark, sf, "embeddings"))
     out = vector_codes.label_errors(coded).withColumn("codebooks_sha256", F.lit(vector_codes.codebooks_digest(books)))
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op11_best_fit_packing(spark, sf):
+    return best_fit_packing.pack(table(spark, sf, "documents"), tokenizer_path(), with_ids=False)

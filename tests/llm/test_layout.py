@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from plumbline.llm import fill_in_middle, queries, vector_codes  # noqa: E402
+from plumbline.llm import best_fit_packing, fill_in_middle, queries, vector_codes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, n long, form string, frames string, id long, first string, length long"
@@ -130,3 +130,94 @@ def test_vector_codes_none(spark):
     df = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     coded, books = vector_codes.learn(df)
     assert coded.count() == 0 and vector_codes.label_errors(coded).count() == 0 and vector_codes.codebooks_digest(books) == hashlib.sha256(b"").hexdigest()
+
+
+def laid_out(plan, counts, tokens):
+    """Every rank of every length lies in one run, and every sequence is filled from 0 without gaps or overlap."""
+    ranks, spans = collections.defaultdict(list), collections.defaultdict(list)
+    for r in plan.runs:
+        ranks[r.length].append((r.first, r.first + r.count))
+        for k in range(r.count):
+            spans[r.sequence + k // r.per].append((r.offset + k % r.per * r.length, r.length))
+    for length, parts in ranks.items():
+        parts.sort()
+        assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == counts[length]
+    assert set(ranks) == set(np.flatnonzero(counts)) and sorted(spans) == list(range(plan.sequences))
+    for parts in spans.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= tokens
+
+
+def fewest(items, room):
+    """The least number of sequences, by trying all."""
+    best = len(items)
+
+    def go(k, left):
+        nonlocal best
+        if len(left) >= best:
+            return
+        if k == len(items):
+            best = len(left)
+            return
+        for i in {x: i for i, x in enumerate(left) if x >= items[k]}.values():
+            go(k + 1, [x - items[k] * (j == i) for j, x in enumerate(left)])
+        go(k + 1, [*left, room - items[k]])
+
+    items = sorted(items, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_best_fit_plan():
+    rng = np.random.default_rng(7)
+    for k in range(150):
+        tokens = int(rng.choice([8, 16, 33]))
+        items = rng.integers(1, tokens + 1, int(rng.integers(0, 12)))
+        counts = np.bincount(items, minlength=tokens + 1)
+        laid_out(best_fit_packing.Plan(counts, tokens, groups=int(rng.choice([1, 3, 8]))), counts, tokens)
+        plan = best_fit_packing.Plan(counts, tokens)  # each length is a group of its own
+        laid_out(plan, counts, tokens)
+        assert plan.sequences <= fewest(items.tolist(), tokens) + 1
+    for items, most in ((rng.integers(300, 900, 3000), 1.03), (np.minimum(2048, rng.lognormal(5.7, 1.2, 3000).astype(int) + 1), 1.01), (np.full(3000, 600), 1.14)):
+        counts = np.bincount(items, minlength=2049)
+        plan = best_fit_packing.Plan(counts)
+        laid_out(plan, counts, 2048)
+        assert plan.sequences <= most * items.sum() / 2048 + 1
+    pairs = rng.integers(300, 1700, 4000)  # there is a packing without any room left
+    counts = np.bincount(np.concatenate([pairs, 2048 - pairs]), minlength=2049)
+    assert best_fit_packing.Plan(counts).sequences <= 1.04 * 4000
+
+
+def test_knapsack():
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        sizes, values, room = np.unique(rng.integers(3, 20, 5)), rng.random(5), int(rng.integers(3, 60))
+        values = values[:len(sizes)]
+        best = [0.0] * (room + 1)
+        for c in range(room + 1):
+            best[c] = max([best[c - s] + v for s, v in zip(sizes, values) if s <= c], default=0.0)
+        taken = best_fit_packing.knapsack(sizes, values, room)
+        assert taken @ sizes <= room and abs(taken @ values - best[room]) < 1e-9
+
+
+def test_best_fit_packing(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    for df in (spark.read.parquet(f"{SF}/documents.parquet"), odd.where("doc_id is not null").dropDuplicates(["doc_id"]), odd):
+        out = best_fit_packing.pack(df, queries.tokenizer_path()).collect()
+        spans, found = collections.defaultdict(list), collections.defaultdict(list)
+        for p in out:
+            spans[p.sequence_id].append((p.offset, p.length))
+            found[p.doc_id].append((p.piece, p.start, p.length, p.ids))
+            assert p.length == len(p.ids) and p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes())
+        for parts in spans.values():
+            parts.sort()
+            assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 2048
+        want = collections.defaultdict(list)
+        for r in df.select("doc_id", "text").collect():
+            ids = t.encode(r.text or "", add_special_tokens=False).ids + [0]
+            want[r.doc_id] += [(k, a, len(ids[a:a + 2048]), ids[a:a + 2048]) for k, a in enumerate(range(0, len(ids), 2048))]
+        assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+        assert len(spans) <= 1.02 * sum(p.length for p in out) / 2048 + 1
+    assert best_fit_packing.pack(none, queries.tokenizer_path()).count() == 0
