@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from plumbline.catalog import base, query, table, with_base
 from plumbline.catalog.keys import PLACES, place_nodes
 from plumbline.functions import types as Y
+from plumbline.functions.model import compile_model
 from plumbline.operators import check as C
 from plumbline.operators import findings as N
 from plumbline.operators import keys as K
 from plumbline.operators import profile as P
 from plumbline.operators import rules as B
+from plumbline.operators import sequence as Q
 
 EVENT_COLS = ["event_type", "value", "props"]
 
@@ -105,6 +107,41 @@ def follow(spark, sf):
     return P.follow_pairs(table(spark, sf, "events"), ["user_id"], "ts", "event_type")
 
 
+LEARNT = {"conversations": ("conv_id", "turn", "role"), "events": ("user_id", "ts", "event_type")}
+
+
+@query("A9b_observed_model", """
+with r as (select conv_id as g, role as s, lag(role) over w as p, lead(role) over w as n from conversations window w as (partition by conv_id order by turn)),
+e as (select event_type as s, lag(event_type) over w as p, lead(event_type) over w as n from events window w as (partition by user_id order by ts)),
+pairs as (select 'conversations' as source, s as symbol, coalesce(n, '$') as next from r union all select 'conversations', '^', s from r where p is null
+  union all select 'events', s, coalesce(n, '$') from e union all select 'events', '^', s from e where p is null),
+found as (select source, symbol, next, count(*) as times from pairs group by all),
+talk(symbol, next) as (values ('^', 'system'), ('^', 'user'), ('system', 'user'), ('user', 'assistant'), ('user', 'user'), ('assistant', 'user'), ('user', '$'), ('assistant', '$'))
+select 'conversations' as source, symbol, next, coalesce(times, 0)::bigint as times from talk left join (select * from found where source = 'conversations') using (symbol, next)
+union all select source, symbol, next, times from found where source = 'events'""")
+def observed_model(spark, sf):
+    """Every pair the learnt models allow, with how often it occurs. Conversations follow system? (user assistant?)+, which also
+    allows a user after a user; the model of the events allows the observed pairs alone."""
+    out = None
+    for name, (key, order, symbol) in LEARNT.items():
+        df = table(spark, sf, name)
+        pairs = P.model_pairs(df, [key], order, symbol, P.observed_model(df, [key], order, symbol)).withColumn("source", F.lit(name))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+@query("A9c_observed_model_valid", "select 'conversations' as source, conv_id as g, true as valid from conversations group by conv_id union all select 'events', user_id, true from events group by user_id")
+def observed_model_valid(spark, sf):
+    """No group falls out of the model learnt from it."""
+    out = None
+    for name, (key, order, symbol) in LEARNT.items():
+        df = table(spark, sf, name)
+        model = compile_model(P.observed_model(df, [key], order, symbol))
+        valid = Q.sequence_valid(Q.Groups(df, [key], order, symbol, model)).select(F.lit(name).alias("source"), F.col(key).alias("g"), "valid")
+        out = valid if out is None else out.unionByName(valid)
+    return out
+
+
 @query("A10_infer_from_many", """
 with n as (select source, 'lang' as name, lang as v from documents union all select source, 'half', case when doc_id % 2 = 0 then lang end from documents where true)
 select name, count(*) as occurrences, count(v) > 0 as has_text, count(distinct v) as distinct_values, count(distinct source) filter (v is not null) as documents from n group by name""")

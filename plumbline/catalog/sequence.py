@@ -1,5 +1,6 @@
 """Order models over the roles of conversations and the events of users."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.catalog import base, query, table, with_base
@@ -133,3 +134,41 @@ select conv_id, errors, row_number() over (partition by conv_id % 5 order by err
 def placement(spark, sf):
     options = Q.placement_options(talk(spark, sf), ["assistant", "user", "assistant"]).withColumn("scope", F.col("conv_id") % 5)
     return Q.rank_placements(options, ["scope"], "conv_id").select("conv_id", "errors", F.col("rank"))
+
+
+# Events of a user sorted by type, so that their order is right and only the counts matter.
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def by_type(spark, sf, group="user_id") -> DataFrame:
+    place = F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type"))
+    return table(spark, sf, "events").select(F.expr(group).alias("g"), (place * (1 << 40) + F.col("event_id")).alias("at"), "event_type")
+
+
+COUNTS = f"""with c as (select {{group}} as g, {', '.join(f"count(*) filter (event_type = '{t}') as {t}" for t in TYPES)} from events group by all)
+"""
+
+
+@query("Q1c_sequence_valid_counts", COUNTS.format(group="user_id % 8") + f"select g, {' and '.join(f'{t} between 20 and 260' for t in TYPES[:-1])} and view between 25 and 9000 as valid from c")
+def valid_counts(spark, sf):
+    """Large bounds are kept exactly: a model of about ten thousand states in a few runs."""
+    model = seq(*[elem(t, 20, 260) for t in TYPES[:-1]], elem("view", 25, 9000))
+    return Q.sequence_valid(Q.Groups(by_type(spark, sf, "user_id % 8"), ["g"], "at", "event_type", compile_model(model)))
+
+
+UP_TO_14 = [elem(t, 0, 14) for t in TYPES[:-1]]
+
+
+@query("Q4b_missing_counts", COUNTS.format(group="user_id") + f"""
+select g, case when {' or '.join(f'{t} > 14' for t in TYPES[:-1])} or view > 9000 then null when view >= 20 then '' else array_to_string(list_transform(range(20 - view), lambda i: 'view'), ',') end as missing from c""")
+def missing_counts(spark, sf):
+    g = Q.Groups(by_type(spark, sf), ["g"], "at", "event_type", compile_model(seq(*UP_TO_14, elem("view", 20, 9000))))
+    return Q.missing_to_complete(g).select("g", F.array_join("missing", ",").alias("missing"))
+
+
+@query("Q9b_repair_cost_counts", COUNTS.format(group="user_id") + f"""
+, x as (select g, {' + '.join(f'greatest({t} - 14, 0)' for t in TYPES[:-1])} + greatest(view - 9000, 0) as n from c)
+select g, cast(case when n <= 4 then n end as integer) as cost from x""")
+def repair_cost_counts(spark, sf):
+    """Least edits under a model of nine thousand states: every row too many is one."""
+    return Q.repair_cost(Q.Groups(by_type(spark, sf), ["g"], "at", "event_type", compile_model(seq(*UP_TO_14, elem("view", 0, 9000)))))

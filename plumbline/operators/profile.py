@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexical as L
+from plumbline.functions import observed
+from plumbline.functions.model import allowed_pairs, compile_model
 from plumbline.functions.text import humanise
 from plumbline.plans.ordered import neighbours
 from plumbline.plans.skew import skew_join, top_n_per_group
@@ -138,6 +140,39 @@ def follow_pairs(df: DataFrame, keys: Sequence[str], order: str, symbol: str, ch
     return near.select(F.inline(rows)).groupBy("symbol", "next").agg(F.count(F.lit(1)).alias("times"))
 
 
+def observed_edges(df: DataFrame, keys: Sequence[str], order: str, symbol: str, chunk_rows: int | None = None) -> DataFrame:
+    """(kind, symbol, next, times): symbols that begin a group (kind first), end it (last), or follow one another (pair)."""
+    boxed = df.select(*keys, order, F.struct(F.col(symbol).alias("s")).alias("_box"))  # a NULL symbol is not a missing neighbour
+    near = neighbours(boxed, keys, order, "_box", "_p", "_f", chunk_rows)
+    edge = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("symbol"), b.alias("next"))
+    none = F.lit(None).cast(df.schema[symbol].dataType)
+    rows = F.array_compact(F.array(F.when(F.col("_p").isNull(), edge("first", F.col("_box.s"), none)), F.when(F.col("_f").isNull(), edge("last", F.col("_box.s"), none)),
+                                   F.when(F.col("_f").isNotNull(), edge("pair", F.col("_box.s"), F.col("_f.s")))))
+    return near.select(F.inline(rows)).groupBy("kind", "symbol", "next").agg(F.count(F.lit(1)).alias("times"))
+
+
+def observed_model(df: DataFrame, keys: Sequence[str], order: str, symbol: str, chunk_rows: int | None = None):
+    """An order model that every group follows, learnt from the pairs of symbols, as an expression for `compile_model`.
+
+    Only the distinct pairs come to the driver, at most the square of `observed.MAX_SYMBOLS`; beyond that it raises."""
+    most = (observed.MAX_SYMBOLS + 2) ** 2
+    edges = observed_edges(df, keys, order, symbol, chunk_rows).select("kind", "symbol", "next").limit(most + 1).collect()
+    if len(edges) > most:
+        raise ValueError(f"more than {most} different pairs of symbols")
+    of = lambda kind: [(r["symbol"], r["next"]) for r in edges if r["kind"] == kind]
+    return observed.learn([a for a, _ in of("first")], [a for a, _ in of("last")], of("pair"))
+
+
+def model_pairs(df: DataFrame, keys: Sequence[str], order: str, symbol: str, root, chunk_rows: int | None = None) -> DataFrame:
+    """(symbol, next, times) for every pair the model allows, with how often it occurs; "^" starts and "$" ends a group."""
+    allowed = df.sparkSession.createDataFrame(sorted(tuple(map(str, p)) for p in allowed_pairs(compile_model(root))), "symbol string, next string")
+    seen = observed_edges(df, keys, order, symbol, chunk_rows)
+    seen = seen.select(F.when(F.col("kind") == "first", "^").otherwise(F.col("symbol").cast("string")).alias("symbol"),
+                       F.when(F.col("kind") == "first", F.col("symbol").cast("string")).when(F.col("kind") == "last", "$").otherwise(F.col("next").cast("string")).alias("next"), "times")
+    # both sides hold distinct pairs of symbols
+    return allowed.join(seen, ["symbol", "next"], "left").select("symbol", "next", F.coalesce("times", F.lit(0)).cast("long").alias("times"))
+
+
 def infer_from_many(df: DataFrame, doc: str, cols: Sequence[str]) -> DataFrame:
     """A profile over many documents: also in how many of them each name has a value."""
     nodes = as_nodes(df, cols, [doc])

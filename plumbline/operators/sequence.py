@@ -1,13 +1,13 @@
 """Ordered-group operators: does the order of rows in each group follow a model, and if not, why.
 
 Groups are gathered as arrays of small class ids, in chunks of at most about `chunk_rows` rows. A
-chunk is summarised as a map from entry state to end state; summaries of one group compose, so a
-group of any size is decided from a few small arrays and no task holds more than a chunk.
+chunk is summarised as a map from entry state to end state, in runs of states; summaries of one group
+compose, so a group of any size is decided from a few small arrays and no task holds more than a chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.model import Model
-from plumbline.functions.repairs import PER_EDIT, Repairer, alive_before, chunk_map, trace
+from plumbline.functions.repairs import Repairer
+from plumbline.functions.stepping import inside, preimage, value
 from plumbline.operators.findings import finding, key_text
 from plumbline.plans.ordered import CHUNK, match, row_numbers, with_chunks
 from plumbline.plans.skew import skew_join
@@ -45,61 +46,94 @@ class Groups:
 
     # --- summaries -------------------------------------------------------------------------------
 
-    def _vectors(self) -> DataFrame:
-        delta = np.array(self.model.delta)
+    def _maps(self) -> DataFrame:
+        """Per group its chunks in order: the map from entry to exit state as runs, rows and classes of each."""
+        steps = self.model.steps
 
-        @F.pandas_udf("array<int>")
-        def vector(cls: pd.Series) -> pd.Series:
-            return pd.Series([chunk_map(delta, c).tolist() for c in cls])
+        @F.pandas_udf(MAP)
+        def summary(cls: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([[a.tolist() for a in steps.chunk_map(c)] for c in cls], columns=["start", "target", "slope"])
 
-        part = self.chunks.select(*self.keys, CHUNK, vector("_cls").alias("v"), F.size("_cls").alias("n"),
+        part = self.chunks.select(*self.keys, CHUNK, summary("_cls").alias("m"), F.size("_cls").alias("n"),
                                   F.array_distinct("_cls").alias("seen"))
         return part.groupBy(*self.keys).agg(
-            F.array_sort(F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), "v", "n", "seen"))).alias("_parts"))
+            F.array_sort(F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), "m", "n", "seen"))).alias("_parts"))
 
     def final_states(self) -> DataFrame:
         """(keys, state) after the last row of each group."""
         if not self.cut:
             return self.chunks.select(*self.keys, self._fold(F.col("_cls")).alias("state"))
-        fold = F.aggregate("_parts", F.lit(0), lambda s, p: F.get(p["v"], s))
-        return self._vectors().select(*self.keys, fold.alias("state"))
 
-    def _fold(self, cls: Column) -> Column:
-        return F.aggregate(cls, F.lit(0), self.model.step)
+        @F.pandas_udf("int")
+        def through(parts: pd.Series) -> pd.Series:
+            out = []
+            for group in parts:
+                state = 0
+                for p in group:
+                    state = value(_map(p["m"]), state)
+                out.append(state)
+            return pd.Series(out)
+
+        return self._maps().select(*self.keys, through("_parts").alias("state"))
+
+    def _fold(self, cls: Column, entry: Column | None = None) -> Column:
+        """State after the rows: inside the plan for a small model, in Arrow batches for one with many states."""
+        entry = F.lit(0) if entry is None else entry
+        if self.model.small:
+            return F.aggregate(cls, entry, self.model.step)
+        steps = self.model.steps
+
+        @F.pandas_udf("int")
+        def final(cls: pd.Series, entry: pd.Series) -> pd.Series:
+            return pd.Series([t[-1] if len(t) else e for t, e in zip(steps.traces(list(cls), list(entry)), entry)])
+
+        return final(cls, entry)
+
+    def per_state(self, state: Column, kind: str, of) -> Column:
+        """A function of the model state: a list in the plan for a small model, computed in Arrow batches otherwise."""
+        if self.model.small:
+            return F.get(F.array(*[F.lit(None).cast(kind) if (v := of(s)) is None else (F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v)).cast(kind)
+                                   for s in range(self.model.size)]), state)
+
+        @F.pandas_udf(kind)
+        def looked_up(state: pd.Series) -> pd.Series:
+            known = {s: of(s) for s in set(state.dropna().tolist())}
+            return pd.Series([known.get(s) for s in state], dtype=object)
+
+        return looked_up(state)
 
     def bounded_chunks(self) -> DataFrame:
         """Chunks with what they need to know of the rest of their group: the entry state, the
-        states that the rows after the chunk can complete, rows before it, the final state, the
+        states that the rows after the chunk can complete (ranges), rows before it, the final state, the
         classes present, and whether it is the last chunk."""
         model = self.model
-        live = sorted(model.live)
+        flat = lambda ranges: [x for r in ranges for x in r]
         if not self.cut:
             return self.chunks.withColumns({
-                "_entry": F.lit(0), "_alive": F.array(*map(F.lit, live)).cast("array<int>"), "_before": F.lit(0).cast("long"),
+                "_entry": F.lit(0), "_alive": F.array(*map(F.lit, flat(model.live))).cast("array<int>"), "_before": F.lit(0).cast("long"),
                 "_final": self._fold(F.col("_cls")), "_seen": F.array_distinct("_cls"), "_last": F.lit(True)})
-        states = len(model.delta)
 
         @F.pandas_udf("array<struct<entry:int,alive:array<int>,before:long,final:int,last:boolean>>")
         def bounds(parts: pd.Series) -> pd.Series:
             out = []
             for group in parts:
-                vecs = [np.asarray(p["v"]) for p in group]
+                maps = [_map(p["m"]) for p in group]
                 entries, state = [], 0
-                for v in vecs:
+                for m in maps:
                     entries.append(state)
-                    state = int(v[state])
-                alive = np.isin(np.arange(states), live)
+                    state = value(m, state)
+                alive = model.live
                 after = []
-                for v in reversed(vecs):
-                    after.append(np.flatnonzero(alive).tolist())
-                    alive = alive[v]
+                for m in reversed(maps):
+                    after.append(flat(alive))
+                    alive = preimage(m, alive, model.size)
                 after.reverse()
                 befores = np.concatenate([[0], np.cumsum([p["n"] for p in group])])
-                out.append([{"entry": e, "alive": a, "before": int(b), "final": state, "last": i == len(vecs) - 1}
+                out.append([{"entry": e, "alive": a, "before": int(b), "final": state, "last": i == len(maps) - 1}
                             for i, (e, a, b) in enumerate(zip(entries, after, befores))])
             return pd.Series(out)
 
-        known = self._vectors().withColumn("_b", bounds("_parts")).withColumn(
+        known = self._maps().withColumn("_b", bounds("_parts")).withColumn(
             "_seen", F.array_distinct(F.flatten(F.col("_parts.seen"))))
         known = known.select(*self.keys, "_seen", F.explode(F.arrays_zip(F.col("_parts.chunk").alias("chunk"), F.col("_b").alias("b"))).alias("_z"))
         known = known.select(*self.keys, F.col("_z.chunk").alias(CHUNK), F.col("_z.b.entry").alias("_entry"), F.col("_z.b.alive").alias("_alive"),
@@ -107,6 +141,18 @@ class Groups:
         return match(self.chunks, known, [*self.keys, CHUNK])
 
 
+MAP = "struct<start:array<long>,target:array<long>,slope:array<long>>"
+
+
+def _map(m) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.asarray(m[c], np.int64) for c in ("start", "target", "slope"))
+
+
+def _ranges(flat) -> tuple[tuple[int, int], ...]:
+    flat = list(map(int, flat))
+    return tuple(zip(flat[::2], flat[1::2]))
+
+
 def sequence_valid(g: Groups) -> DataFrame:
     """Does each group match the model exactly?"""
     return g.final_states().select(*g.keys, g.model.is_accepting(F.col("state")).alias("valid"))
@@ -114,11 +160,11 @@ def sequence_valid(g: Groups) -> DataFrame:
 
 def sequence_trace(g: Groups) -> DataFrame:
     """Model state after each row (the dead state is the last one)."""
-    rows = [list(r) for r in g.model.delta]
+    steps = g.model.steps
 
     @F.pandas_udf("array<int>")
     def states(cls: pd.Series, entry: pd.Series) -> pd.Series:
-        return pd.Series([trace(rows, c, e) for c, e in zip(cls, entry)])
+        return pd.Series([t.tolist() for t in steps.traces(list(cls), list(entry))])
 
     out = g.bounded_chunks().withColumn("_s", states("_cls", "_entry"))
     out = out.select(*g.keys, F.explode(F.arrays_zip("_ords", "_syms", "_s")).alias("_r"))
@@ -134,23 +180,29 @@ def first_invalid(g: Groups) -> DataFrame:
         return F.struct(nxt.alias("s"), (a["i"] + 1).alias("i"),
                         F.coalesce(a["bad"], F.when(nxt == dead, a["i"])).alias("bad"))
     chunks = g.bounded_chunks() if g.cut else g.chunks.withColumn("_entry", F.lit(0))
-    at = F.aggregate("_cls", start(F.col("_entry")), move)["bad"]
+    steps = g.model.steps
+
+    @F.pandas_udf("int")
+    def breaks(cls: pd.Series, entry: pd.Series) -> pd.Series:
+        traces = steps.traces(list(cls), list(entry))
+        return pd.Series([int(np.argmax(t == dead)) if len(t) and t[-1] == dead else None for t in traces], dtype="Int32")  # no way back from the dead state
+
+    at = F.aggregate("_cls", start(F.col("_entry")), move)["bad"] if g.model.small else breaks("_cls", "_entry")
     found = chunks.withColumn("_bad", F.when(F.col("_entry") != dead, F.get("_ords", at)))
     if not g.cut:
         return found.select(*g.keys, F.col("_bad").alias("first_invalid"))
     return found.groupBy(*g.keys).agg(F.min("_bad").alias("first_invalid"))
 
 
-def _per_state(values: Sequence[Sequence[str] | None]) -> Column:
-    return F.array(*[F.lit(None).cast("array<string>") if v is None else F.array(*map(F.lit, v)).cast("array<string>") for v in values])
-
-
 def missing_to_complete(g: Groups) -> DataFrame:
     """Shortest named continuation of each group; NULL where it is already broken."""
     model = g.model
-    left = F.array(*[F.lit(x[0] if x else None).cast("int") for x in model.toward])
-    symbol = F.array(*[F.lit(model.names[x[1]] if x and x[0] else None).cast("string") for x in model.toward])
-    behind = F.array(*[F.lit(x[2] if x else None).cast("int") for x in model.toward])
+    if not model.small:
+        return g.final_states().select(*g.keys, g.per_state(F.col("state"), "array<string>", model.shortest).alias("missing"))
+    first = [next(model.walk_out(s), None) for s in range(model.size)]
+    left = F.array(*[F.lit(model.to_go(s)).cast("int") for s in range(model.size)])
+    symbol = F.array(*[F.lit(None if c is None else model.names[c]).cast("string") for c in first])
+    behind = F.array(*[F.lit(None if c is None else model.delta[s][c]).cast("int") for s, c in enumerate(first)])
     start = F.struct(F.col("state").cast("int").alias("at"), F.array().cast("array<string>").alias("path"))
     path = F.aggregate(F.sequence(F.lit(1), F.get(left, F.col("state"))), start,
                        lambda done, _: F.struct(F.get(behind, done["at"]).alias("at"), F.concat(done["path"], F.array(F.get(symbol, done["at"]))).alias("path")),
@@ -161,24 +213,28 @@ def missing_to_complete(g: Groups) -> DataFrame:
 
 def allowed_next(g: Groups) -> DataFrame:
     """Symbols legal after the last row that can still lead to a complete group."""
-    table = _per_state([g.model.next_names(s) for s in range(len(g.model.delta))])
-    return g.final_states().select(*g.keys, F.get(table, F.col("state")).alias("allowed"))
+    return g.final_states().select(*g.keys, g.per_state(F.col("state"), "array<string>", g.model.next_names).alias("allowed"))
+
+
+def _offers(model: Model, cls: Sequence[int], states: Sequence[int], alive) -> Iterator[list[int]]:
+    """For every state before a row, and the one after the last, the classes that may be inserted there."""
+    steps, dead, known = model.steps, model.dead, {}
+    for state, after in zip(states, steps.alive_before(list(cls), _ranges(alive))):
+        if (state, after) not in known:
+            known[state, after] = [c for c in model.options(state) if (to := steps.one(state, c)) != dead and inside(after, to)]
+        yield known[state, after]
 
 
 def allowed_at_gaps(g: Groups) -> DataFrame:
     """Symbols that may be inserted at every gap so that what follows still fits."""
     model = g.model
-    delta, rows = np.array(model.delta), [list(r) for r in model.delta]
-    options = [sorted(s) for s in model.suggests]
 
     @F.pandas_udf("array<array<string>>")
     def gaps(cls: pd.Series, entry: pd.Series, alive: pd.Series, last: pd.Series) -> pd.Series:
         out = []
-        for c, e, a, end in zip(cls, entry, alive, last):
-            after = alive_before(delta, list(c), np.isin(np.arange(len(rows)), a))
-            states = [e, *trace(rows, c, e)]
-            upto = len(states) if end else len(states) - 1
-            out.append([[model.names[x] for x in options[s] if after[i][rows[s][x]]] for i, s in enumerate(states[:upto])])
+        for c, e, t, a, end in zip(cls, entry, model.steps.traces(list(cls), list(entry)), alive, last):
+            states = [int(e), *t.tolist()]
+            out.append([[model.names[x] for x in here] for here in _offers(model, c, states if end else states[:-1], a)])
         return pd.Series(out)
 
     found = g.bounded_chunks().withColumn("_g", gaps("_cls", "_entry", "_alive", "_last"))
@@ -190,21 +246,17 @@ def insertion_plan(g: Groups) -> DataFrame:
     """Every symbol that can be inserted somewhere, once, at its earliest gap, with a label:
     required-missing, suggested (first optional of a gap without required ones), optional, repeat."""
     model = g.model
-    delta, rows = np.array(model.delta), [list(r) for r in model.delta]
-    options = [sorted(s) for s in model.suggests]
 
     @F.pandas_udf("array<struct<gap:long,cls:int,label:string>>")
     def plan(cls: pd.Series, entry: pd.Series, alive: pd.Series, before: pd.Series, final: pd.Series,
              seen: pd.Series, last: pd.Series) -> pd.Series:
         out = []
-        for c, e, a, b, f, present, end in zip(cls, entry, alive, before, final, seen, last):
-            after = alive_before(delta, list(c), np.isin(np.arange(len(rows)), a))
-            states = [e, *trace(rows, c, e)]
-            required, present = set(model.completion[f] or ()), set(present)
+        for c, e, t, a, b, f, present, end in zip(cls, entry, model.steps.traces(list(cls), list(entry)), alive, before, final, seen, last):
+            states = [int(e), *t.tolist()]
+            required, present = set(model.walk_out(f)), set(present)
             got = {}
-            for i, s in enumerate(states if end else states[:-1]):
-                here = [x for x in options[s] if after[i][rows[s][x]]]
-                labels = ["required-missing" if model.names[x] in required else "repeat" if x in present else "optional" for x in here]
+            for i, here in enumerate(_offers(model, c, states if end else states[:-1], a)):
+                labels = ["required-missing" if x in required else "repeat" if x in present else "optional" for x in here]
                 if "required-missing" not in labels and "optional" in labels:
                     labels[labels.index("optional")] = "suggested"
                 for x, label in zip(here, labels):
@@ -235,7 +287,6 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
     """
     model = g.model
     fixer = Repairer(model, max_edits)
-    accepting = sorted(model.accepting)
     edit_type = "array<struct<kind:string,index:long,name:string>>"
 
     def as_rows(ops, offset=0):
@@ -244,16 +295,12 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
     if not g.cut:
         @F.pandas_udf(f"struct<cost:int,edits:{edit_type}>")
         def solve(cls: pd.Series) -> pd.DataFrame:
-            rows = []
-            for c in cls:
-                c = list(c)
-                way = fixer.path([fixer.matrix(c, -1)], accepting)
-                rows.append((None, None) if way is None else (way[1], as_rows(fixer.plan(c, 0, way[0][1], -1))))
-            return pd.DataFrame(rows, columns=["cost", "edits"])
-
-        failing = g.chunks.where(~model.is_accepting(g._fold(F.col("_cls"))))
-        shapes = failing.select("_cls").distinct().withColumn("_plan", solve("_cls"))
-        out = skew_join(failing, shapes, ["_cls"])
+            found = [fixer.repair(list(c)) for c in cls]
+            return pd.DataFrame([(None, None) if x is None else (x[0], as_rows(x[1])) for x in found], columns=["cost", "edits"])
+
+        failing = g.chunks.where(~model.is_accepting(g._fold(F.col("_cls")))).withColumn("_h", F.xxhash64("_cls"))
+        shapes = failing.select("_h", F.col("_cls").alias("_shape")).distinct().withColumn("_plan", solve("_shape"))
+        out = skew_join(failing, shapes, ["_h"]).where(F.col("_cls") == F.col("_shape"))  # joined by the hash, kept where the rows are equal
         out = out.select(*g.keys, F.col("_plan.cost").alias("cost"), F.col("_plan.edits").alias("_edits"), "_syms", "_ords")
         return out.withColumn("edits", F.transform("_edits", lambda e: F.struct(
             e["kind"].alias("kind"), e["index"].alias("index"),
@@ -267,15 +314,16 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
     ends = chunks.select(*g.keys, CHUNK, F.coalesce(tail, F.lit(-1)).alias("_prev"))
     chunks = match(chunks, ends, [*g.keys, CHUNK])
 
-    @F.pandas_udf("array<array<long>>")
-    def matrix(cls: pd.Series, prev: pd.Series) -> pd.Series:
-        return pd.Series([fixer.matrix(list(c), int(p)).tolist() for c, p in zip(cls, prev)])
+    @F.pandas_udf("array<struct<low:long,high:long,moving:boolean,value:long,cost:long>>")
+    def table(cls: pd.Series, prev: pd.Series) -> pd.Series:
+        columns = ("low", "high", "moving", "value", "cost")
+        return pd.Series([[dict(zip(columns, way)) for way in fixer.table(list(c), int(p))] for c, p in zip(cls, prev)])
 
-    @F.pandas_udf("struct<cost:int,states:array<int>>")
+    @F.pandas_udf("struct<cost:int,states:array<long>>")
     def route(parts: pd.Series) -> pd.DataFrame:
         rows = []
         for group in parts:
-            way = fixer.path([np.array([list(r) for r in p["m"]]) for p in group], accepting)
+            way = fixer.path([[(x["low"], x["high"], x["moving"], x["value"], x["cost"]) for x in p["m"]] for p in group])
             rows.append((None, None) if way is None else (way[1], way[0]))
         return pd.DataFrame(rows, columns=["cost", "states"])
 
@@ -284,15 +332,15 @@ def _shape_plans(g: Groups, max_edits: int) -> DataFrame:
         return pd.Series([as_rows(fixer.plan(list(c), int(e), int(x), int(p)), int(b))
                           for c, e, x, p, b in zip(cls, entry, leave, prev, before)])
 
-    parts = (chunks.select(*g.keys, CHUNK, matrix("_cls", "_prev").alias("m")).groupBy(*g.keys)
+    parts = (chunks.select(*g.keys, CHUNK, table("_cls", "_prev").alias("m")).groupBy(*g.keys)
              .agg(F.array_sort(F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), "m"))).alias("_parts")))
     routes = parts.withColumn("_r", route("_parts")).select(*g.keys, F.col("_parts.chunk").alias("_chunks"), F.col("_r.cost").alias("cost"), F.col("_r.states").alias("_st"))
     steps = routes.where("cost is not null").select(*g.keys, F.posexplode("_chunks").alias("_i", CHUNK), "_st").select(
         *g.keys, CHUNK, F.get("_st", F.col("_i")).alias("_in"), F.get("_st", F.col("_i") + 1).alias("_out"))
     # a chunk whose own map leads from entry to exit needs no edit
     work = match(chunks, steps, [*g.keys, CHUNK])
-    states = len(model.delta)
-    plain = (F.col("_in") < states) & (F.aggregate("_cls", F.col("_in"), model.step) == F.col("_out"))
+    entry = F.least(F.col("_in"), F.lit(model.dead)).cast("int")
+    plain = (F.col("_in") < model.size) & (g._fold(F.col("_cls"), entry) == F.col("_out"))
     work = work.where(~plain).withColumn("_e", edits("_cls", "_in", "_out", "_prev", "_before"))
     local = lambda e: (e["index"] - F.col("_before")).cast("int")
     named = F.transform("_e", lambda e: F.struct(
@@ -371,14 +419,14 @@ def placement_options(g: Groups, fragment: Sequence[str]) -> DataFrame:
     number of fragment symbols with no place there, at least one."""
     m = g.model
     ids = {n: i for i, n in enumerate(m.names)}
-    errors = []
-    for s in range(len(m.delta)):
-        state = s
+
+    def errors(state: int) -> int:
+        fits, at = set(m.next_names(state)), state
         for x in fragment:
-            state = m.delta[state][ids.get(x, m.width - 1)]
-        fits = set(m.next_names(s))
-        errors.append(0 if state in m.accepting else max(1, sum(x not in fits for x in fragment)))
-    return g.final_states().select(*g.keys, F.get(F.array(*map(F.lit, errors)), F.col("state")).alias("errors"))
+            at = m.steps.one(at, ids.get(x, m.width - 1))
+        return 0 if inside(m.accepts, at) else max(1, sum(x not in fits for x in fragment))
+
+    return g.final_states().select(*g.keys, g.per_state(F.col("state"), "int", errors).alias("errors"))
 
 
 def rank_placements(options: DataFrame, scope: Sequence[str], proximity: str) -> DataFrame:

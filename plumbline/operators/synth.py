@@ -63,8 +63,8 @@ def synthesise_groups(ids: DataFrame, ident: str, model: Model, include: str = "
                 break
             visited.add((state, options[0]))
             word.append(options[0])
-            state = model.delta[state][model.names.index(options[0])]
-    rest = model.completion[state]
+            state = model.steps.one(state, model.names.index(options[0]))
+    rest = model.shortest(state)
     if rest is None:
         raise ValueError("the model cannot be completed with named symbols")
     word += rest

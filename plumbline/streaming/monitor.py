@@ -13,6 +13,7 @@ from pyspark.sql import functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from plumbline.functions.model import Model
+from plumbline.functions.stepping import inside
 from plumbline.plans.skew import skew_join
 
 
@@ -95,9 +96,9 @@ MONITOR_SCHEMA = "key string, at timestamp, symbol string, state int, status str
 class _Monitor(StatefulProcessor):
     """Per key: the model state (one INT) and nothing else; rows of a batch are taken in time order."""
 
-    def __init__(self, rows: list[list[int]], classes: dict[str, int], dead: int, accepting: frozenset, timeout_ms: int | None,
-                 order: str, symbol: str):
-        self.rows, self.classes, self.dead, self.accepting = rows, classes, dead, accepting
+    def __init__(self, model: Model, timeout_ms: int | None, order: str, symbol: str):
+        self.steps, self.accepts, self.dead = model.steps, model.accepts, model.dead
+        self.classes = {n: i for i, n in enumerate(model.names[:-1])}
         self.timeout_ms, self.order, self.symbol = timeout_ms, order, symbol
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -111,7 +112,7 @@ class _Monitor(StatefulProcessor):
         for at, symbol in zip(batch[self.order], batch[self.symbol]):
             if state == self.dead:
                 break
-            state = self.rows[state][self.classes.get(symbol, len(self.classes))]
+            state = self.steps.one(state, self.classes.get(symbol, len(self.classes)))
             if state == self.dead:
                 broke = (str(key[0]), at, symbol, state, "violation")
         self.state.update((state,))
@@ -124,7 +125,7 @@ class _Monitor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.state.get()[0] if self.state.exists() else 0
-        open_key = state != self.dead and state not in self.accepting
+        open_key = state != self.dead and not inside(self.accepts, state)
         out = [(str(key[0]), None, None, state, "incomplete")] if open_key else []
         yield pd.DataFrame(out, columns=["key", "at", "symbol", "state", "status"]).astype({"at": "datetime64[ns]"})
 
@@ -138,8 +139,7 @@ def sequence_monitor(stream: DataFrame, key: str, order: str, symbol: str, model
     Needs the RocksDB state store. A key's rows inside one micro-batch are sorted in its task, so
     bound the batch at the source (maxFilesPerTrigger or maxBytesPerTrigger).
     """
-    classes = {n: i for i, n in enumerate(model.names[:-1])}
-    processor = _Monitor([list(r) for r in model.delta], classes, model.dead, model.accepting, timeout_ms, order, symbol)
+    processor = _Monitor(model, timeout_ms, order, symbol)
     return (stream.select(key, order, symbol).groupBy(key)
             .transformWithStateInPandas(statefulProcessor=processor, outputStructType=T.StructType.fromDDL(MONITOR_SCHEMA), outputMode="Update",
                                         timeMode="ProcessingTime" if timeout_ms is not None else "None"))
