@@ -10,6 +10,7 @@ from plumbline.operators import check as C
 from plumbline.operators import findings as N
 from plumbline.operators import keys as K
 from plumbline.operators import profile as P
+from plumbline.operators import record as R
 from plumbline.operators import rules as B
 from plumbline.operators import sequence as Q
 
@@ -213,6 +214,20 @@ def verdicts(spark, sf):
     return N.verdict(order_findings(spark, sf), table(spark, sf, "orders"), "o_orderkey")
 
 
+@query("A16b_verdict_of_all", """
+with d as (select doc_id, case when doc_id % 7 = 0 then null else lang end as lang, case when doc_id % 5 = 0 then null else text end as text, source, n_chars from documents),
+k as (select lang, n_chars, count(*) as n from d where lang is not null and n_chars is not null group by all)
+select doc_id, d.lang is not null and d.text is not null and n is null and not coalesce(10000 // nullif(d.n_chars - 100, 0) > 40, false) and doc_id in (select doc_id from labels) as valid
+from d left join k on d.lang = k.lang and d.n_chars = k.n_chars and n > 1""")
+def verdict_of_all(spark, sf):
+    """Findings of record, key, reference and rule operators, each with its document."""
+    docs, labels = base(spark, sf, "docs_gaps"), table(spark, sf, "labels")
+    found = [R.required_fields(docs, ["lang", "text"], ["source"], doc="doc_id"), K.unique(docs, ["lang", "n_chars"], ["source"], doc="doc_id"),
+             K.keyref(docs, labels, {"doc_id": "doc_id"}, ["source"], doc="doc_id"),
+             R.assert_record(docs, "not (10000 div (n_chars - 100) > 40)", ["source"], doc="doc_id")]
+    return N.verdict(N.union_findings(*found), docs, "doc_id")
+
+
 @query("A17_verdict_delta", f"""
 select b.o_orderkey, b.errors as errors_before, a.errors as errors_after, b.warnings as warnings_before, a.warnings as warnings_after,
   case when b.errors = 0 and a.errors > 0 then 'broke' when b.errors > 0 and a.errors = 0 then 'fixed' when a.errors = b.errors then 'same' when a.errors > b.errors then 'worse' else 'better' end as change

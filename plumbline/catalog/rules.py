@@ -208,3 +208,36 @@ def ordered(spark, sf):
     listed = order_findings(found).select("doc_key", "ordinal", "pattern_id", "rule_id", "assertion_id", "code", "row_key")
     placed = positions(listed, ["doc_key", "ordinal", "pattern_id", "rule_id", "assertion_id", "code", "row_key"], "place")
     return placed.select("place", "row_key", "assertion_id")
+
+
+# Lines with notes that are not all numbers: tests that cannot be evaluated on some rows.
+NOTED = "case when l_partkey % 3 = 0 then concat('x', cast(l_linenumber as string)) when l_partkey % 7 = 1 then 'cast (iron)' when l_partkey % 7 = 2 then null else cast(l_linenumber * 3 as string) end as note"
+ROUGH = {"patterns": [{"id": "rough", "rules": [{"id": "every", "context": "true", "assertions": [
+    {"id": "rate", "test": "l_extendedprice / (l_quantity - 10) > 900", "message": "rate {l_extendedprice / (l_quantity - 10)}"},
+    {"id": "number", "test": "cast(note as int) > 5", "message": "small"},
+    {"id": "quoted", "test": "note <> 'cast (iron)'", "message": "iron"},
+    {"id": "large", "test": "l_pk * 100000000 > l_ln", "message": "never"},
+    {"id": "safe", "kind": "report", "test": "l_quantity = 10 or l_extendedprice / (l_quantity - 10) > 5000", "message": "high"}]}]}]}
+ROUGH_SQL = f"""with l as (select *, {ROW} as row_key, {NOTED}, l_extendedprice / nullif(l_quantity - 10, 0) as rate from lineitem),
+t as (select row_key, a.* from l, lateral (values
+  (0, 'rate', 'assert', coalesce(rate > 900, false), l_quantity = 10), (1, 'number', 'assert', coalesce(try_cast(note as integer) > 5, false), note is not null and try_cast(note as integer) is null),
+  (2, 'quoted', 'assert', coalesce(note <> 'cast (iron)', false), false), (3, 'large', 'assert', l_partkey <= 21 and l_partkey::bigint * 100000000 > l_linenumber, l_partkey > 21),
+  (4, 'safe', 'report', l_quantity = 10 or rate > 5000, false)) a(ix, id, kind, holds, failed))
+"""
+
+
+def rough_lines(spark, sf):
+    return lines(spark, sf).withColumns({"note": F.expr(NOTED.rsplit(" as ", 1)[0]), "l_pk": F.col("l_partkey").cast("int"), "l_ln": F.col("l_linenumber").cast("int")})
+
+
+@query("B4b_evaluate_apart", ROUGH_SQL + "select row_key, id as assertion_id from t where not failed and holds = (kind = 'report')")
+def evaluate_apart(spark, sf):
+    """Zero divisors, bad casts, overflow and quoted text: rows that cannot be evaluated neither pass nor fail."""
+    return B.evaluate(rough_lines(spark, sf), B.RuleSet.from_dict(ROUGH), KEY).select("row_key", "assertion_id")
+
+
+@query("B11b_broken_rows", ROUGH_SQL + """
+select cast(ix as integer) as assertion_ix, kind, count(*) filter (not failed and holds <> (kind = 'report')) as passed, count(*) filter (not failed and holds = (kind = 'report')) as failed,
+  count(*) filter (failed) as broken_rows from t group by all""")
+def broken_rows(spark, sf):
+    return B.assertion_stats(rough_lines(spark, sf), B.RuleSet.from_dict(ROUGH)).select("assertion_ix", "kind", "passed", "failed", "broken_rows")

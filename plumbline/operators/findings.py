@@ -39,6 +39,16 @@ def key_text(*cols: str) -> Column:
     return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 
+def doc_text(doc: str | Sequence[str] | None) -> Column | None:
+    """The document a finding belongs to, by the columns that name it."""
+    return None if doc is None else key_text(*([doc] if isinstance(doc, str) else doc))
+
+
+def with_doc(key: Sequence[str], doc: str | Sequence[str] | None) -> list[str]:
+    """Key columns and those that name the document, each once."""
+    return list(dict.fromkeys([*key, *([] if doc is None else [doc] if isinstance(doc, str) else doc)]))
+
+
 def union_findings(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -57,16 +67,18 @@ def counts_by_file(findings: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     per = findings.groupBy(F.col("doc_key").alias("_k")).agg(
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"))
-    keyed = docs.select(key).distinct().withColumn("_k", F.col(key).cast("string"))
+    keyed = docs.select(key).distinct().withColumn("_k", key_text(key))
     # one row per document on both sides
     return keyed.join(per, "_k", "left").select(
         key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("errors", "warnings")])
 
 
 def verdict(findings: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """A document is valid when it has no finding of severity error."""
-    bad = findings.where(F.col("severity") == "error").select(F.col("doc_key").alias("_k")).distinct()
-    keyed = docs.select(key).distinct().withColumn("_k", F.col(key).cast("string"))
+    """A document is valid when it has no finding of severity error. An error that names no document would be lost, so it ends the
+    job: give the operators `doc`. Errors of the spec itself (schema-health) belong to none."""
+    named = F.coalesce("doc_key", F.raise_error(F.concat(F.lit("a finding names no document: "), F.coalesce("code", "message", F.lit("?")))).cast("string"))
+    bad = findings.where((F.col("severity") == "error") & (F.col("source") != "schema-health")).select(named.alias("_k")).distinct()
+    keyed = docs.select(key).distinct().withColumn("_k", key_text(key))
     marked = keyed.join(bad.withColumn("_bad", F.lit(True)), "_k", "left")
     return marked.select(key, F.col("_bad").isNull().alias("valid"))
 

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.findings import finding, key_text
+from plumbline.functions.guarded import Scope
+from plumbline.operators.findings import doc_text, finding, key_text, with_doc
 from plumbline.plans.skew import skew_join
 
 
@@ -21,19 +22,19 @@ def duplicate_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return (df.where(_present(cols)).groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
 
 
-def unique(df: DataFrame, cols: Sequence[str], row_key: Sequence[str] | None = None, code: str = "cvc-identity-constraint.4.1") -> DataFrame:
+def unique(df: DataFrame, cols: Sequence[str], row_key: Sequence[str] | None = None, code: str = "cvc-identity-constraint.4.1", doc: str | None = None) -> DataFrame:
     """Every row whose key another row also has."""
     rows = skew_join(df, duplicate_keys(df, cols), cols)
-    return rows.select(*finding(source="schema", severity="error", code=code, row_key=key_text(*(row_key or cols)), anchor="element",
+    return rows.select(*finding(source="schema", severity="error", code=code, doc_key=doc_text(doc), row_key=key_text(*(row_key or cols)), anchor="element",
                                 column=",".join(cols), message=F.concat(F.col("rows").cast("string"), F.lit(" rows share this key"))))
 
 
-def key(df: DataFrame, cols: Sequence[str], row_key: Sequence[str] | None = None) -> DataFrame:
+def key(df: DataFrame, cols: Sequence[str], row_key: Sequence[str] | None = None, doc: str | None = None) -> DataFrame:
     """Unique, and no part missing."""
     absent = df.where(~_present(cols)).select(*finding(
-        source="schema", severity="error", code="cvc-identity-constraint.4.2.1", row_key=key_text(*(row_key or cols)),
+        source="schema", severity="error", code="cvc-identity-constraint.4.2.1", doc_key=doc_text(doc), row_key=key_text(*(row_key or cols)),
         anchor="element", column=",".join(cols), message="a part of the key is missing"))
-    return unique(df, cols, row_key, "cvc-identity-constraint.4.2.2").unionByName(absent)
+    return unique(df, cols, row_key, "cvc-identity-constraint.4.2.2", doc).unionByName(absent)
 
 
 def dangling(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFrame:
@@ -49,9 +50,9 @@ def dangling(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFra
     return skew_join(child, bad, refs, "left_semi")
 
 
-def keyref(child: DataFrame, parent: DataFrame, on: dict[str, str], row_key: Sequence[str]) -> DataFrame:
+def keyref(child: DataFrame, parent: DataFrame, on: dict[str, str], row_key: Sequence[str], doc: str | None = None) -> DataFrame:
     return dangling(child, parent, on).select(*finding(
-        source="schema", severity="error", code="cvc-identity-constraint.4.3", row_key=key_text(*row_key), anchor="element",
+        source="schema", severity="error", code="cvc-identity-constraint.4.3", doc_key=doc_text(doc), row_key=key_text(*row_key), anchor="element",
         column=",".join(on), message=F.concat(F.lit("no record is called "), key_text(*on))))
 
 
@@ -67,17 +68,19 @@ def idref_resolves(refs: DataFrame, ids: DataFrame, doc: str, ref: str, ident: s
 
 
 def lookup_rule(df: DataFrame, tables: dict[str, DataFrame], side: str, on: dict[str, str], test: str, row_key: Sequence[str],
-                message: str) -> DataFrame:
+                message: str, doc: str | None = None) -> DataFrame:
     """A rule that reads another table; findings stay on the driving row, one for each row_key none of whose side rows meets
-    the test. Columns of the side table are written `side.column`. An unknown side table is an error at once."""
+    the test; where it cannot be evaluated on one of them, the row is left out. Columns of the side table are written `side.column`. An unknown side table is an error at once."""
     if side not in tables:
         raise KeyError(f"the rule reads table {side}, which is not available; known: {sorted(tables)}")
     right = tables[side]
     names = list(on)
     boxed = right.select(*[F.col(p).alias(c) for c, p in on.items()], F.struct(*right.columns).alias(side))
-    met = skew_join(df, boxed, names, "left").groupBy(*row_key).agg(F.max(F.coalesce(F.expr(test), F.lit(False))).alias("_met"))
-    rows = met.where(~F.col("_met"))
-    return rows.select(*finding(source="rules", severity="error", code="assert", row_key=key_text(*row_key), anchor="element", message=message, technical=test))
+    sides = skew_join(df, boxed, names, "left")
+    scope = Scope(sides)
+    met = sides.groupBy(*with_doc(row_key, doc)).agg(F.max(scope.holds(test)).alias("_met"), F.max(scope.failed(test)).alias("_failed"))
+    rows = met.where(~F.col("_met") & ~F.col("_failed"))
+    return rows.select(*finding(source="rules", severity="error", code="assert", doc_key=doc_text(doc), row_key=key_text(*row_key), anchor="element", message=message, technical=test))
 
 
 def verdict_drift(a: DataFrame, b: DataFrame, keys: Sequence[str], verdict: str = "valid") -> DataFrame:
@@ -123,8 +126,8 @@ def overlay(base: DataFrame, own: DataFrame, key: str, prohibited: str | None =
     return out.select(key, *[picked[c].alias(c) for c in cols], F.col("_o").isNotNull().alias("own"))
 
 
-def patch_without_target(patches: DataFrame, base: DataFrame, key: str) -> DataFrame:
+def patch_without_target(patches: DataFrame, base: DataFrame, key: str, doc: str | None = None) -> DataFrame:
     """Patches of names that do not exist."""
     return dangling(patches, base, {key: key}).select(*finding(
-        source="schema-health", severity="error", code="redefine-missing-target", row_key=key_text(key), column=key,
+        source="schema-health", severity="error", code="redefine-missing-target", doc_key=doc_text(doc), row_key=key_text(key), column=key,
         message=F.concat(F.col(key).cast("string"), F.lit(" does not exist, so it cannot be changed"))))

@@ -11,12 +11,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.guarded import Scope
 from plumbline.functions.text import squeeze
-from plumbline.operators.findings import FIX, SCHEMA, finding, key_text, severity, union_findings
+from plumbline.operators.findings import FIX, finding, doc_text, key_text, severity, union_findings
 
 
 @dataclass(frozen=True)
@@ -117,29 +117,7 @@ def instantiate(template: Pattern, ident: str, params: dict[str, str]) -> Patter
     return Pattern(ident, rules, lets(template.lets))
 
 
-def tolerant(sql: str) -> str:
-    """Casts that yield NULL instead of failing the job on one bad value."""
-    return re.sub(r"(?i)(?<![\w])cast\s*\(", "try_cast(", sql)
-
-
-class _Scope:
-    """Analyses expressions against the table before any job runs; broken ones come back as None."""
-
-    def __init__(self, df: DataFrame):
-        self.empty = df.limit(0)
-        self.seen: dict[tuple[str, str], str | None] = {}
-
-    def broken(self, sql: str, kind: str) -> str | None:
-        if (sql, kind) not in self.seen:
-            try:
-                if "$" in re.sub(r"'[^']*'", "", sql):
-                    raise ValueError("a name in it is not bound")
-                self.empty.select(F.expr(tolerant(sql)).cast(kind)).schema
-                self.seen[sql, kind] = None
-            except (AnalysisException, ValueError) as error:
-                self.seen[sql, kind] = str(error).split("\n")[0][:300]
-        return self.seen[sql, kind]
-
+class _Scope(Scope):
     def bind(self, lets: Sequence[tuple[str, str]]) -> dict[str, str]:
         """Later lets see earlier ones; a broken let stays unbound, so what uses it is broken too."""
         bound: dict[str, str] = {}
@@ -163,7 +141,7 @@ def render_message(message: str, bound: dict[str, str], scope: "_Scope", name: s
         else:
             sql = fill_in(piece, bound)
             parts.append(F.lit(f"[{piece}?]") if scope.broken(sql, "string") else
-                         F.coalesce(F.expr(tolerant(sql)).cast("string"), F.lit("")))
+                         F.coalesce(scope.value(sql).cast("string"), F.lit("")))
     return squeeze(F.concat(*parts)) if parts else F.lit("")
 
 
@@ -192,7 +170,7 @@ def _compile(df: DataFrame, ruleset: RuleSet, phase: str | None, name: str) -> _
             bad = scope.broken(context, "boolean") if context.strip() else None
             if bad:
                 problems.append((p.id, r.id, "bad-context", f"context {r.context}: {bad}"))
-            here = F.lit(False) if bad or not context.strip() else F.coalesce(F.expr(tolerant(context)).cast("boolean"), F.lit(False))
+            here = F.lit(False) if bad or not context.strip() else scope.holds(context)
             col = f"_m{px}_{rx}"
             contexts[col] = here
             claim = F.when(F.col(col), rx) if claim is None else claim.when(F.col(col), rx)
@@ -202,10 +180,10 @@ def _compile(df: DataFrame, ruleset: RuleSet, phase: str | None, name: str) -> _
                 bad = scope.broken(test, "boolean")
                 if bad:
                     problems.append((p.id, r.id, "rule-broken", f"test {a.test}: {bad}"))
-                holds = F.lit(None).cast("boolean") if bad else F.coalesce(F.expr(tolerant(test)).cast("boolean"), F.lit(False))
+                failed = F.lit(False) if bad else scope.failed(test)
                 hints = [render_message(ruleset.diagnostics[d], bound, scope, name) for d in a.diagnostics if d in ruleset.diagnostics]
                 checks.append(dict(pattern=p.id, px=px, rx=rx, ax=ax, rule=r.id or r.context, a=a, broken=bad,
-                                   fails=F.lit(False) if bad else (~holds if a.kind == "assert" else holds),
+                                   fails=F.lit(False) if bad else (~scope.holds(test) & ~failed if a.kind == "assert" else scope.holds(test)), failed=failed,
                                    message=render_message(a.message, bound, scope, name), hints=hints))
         claims[f"_c{px}"] = claim if claim is not None else F.lit(None).cast("int")
     return _Plan(df, claims, contexts, checks, rules, problems)
@@ -217,7 +195,7 @@ def _claimed(plan: _Plan) -> DataFrame:
 
 def rule_context(df: DataFrame, predicate: str) -> DataFrame:
     """Rows a rule matches."""
-    return df.where(F.coalesce(F.expr(tolerant(predicate)), F.lit(False)))
+    return df.where(Scope(df).holds(predicate))
 
 
 def claim(df: DataFrame, ruleset: RuleSet, pattern: str, out: str = "rule") -> DataFrame:
@@ -263,6 +241,13 @@ def problems_of(df: DataFrame, ruleset: RuleSet, phase: str | None = None) -> Da
 broken_rules = problems_of
 
 
+def broken_in_rows(stats: DataFrame) -> DataFrame:
+    """Tests that could not be evaluated on some rows, reported against the rule set (from `assertion_stats`)."""
+    said = F.concat(F.lit("cannot be evaluated on "), F.col("broken_rows").cast("string"), F.lit(" rows"))
+    return stats.where("broken_rows > 0").select(*finding(source="rules", severity="warning", code="rule-broken", pattern_id=F.col("pattern_id"),
+                                                          rule_id=F.col("rule_ix").cast("string"), assertion_id=F.col("assertion_ix").cast("string"), message=said))
+
+
 def rule_stats(df: DataFrame, ruleset: RuleSet, phase: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rows matched (before claiming) and fired (after) per rule, and which rules took the rest."""
     plan = _compile(df, ruleset, phase, "")
@@ -286,18 +271,20 @@ def rule_stats(df: DataFrame, ruleset: RuleSet, phase: str | None = None, by: Se
 
 
 def assertion_stats(df: DataFrame, ruleset: RuleSet, phase: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Passed, failed and broken per assertion, over the rows its rule claimed."""
+    """Passed, failed and broken per assertion, over the rows its rule claimed. `broken_rows` counts rows on which the test could not
+    be evaluated (a zero divisor, a bad cast, an overflow); they neither pass nor fail. `broken` says why a test never can."""
     plan = _compile(df, ruleset, phase, "")
     mine = lambda c: F.col(f"_c{c['px']}") == c["rx"]
     aggs = []
     for i, c in enumerate(plan.checks):
-        aggs += [F.count_if(mine(c) & c["fails"]).alias(f"f{i}"), F.count_if(mine(c)).alias(f"n{i}")]
+        aggs += [F.count_if(mine(c) & c["fails"]).alias(f"f{i}"), F.count_if(mine(c)).alias(f"n{i}"), F.count_if(mine(c) & c["failed"]).alias(f"b{i}")]
     one = _claimed(plan).groupBy(*by).agg(*aggs)
     zero = F.lit(0).cast("long")
     rows = [F.struct(F.lit(c["pattern"]).alias("pattern_id"), F.lit(c["rx"]).alias("rule_ix"), F.lit(c["ax"]).alias("assertion_ix"),
-                     F.lit(c["a"].kind).alias("kind"), (zero if c["broken"] else F.col(f"n{i}") - F.col(f"f{i}")).alias("passed"),
+                     F.lit(c["a"].kind).alias("kind"), (zero if c["broken"] else F.col(f"n{i}") - F.col(f"f{i}") - F.col(f"b{i}")).alias("passed"),
                      (zero if c["broken"] else F.col(f"f{i}")).alias("failed"),
                      F.when(F.col(f"n{i}") > 0, F.lit(c["broken"]).cast("string")).alias("broken"),
+                     (F.col(f"n{i}") if c["broken"] else F.col(f"b{i}")).alias("broken_rows"),
                      F.lit(bool(c["a"].diagnostics)).alias("has_diagnostic")) for i, c in enumerate(plan.checks)]
     return one.select(*by, F.inline(F.array(*rows)))
 
@@ -312,16 +299,16 @@ def dead_rules(stats: DataFrame) -> DataFrame:
 
 
 def group_assert(parents: DataFrame, children: DataFrame, keys: Sequence[str], aggs: dict[str, Column], test: str, message: str,
-                 row_key: Sequence[str] | None = None) -> DataFrame:
+                 row_key: Sequence[str] | None = None, doc: str | None = None) -> DataFrame:
     """A test over aggregates of each parent's children, e.g. total = sum of the lines. Children are
     aggregated before the join; a parent without children sees NULL aggregates, and then the test
-    counts as false unless it says otherwise."""
+    counts as false unless it says otherwise; one on which the test cannot be evaluated is left out."""
     per = children.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     rows = parents.join(per, list(keys), "left")  # a parent key is one row on both sides
     scope = _Scope(rows)
     text = render_message(message, {}, scope)
-    return rows.where(~F.coalesce(F.expr(tolerant(test)), F.lit(False))).select(*finding(
-        source="rules", severity="error", code="assert", row_key=key_text(*(row_key or keys)), anchor="element", message=text, technical=test))
+    return rows.where(~scope.holds(test) & ~scope.failed(test)).select(*finding(
+        source="rules", severity="error", code="assert", doc_key=doc_text(doc), row_key=key_text(*(row_key or keys)), anchor="element", message=text, technical=test))
 
 
 def run_corpus(rulesets: dict[str, RuleSet], tables: dict[str, tuple[DataFrame, Sequence[str]]], doc: str | None = None) -> DataFrame:
