@@ -7,6 +7,7 @@ from plumbline.functions import lexical as L
 from plumbline.functions import types as Y
 from plumbline.functions.text import normalize_space
 from plumbline.operators import check as C
+from plumbline.operators import spec_rows as H
 
 TAB = "chr(9) || chr(10) || chr(13)"
 DECIMAL = r"'[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)'"
@@ -211,9 +212,30 @@ def defaults(spark, sf):
 with brands as (select distinct p_brand as b from part), loose as (select b from brands where cast(regexp_extract(b, '[0-9]+') as integer) > 10)
 select b as name, 'facet-loosens-base' as code, 'warning' as severity from loose""")
 def health(spark, sf):
-    """A spec with one type per brand of the part table: maximum length two digits of the brand, over
-    a base that allows ten; brands above ten loosen it. The names are a declared list, not rows."""
-    brands = [r[0] for r in table(spark, sf, "part").select("p_brand").distinct().collect()]
-    specs = {b: {"base": "ten", "max_length": int(b.split("#")[1])} for b in brands}
-    _, found = Y.compile_types({"ten": {"base": "string", "max_length": 10}, **specs})
-    return C.spec_health(spark, found).select(F.col("rule_id").alias("name"), "code", "severity")
+    """Specs held as rows, one type per brand of the part table: maximum length two digits of the brand, over
+    a base that allows ten; brands above ten loosen it."""
+    brands = table(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct()
+    ten = spark.range(1)
+    types = brands.select("name", F.lit("ten").alias("base")).unionByName(ten.select(F.lit("ten").alias("name"), F.lit("string").alias("base")))
+    facets = brands.select("name", F.lit("max_length").alias("facet"), F.split_part("name", F.lit("#"), F.lit(2)).alias("value"), F.lit(False).alias("fixed"))
+    facets = facets.unionByName(ten.select(F.lit("ten").alias("name"), F.lit("max_length").alias("facet"), F.lit("10").alias("value"), F.lit(False).alias("fixed")))
+    return H.type_health(types, facets).select(F.col("rule_id").alias("name"), "code", "severity")
+
+
+@query("T23b_spec_health_tree", """
+with recursive t as (select p_partkey as k, case when p_partkey % 101 = 7 then -1 else p_partkey // 2 end as b, case when p_partkey % 97 <> 5 then p_size end as v, p_partkey % 50 = 3 as fixed from part),
+up as (select k, b as anc from t where b >= 0 union select up.k, t.b from up join t on t.k = up.anc where t.b >= 0),
+over as (select distinct up.k from up join t on t.k = up.anc where t.fixed and up.anc <> up.k),
+low as (select up.k, min(t.v) as v from up join t on t.k = up.anc where up.anc <> up.k and t.k not in (select k from over) group by up.k)
+select 'p' || k as name, 'bad-facet-value' as code from t where v is null and k not in (select k from over)
+union all select 'nowhere', 'unresolved-reference' where exists (select 1 from t where b < 0)
+union all select 'p' || k, 'circular-type' from up where k = anc
+union all select 'p' || k, 'fixed-facet-overridden' from over
+union all select 'p' || t.k, 'facet-loosens-base' from t join low using (k) where t.v > low.v and k not in (select k from over)""")
+def health_tree(spark, sf):
+    """One type per part, each derived from the part with half its number, with its size as maximum length."""
+    k = F.col("p_partkey")
+    part = table(spark, sf, "part").withColumn("name", F.concat(F.lit("p"), k.cast("string")))
+    base = F.when(k % 101 == 7, "nowhere").otherwise(F.concat(F.lit("p"), F.floor(k / 2).cast("string")))
+    facets = part.select("name", F.lit("max_length").alias("facet"), F.when(k % 97 == 5, "x").otherwise(F.col("p_size").cast("string")).alias("value"), (k % 50 == 3).alias("fixed"))
+    return H.type_health(part.select("name", base.alias("base")), facets).select(F.col("rule_id").alias("name"), "code")

@@ -7,6 +7,7 @@ from plumbline.operators import axes as X
 from plumbline.operators import check as C
 from plumbline.operators import graph as G
 from plumbline.operators import keys as K
+from plumbline.plans.ordered import positions
 
 SKEWED = "case when l_partkey % 3 = 0 then 7 else l_orderkey end"
 
@@ -129,11 +130,11 @@ def suggest(spark, sf):
 
 @query("J12_verdict_drift", """
 select doc_id, first, second, case when first is null then 'only second' when second is null then 'only first' when first then 'first accepts' else 'second accepts' end as drift
-from (select doc_id, quality = 1 as first from labels) full join (select doc_id, n_chars > 900 as second from documents where doc_id % 10 <> 3) using (doc_id)
+from (select doc_id, quality = 1 as first from labels) full join (select doc_id, n_chars > 900 as second from documents) using (doc_id)
 where first is distinct from second""")
 def drift(spark, sf):
     a = table(spark, sf, "labels").selectExpr("doc_id", "quality = 1 as valid")
-    b = table(spark, sf, "documents").where("doc_id % 10 <> 3").selectExpr("doc_id", "n_chars > 900 as valid")
+    b = table(spark, sf, "documents").selectExpr("doc_id", "n_chars > 900 as valid")
     return K.verdict_drift(a, b, ["doc_id"])
 
 
@@ -157,10 +158,9 @@ def duplicates(spark, sf):
     return K.duplicate_defs(table(spark, sf, "part"), ["p_name"], "p_partkey").select("p_partkey", "p_name", "first_defined")
 
 
-@query("J15_references_to", "select s_suppkey, count(l_suppkey) as uses from supplier left join lineitem on l_suppkey = s_suppkey and l_returnflag = 'R' group by s_suppkey")
+@query("J15_references_to", "select s_suppkey, count(l_suppkey) as uses from supplier left join lineitem on l_suppkey = s_suppkey group by s_suppkey")
 def references(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
-    return K.references_to(lines, table(spark, sf, "supplier"), {"s_suppkey": "l_suppkey"}).select("s_suppkey", "uses")
+    return K.references_to(table(spark, sf, "lineitem"), table(spark, sf, "supplier"), {"s_suppkey": "l_suppkey"}).select("s_suppkey", "uses")
 
 
 def chain_edges(spark, sf):
@@ -184,6 +184,21 @@ def closure(spark, sf):
     return G.closure(chain_edges(spark, sf), "head", "member", abstract=abstract).select("head", "member")
 
 
+CHAIN = """with o as (select o_orderkey as k, lead(o_orderkey) over (order by o_orderkey) as n from orders),
+c as (select k, row_number() over (order by k) as i, count(*) over () as n from o)
+"""
+
+
+@query("J16b_closure_chain", CHAIN + """
+select (select min(k) from c) as head, k as member, cast(i - 1 as integer) as depth from c where i > 1""")
+def closure_chain(spark, sf):
+    """One chain through all orders, from its first: as deep as the table is long, in a number of rounds that grows with its logarithm."""
+    orders = positions(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], "i")
+    edges = orders.selectExpr("o_orderkey as head", "i + 1 as i").join(orders.selectExpr("o_orderkey as member", "i"), "i").select("head", "member")
+    first = orders.where("i = 1").select("o_orderkey")
+    return G.closure(edges, "head", "member", first)
+
+
 @query("J17_derived_types", EDGES + """
 , c as (select member from e where head = 3 and kind not in ('extension', 'loop') union select e.member from c join e on c.member = e.head and e.kind not in ('extension', 'loop'))
 select member as name from c""")

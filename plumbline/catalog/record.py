@@ -48,10 +48,15 @@ def empty(spark, sf):
 
 
 @query("R5_text_not_allowed", """
-select cast(page_id as varchar) as row_key from (select page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '^\\s+', '') as t from pages) where page_id % 2 = 0 and t <> ''""")
+with e as (select page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[^>]*>([^<]*)', 1)) as tag, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[^>]*>([^<]*)', 2)) as own,
+  unnest(range(len(regexp_extract_all(html, '<([a-z][a-z0-9]*)[^>]*>([^<]*)', 1)))) as place from pages)
+select page_id || '|' || place || '|' || tag as row_key from e where tag in ('title', 'p', 'b', 'ul', 'nav', 'div') and regexp_matches(own, '\\S')""")
 def no_text(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("own_text", F.regexp_extract("html", "<title>([^<]*)", 1))
-    return R.text_not_allowed(pages, F.col("page_id") % 2 == 0, "own_text", ["page_id"]).select("row_key")
+    """The text that follows every start tag, in elements that are to hold other elements only."""
+    element = F.lit("<([a-z][a-z0-9]*)[^>]*>([^<]*)")
+    pairs = F.arrays_zip(F.regexp_extract_all("html", element, F.lit(1)).alias("tag"), F.regexp_extract_all("html", element, F.lit(2)).alias("own_text"))
+    nodes = table(spark, sf, "pages").select("page_id", F.posexplode(pairs).alias("place", "e")).select("page_id", "place", "e.tag", "e.own_text")
+    return R.text_not_allowed(nodes, F.col("tag").isin("title", "p", "b", "ul", "nav", "div"), "own_text", ["page_id", "place", "tag"]).select("row_key")
 
 
 @query("R6_undeclared", with_base("event_names") + """

@@ -153,11 +153,10 @@ def dead(spark, sf):
 @query("B14_broken_rules", """
 select l_returnflag as rule_id, 'rule-broken' as code, 'warning' as severity from lineitem group by 1""")
 def broken(spark, sf):
-    """One rule per return flag, each reading a column that does not exist."""
-    flags = [r[0] for r in lines(spark, sf).select("l_returnflag").distinct().collect()]
-    spec = {"patterns": [{"id": "p", "rules": [{"id": f, "context": f"l_returnflag = '{f}'", "assertions": [
-        {"test": "l_missing > 0", "message": "m"}, {"test": "l_quantity > 0", "message": "m"}]} for f in flags]}]}
-    return B.broken_rules(lines(spark, sf), B.RuleSet.from_dict(spec)).select("rule_id", "code", "severity")
+    """One rule per return flag, held as rows, each reading two columns of which one does not exist."""
+    rules = lines(spark, sf).select(F.lit("p").alias("pattern_id"), F.col("l_returnflag").alias("rule_id")).distinct()
+    reads = rules.withColumn("column", F.explode(F.array(F.lit("l_missing"), F.lit("l_quantity"))))
+    return B.missing_columns(reads, lines(spark, sf)).select("rule_id", "code", "severity")
 
 
 @query("B15_severity", FINDINGS + "select severity, count(*) as findings from f group by severity")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query, table
 from plumbline.operators import shred as S
 from plumbline.sources import documents as D
+from plumbline.streaming.monitor import run_dir
 
 ORDER = "order_id STRING, status STRING, line ARRAY<STRUCT<sku: STRING, qty: STRING>>"
 
@@ -30,12 +31,21 @@ def order_documents(spark, sf):
 
 
 @query("S1_read_documents", LINES + """
-select o_orderkey as k, o_orderstatus as status, o_custkey % 4 as lines, cast((select sum(qty) from l where l.k = o_orderkey) as bigint) as units from orders where o_orderkey % 20 <> 3""")
+select o_orderkey as k, o_orderkey % 20 = 3 as corrupt, case when o_orderkey % 20 <> 3 then o_orderstatus end as status, case when o_orderkey % 20 <> 3 then o_custkey % 4 end as lines,
+  cast((select sum(qty) from l where l.k = o_orderkey and l.k % 20 <> 3) as bigint) as units from orders""")
 def read(spark, sf):
-    read = D.read_document_column(order_documents(spark, sf).where("k % 20 <> 3"), "content", ORDER)
-    units = F.aggregate(F.coalesce("record.line", F.array().cast("array<struct<sku:string,qty:string>>")), F.lit(0).cast("long"), lambda a, l: a + l["qty"].try_cast("long"))
-    lines = F.coalesce(F.size("record.line"), F.lit(0))
-    return read.select("k", "record.status", F.when(lines > 0, lines).otherwise(0).cast("long").alias("lines"), F.when(lines > 0, units).alias("units"))
+    """Documents written to files, one on each line, and read back; every 20th has a wrong end tag and comes back as its text alone."""
+    doc = D.to_xml_col("order", "order")
+    wrong = F.when(F.col("k") % 20 == 3, F.replace(doc, F.lit("</status>"), F.lit("</state>"))).otherwise(doc)
+    path = f"{run_dir(spark, 's1')}/orders"
+    nested_orders(spark, sf).select(F.regexp_replace(wrong, r"\s*\n\s*", "").alias("value")).write.text(path)
+    read = D.read_document_lines(spark, path, ORDER)
+    corrupt = F.col(D.CORRUPT).isNotNull()
+    key = F.when(corrupt, F.regexp_extract(D.CORRUPT, "<order_id>([0-9]+)<", 1)).otherwise(F.col("order_id")).cast("long")
+    units = F.aggregate(F.coalesce("line", F.array().cast("array<struct<sku:string,qty:string>>")), F.lit(0).cast("long"), lambda a, l: a + l["qty"].try_cast("long"))
+    lines = F.greatest(F.coalesce(F.size("line"), F.lit(0)), F.lit(0)).cast("long")
+    whole = lambda c: F.when(~corrupt, c)
+    return read.select(key.alias("k"), corrupt.alias("corrupt"), whole(F.col("status")).alias("status"), whole(lines).alias("lines"), whole(F.when(lines > 0, units)).alias("units"))
 
 
 @query("S2_quarantine_malformed", """

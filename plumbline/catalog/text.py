@@ -38,10 +38,12 @@ def attribute(spark, sf):
 
 
 @query("X5_valid_name", """
-select doc_id, regexp_full_match(word, '[\\pL_:][\\pL\\pN_:.\\-]*') as ok from (select doc_id, split_part(replace(text, chr(10), ' '), ' ', 3) as word from documents)""")
+select doc_id, len(words)::bigint as words, len(list_filter(words, lambda w: regexp_full_match(w, '[\\pL_:][\\pL\\pN_:.\\-]*')))::bigint as names
+from (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\r\\n]+'), lambda w: w <> '') as words from documents)""")
 def names(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.split_part(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit(3)).alias("word"))
-    return df.select("doc_id", X.valid_name(F.col("word")).alias("ok"))
+    """How many of a document's words are names."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+"), lambda w: w != "")
+    return table(spark, sf, "documents").select("doc_id", F.size(words).cast("long").alias("words"), F.size(F.filter(words, X.valid_name)).cast("long").alias("names"))
 
 
 @query("X9_resolve_uri", """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -96,6 +97,21 @@ _BUILTIN_ROWS = [
 _BUILTIN_LISTS = [("IDREFS", "IDREF"), ("ENTITIES", "ENTITY"), ("NMTOKENS", "NMTOKEN")]
 
 
+def readable_bound(primitive: str | None, value: str | None) -> bool:
+    """Whether a bound is a value of its type; types without an order accept any, since they are not compared."""
+    if value is None:
+        return False
+    if primitive == "decimal":
+        return re.fullmatch(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)", value) is not None
+    if primitive in ("float", "double"):
+        return re.fullmatch(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|-?INF|NaN", value) is not None
+    if primitive in L.TEMPORAL:
+        return L.instant_of(value, primitive) is not None
+    if primitive == "duration":
+        return re.fullmatch(r"-?P(?=.)([0-9]+Y)?([0-9]+M)?([0-9]+D)?(T(?=.)([0-9]+H)?([0-9]+M)?([0-9]+(\.[0-9]+)?S)?)?", value) is not None
+    return True
+
+
 def derive(base: SimpleType, name: str | None = None, doc: str | None = None, fixed: Sequence[str] = (),
            **facets) -> SimpleType:
     """A restriction of `base`. A facet that cannot apply is left out and noted in `health`."""
@@ -135,14 +151,12 @@ def derive(base: SimpleType, name: str | None = None, doc: str | None = None, fi
             out[facet] = tuple(value)
         elif facet in BOUND_WORDS:
             bounds, value = out.get("bounds", base.bounds), str(value)
+            if not readable_bound(base.primitive, value):
+                note("bad-facet-value", f"{facet} cannot be {value!r}")
+                continue
             if base.primitive == "decimal":
-                try:
-                    old = next((Decimal(b) for f, b in bounds if f == facet), None)
-                    looser = old is not None and (Decimal(value) > old if facet.startswith("max") else Decimal(value) < old)
-                except InvalidOperation:
-                    note("bad-facet-value", f"{facet} cannot be {value!r}")
-                    continue
-                if looser:
+                old = next((Decimal(b) for f, b in bounds if f == facet), None)
+                if old is not None and (Decimal(value) > old if facet.startswith("max") else Decimal(value) < old):
                     note("facet-loosens-base", f"{facet} {value} is looser than {old} in {base.name}")
                     continue
                 bounds = tuple(b for b in bounds if b[0] != facet)

@@ -1,8 +1,15 @@
-"""Reference graphs: closures over edge tables by repeated joins on the frontier."""
+"""Reference graphs: closures over edge tables in few rounds.
+
+All pairs: a shortest path of more than n and at most 2n edges splits at its n-th node, so the pairs of exactly n edges joined
+with all shorter ones give the next, and the reach doubles with every round. From given sources: runs of nodes with one
+edge in and one out are bridged first, by pointers that double, so that a round crosses a whole run; the nodes inside
+a run get their depth from its head afterwards. Every round is a join of what is new, written to the checkpoint folder.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,34 +17,85 @@ from pyspark.sql import functions as F
 from plumbline.plans.lineage import cut
 
 
-def closure(edges: DataFrame, src: str = "head", dst: str = "member", starts: DataFrame | None = None,
-            abstract: DataFrame | None = None) -> DataFrame:
-    """All (src, dst, depth) pairs reachable along edges, cycles allowed, shortest depth kept.
+def _hops(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    return edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct()
 
-    Each round joins only the newest pairs; lineage is cut through the checkpoint folder. Names in
-    `abstract` are walked through but not reported. `starts` limits the sources.
-    """
-    hops = edges.select(F.col(src).alias("_from"), F.col(dst).alias("_to")).where("_from is not null and _to is not null").distinct()
-    first = hops.select(F.col("_from").alias(src), F.col("_to").alias(dst))
-    if starts is not None:
-        first = first.join(starts.select(F.col(starts.columns[0]).alias(src)).distinct(), src, "left_semi")
-    found = cut(first.withColumn("depth", F.lit(1)))
-    newest = found
-    depth = 1
+
+def _all_pairs(hops: DataFrame) -> DataFrame:
+    """(a, b, depth) for every pair with a path, the shortest depth of each."""
+    parts, span = [cut(hops.withColumn("depth", F.lit(1)))], 1
+    while True:
+        found = reduce(DataFrame.unionByName, parts)
+        exact = parts[-1].where(F.col("depth") == span).select("a", F.col("b").alias("via"), F.col("depth").alias("far"))
+        longer = (exact.join(found.select(F.col("a").alias("via"), "b", "depth"), "via").groupBy("a", "b").agg(F.min(F.col("far") + F.col("depth")).alias("depth"))
+                  .join(found, ["a", "b"], "left_anti"))
+        newest = cut(longer)
+        if newest.isEmpty():
+            return found
+        parts.append(newest)
+        span *= 2
+
+
+def _bridged(hops: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, length): edges and bridged runs between nodes that are not inside a run; and (head, b, length) of the nodes inside."""
+    ins = hops.groupBy(F.col("b").alias("n")).agg(F.count(F.lit(1)).alias("ins"), F.min("a").alias("before"))
+    outs = hops.groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("outs"), F.min("b").alias("after"))
+    inner = ins.where("ins = 1").join(outs.where("outs = 1"), "n").join(starts.select(F.col("a").alias("n")).distinct(), "n", "left_anti")
+    inner = cut(inner.select("n", "before", "after"))
+    up = cut(inner.select("n", F.col("before").alias("head"), F.lit(1).alias("length")))
+    names = inner.select(F.col("n").alias("head"))
+    for _ in range(inner.count().bit_length() + 1):  # a ring of inner nodes has no head and is not reached
+        open_ = up.join(names, "head", "left_semi")
+        if open_.isEmpty():
+            break
+        further = up.select(F.col("n").alias("head"), F.col("head").alias("_head"), F.col("length").alias("_length"))
+        up = cut(up.join(further, "head", "left").select("n", F.coalesce("_head", "head").alias("head"), (F.col("length") + F.coalesce("_length", F.lit(0))).alias("length")))
+    up = up.join(names, "head", "left_anti")
+    last = up.join(inner.select("n", "after"), "n").join(names.select(F.col("head").alias("after")), "after", "left_anti")
+    plain = hops.join(names.select(F.col("head").alias("a")), "a", "left_anti").join(names.select(F.col("head").alias("b")), "b", "left_anti")
+    links = plain.withColumn("length", F.lit(1)).unionByName(last.select(F.col("head").alias("a"), F.col("after").alias("b"), (F.col("length") + 1).alias("length")))
+    return cut(links.groupBy("a", "b").agg(F.min("length").alias("length"))), up.select("head", F.col("n").alias("b"), "length")
+
+
+def _from_starts(hops: DataFrame, starts: DataFrame) -> DataFrame:
+    """(a, b, depth) from the given sources alone."""
+    starts = starts.distinct()
+    links, inside = _bridged(hops, starts)
+    found = newest = cut(starts.select("a", F.col("a").alias("b"), F.lit(0).alias("depth")))
+    rounds = 0
     while True:
-        depth += 1
-        step = (newest.join(hops, F.col(dst) == F.col("_from")).select(src, F.col("_to").alias(dst)).distinct()
-                .join(found, [src, dst], "left_anti").withColumn("depth", F.lit(depth)))
-        newest = cut(step)
+        step = (newest.select("a", F.col("b").alias("via"), "depth").join(links.select(F.col("a").alias("via"), "b", "length"), "via")
+                .groupBy("a", "b").agg(F.min(F.col("depth") + F.col("length")).alias("depth")))
+        known = found.groupBy("a", "b").agg(F.min("depth").alias("_known"))
+        newest = cut(step.join(known, ["a", "b"], "left").where("_known is null or depth < _known").drop("_known"))
         if newest.isEmpty():
             break
         found = found.unionByName(newest)
-        if depth % 8 == 0:
-            found = cut(found)
-    out = found.where(F.col(src) != F.col(dst))
+        rounds += 1
+        if rounds % 8 == 0:
+            found = cut(found.groupBy("a", "b").agg(F.min("depth").alias("depth")))
+    best = found.groupBy("a", "b").agg(F.min("depth").alias("depth"))
+    within = best.select("a", F.col("b").alias("head"), "depth").join(inside, "head").select("a", "b", (F.col("depth") + F.col("length")).alias("depth"))
+    return best.unionByName(within)
+
+
+def closure(edges: DataFrame, src: str = "head", dst: str = "member", starts: DataFrame | None = None,
+            abstract: DataFrame | None = None) -> DataFrame:
+    """All (src, dst, depth) pairs reachable along edges, cycles allowed, shortest depth kept.
+
+    Names in `abstract` are walked through but not reported. `starts` limits the sources.
+    """
+    hops = cut(_hops(edges, src, dst))
+    found = _all_pairs(hops) if starts is None else _from_starts(hops, starts.select(F.col(starts.columns[0]).alias("a")).where("a is not null"))
+    out = found.where("a <> b")
     if abstract is not None:
-        out = out.join(abstract.select(F.col(abstract.columns[0]).alias(dst)).distinct(), dst, "left_anti").select(src, dst, "depth")
-    return out
+        out = out.join(abstract.select(F.col(abstract.columns[0]).alias("b")).distinct(), "b", "left_anti")
+    return out.select(F.col("a").alias(src), F.col("b").alias(dst), "depth")
+
+
+def all_pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(a, b, depth) for every pair with a path; names on a cycle reach themselves."""
+    return _all_pairs(_hops(edges, src, dst))
 
 
 def derived_types(edges: DataFrame, base: str, blocked: Sequence[str] = (), kind: str = "kind") -> DataFrame:

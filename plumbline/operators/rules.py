@@ -241,6 +241,14 @@ def problems_of(df: DataFrame, ruleset: RuleSet, phase: str | None = None) -> Da
 broken_rules = problems_of
 
 
+def missing_columns(reads: DataFrame, df: DataFrame) -> DataFrame:
+    """The same for rules held as rows (pattern_id, rule_id, column), one row for each column a rule reads."""
+    known = F.array(*map(F.lit, df.columns))
+    return reads.where(~F.array_contains(known, F.col("column"))).select(*finding(
+        source="rules", severity="warning", code="rule-broken", pattern_id=F.col("pattern_id"), rule_id=F.col("rule_id"), column=F.col("column"),
+        message=F.concat(F.lit("reads "), F.col("column"), F.lit(", which the table does not have"))))
+
+
 def broken_in_rows(stats: DataFrame) -> DataFrame:
     """Tests that could not be evaluated on some rows, reported against the rule set (from `assertion_stats`)."""
     said = F.concat(F.lit("cannot be evaluated on "), F.col("broken_rows").cast("string"), F.lit(" rows"))

@@ -35,6 +35,13 @@ def read_documents(spark: SparkSession, path: str | Sequence[str], row_tag: str,
     return df.withColumn("doc_id", F.col("_metadata.file_path"))
 
 
+def read_document_lines(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
+    """Files with one XML document on each line to rows. A document that does not parse spoils its own row only: its text is
+    kept in `_corrupt_record`. (Files of `row_tag` elements end at the first of them.)"""
+    rows = read_document_column(spark.read.text(path).withColumn("doc_id", F.col("_metadata.file_path")), "value", schema)
+    return rows.select("record.*", "doc_id")
+
+
 def read_document_column(df: DataFrame, col: str, schema: str | T.StructType, out: str = "record") -> DataFrame:
     """The same for documents held in a text column."""
     full = _schema(schema).add(CORRUPT, T.StringType())

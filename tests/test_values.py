@@ -126,3 +126,11 @@ def test_malformed_documents_are_told_apart(spark):
     rows = df.select("s", "ok", X.well_formed(F.col("s")).alias("got"), X.xpath_value(F.col("s"), "/a").alias("x")).collect()
     assert [r["s"] for r in rows if r["ok"] != r["got"]] == []
     assert all(r["x"] is None for r in rows if not r["ok"])
+
+
+def test_long_durations(spark):
+    pairs = [("P9999999999999D", "P1D", 1), ("-P9999999999999D", "P1D", -1), ("PT99999999999999999999S", "PT1S", 1), ("P99999999999999999Y", "P1Y", 1),
+             ("P" + "9" * 40 + "D", "P1D", None), ("P1Y", "P" + "9" * 30 + "Y", None), ("P1D", "PT86400S", 0), ("P1M", "P30D", None), ("PT0.000001S", "PT0S", 1)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    got = {r["i"]: r["c"] for r in df.select("i", L.compare(F.col("a"), F.col("b"), "duration").alias("c")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(pairs)}
