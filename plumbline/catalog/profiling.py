@@ -28,6 +28,15 @@ def profile(spark, sf):
     return out.select("name", "occurrences", "has_text", "distinct_values", F.array_join("values", ",").alias("values"))
 
 
+@query("A1b_profile_values", """
+with n as (select 'event_type' as name, event_type as v from events union all select 'k', regexp_extract(props, '[0-9]+') from events union all select 'value', cast(event_id as varchar) from events)
+select name, nullif(trim(v), '') as value, count(*) as occurrences from n where nullif(trim(v), '') is not null group by all""")
+def profile_values(spark, sf):
+    """All values of every name, however many."""
+    df = table(spark, sf, "events").selectExpr("event_type", "regexp_extract(props, '[0-9]+', 0) as k", "event_id as value")
+    return P.profile_values(P.as_nodes(df, ["event_type", "k", "value"]))
+
+
 @query("A2_infer_occurs", """
 with c as (select l_orderkey, l_returnflag || l_linestatus as name, count(*) as n from lineitem group by all), t as (select count(*) as parents from orders)
 select name, cast(case when count(*) < any_value(parents) then 0 else min(n) end as bigint) as min_occurs, case when max(n) <= 1 then max(n) end as max_occurs, max(n) as most_seen from c, t group by name""")

@@ -80,9 +80,14 @@ def preview(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.text_preview(F.col("text")).alias("preview"))
 
 
-@query("P11_strip_namespaces", r"""
-select page_id, md5(regexp_replace(regexp_replace(regexp_replace(h, '\sxmlns(:[\w.-]+)?="[^"]*"', '', 'g'), '<(/?)[\w.-]+:', '<\1', 'g'), '\s[\w.-]+:([\w.-]+)=', ' \1=', 'g')) as digest
-from (select page_id, replace(replace(replace(html, '<li>', '<h:li xmlns:h="urn:h" h:role="item">'), '</li>', '</h:li>'), '<p>', '<x:p>') as h from pages)""")
+# Piece by piece: what stands between < and > is cut at its blanks; declarations go, names lose what stands before a colon.
+@query("P11_strip_namespaces", """
+with h as (select page_id, string_split(replace(replace(replace(html, '<li>', '<h:li xmlns:h="urn:h" h:role="item">'), '</li>', '</h:li>'), '<p>', '<x:p>'), '<') as ps from pages),
+tags as (select page_id, i, ps[i] as p, case when i > 1 then split_part(ps[i], '>', 1) else '' end as tag from (select page_id, ps, unnest(range(1, len(ps) + 1)) as i from h)),
+words as (select page_id, i, p, tag, list_filter(string_split(tag, ' '), lambda w: not starts_with(w, 'xmlns:') and not starts_with(w, 'xmlns=')) as ws from tags),
+bare as (select page_id, i, array_to_string(list_transform(ws, lambda w: case when contains(split_part(w, '=', 1), ':')
+  then (case when starts_with(w, '/') then '/' else '' end) || substr(w, strpos(w, ':') + 1) else w end), ' ') || substr(p, length(tag) + 1) as piece from words)
+select page_id, md5(string_agg(piece, '<' order by i)) as digest from bare group by page_id""")
 def strip(spark, sf):
     h = F.replace(F.replace(F.replace("html", F.lit("<li>"), F.lit('<h:li xmlns:h="urn:h" h:role="item">')), F.lit("</li>"), F.lit("</h:li>")), F.lit("<p>"), F.lit("<x:p>"))
     return table(spark, sf, "pages").select("page_id", F.md5(X.strip_namespaces(h)).alias("digest"))
