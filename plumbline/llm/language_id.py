@@ -32,7 +32,10 @@ _NO_LETTER = re.compile(r"[\W\d_]+")
 
 def letters(text: str | None) -> str:
     """Lower-cased letters of a text, all else one blank."""
-    return _NO_LETTER.sub(" ", text.lower()).strip() if text else ""
+    clean = _NO_LETTER.sub(" ", text.lower()).strip() if text else ""
+    if clean and not clean.replace(" ", "").isalpha():  # \w also takes signs such as ½ and ², which are no letters
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
+    return clean
 
 
 def training_text(docs: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id",
@@ -142,7 +145,8 @@ def automata(texts: dict[str, str]) -> Automata:
 
 def sample(docs: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id", train_docs: int = TRAIN_DOCS,
            train_bytes: int = TRAIN_BYTES) -> dict[str, str]:
-    """Training text of each language: at most train_bytes bytes, cut in Spark before it reaches the driver."""
+    """Training text of each language: at most train_bytes bytes, cut in Spark before it reaches the driver. Of each training
+    text the first 8 * train_bytes / train_docs characters are read; texts to be judged are always read whole."""
     chosen = training_text(docs, lang, text, id, train_docs)
     share = max(1, -(-train_bytes // train_docs)) * 8
     parts: dict[str, list[str]] = {}

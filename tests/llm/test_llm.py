@@ -235,6 +235,9 @@ def test_language_id(spark, docs, odd, none):
     out = {r.doc_id: r for r in language_id.identify(odd, train).collect()}
     assert out[0].lang_pred == out[1].lang_pred == out[2].lang_pred == "und" and all(0 <= r.score <= 1 for r in out.values())
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
+    assert language_id.letters("½ ²³ ① 12_3 ・") == "" and language_id.letters("Ab½c  Éd²") == "ab c éd" and language_id.letters("x1y_z") == "x y z"
+    unread = odd.sparkSession.createDataFrame([(1, "½ ²³ ①", "en")], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in language_id.identify(unread, train).collect()] == [("und", 0.0)]
     m = language_id.Automata({"a": "abcabd", "b": "xyz"})  # parsed by hand: abc|abd|x|y|z and a|b|c|a|b|d|xyz
     text = np.frombuffer(b"abcabdxyz", np.uint8)
     assert m.phrases(text, np.array([0]), np.array([9])).ravel().tolist() == [4, 7]
