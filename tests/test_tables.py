@@ -121,7 +121,11 @@ def test_null_makes_an_assert_fire(spark):
 
 def test_bad_cast_does_not_fail_the_job(spark):
     df = spark.createDataFrame([(1, "x"), (2, "5")], "ordinal int, qty string")
-    assert [r["ordinal"] for r in run(df, [{"context": "true", "assertions": [{"test": "CAST(qty AS INT) > 0", "message": "m"}]}]).collect()] == [1]
+    cast, tried = ([{"context": "true", "assertions": [{"test": f"{c}(qty AS INT) > 0", "message": "m"}]}] for c in ("CAST", "TRY_CAST"))
+    assert run(df, cast).count() == 0  # a row that cannot be evaluated neither passes nor fails
+    stats = B.assertion_stats(df, B.RuleSet.from_dict({"patterns": [{"id": "p", "rules": cast}]})).first()
+    assert (stats["passed"], stats["failed"], stats["broken_rows"]) == (1, 0, 1)
+    assert [r["ordinal"] for r in run(df, tried).collect()] == [1]  # asked for as NULL, which counts as false
 
 
 def test_templates_and_phases():
