@@ -206,6 +206,11 @@ class Scope:
         """The truth of a test; unknown counts as false."""
         return F.coalesce(self.value(sql).try_cast("boolean"), F.lit(False))
 
+    def unmet(self, sql: str) -> Column:
+        """Whether a test is false or unknown on a row that could be evaluated; the parts are looked at only where it has no value."""
+        flags = self.guard(sql).flags
+        return F.coalesce(~self.value(sql).try_cast("boolean"), ~F.expr(self.guard(sql).failed) if flags else F.lit(True))
+
     def failed(self, sql: str) -> Column:
         """Whether the row could not be evaluated: no value, because a part of it failed."""
         made = self.guard(sql)

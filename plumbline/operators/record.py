@@ -143,7 +143,7 @@ def assert_record(df: DataFrame, test: str, key: Sequence[str], message: str | N
     said = F.concat(F.lit("the rule cannot be evaluated on "), F.col("_n").cast("string"), F.lit(f" rows: {test}"))
     on_rows = df.where(failed).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(*finding(
         source="schema", severity="warning", code="schema-assert-broken", anchor="element", message=said, technical=test))
-    found = df.where(~scope.holds(test) & ~failed).select(*finding(
+    found = df.where(scope.unmet(test)).select(*finding(
         source="schema", severity="error", code="cvc-assertion-valid", doc_key=doc_text(doc), row_key=key_text(*key), anchor="element",
         message=message or f"breaks the rule: {test}", technical=test))
     return found.unionByName(on_rows) if scope.guard(test).flags else found

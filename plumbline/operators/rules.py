@@ -183,7 +183,7 @@ def _compile(df: DataFrame, ruleset: RuleSet, phase: str | None, name: str) -> _
                 failed = F.lit(False) if bad else scope.failed(test)
                 hints = [render_message(ruleset.diagnostics[d], bound, scope, name) for d in a.diagnostics if d in ruleset.diagnostics]
                 checks.append(dict(pattern=p.id, px=px, rx=rx, ax=ax, rule=r.id or r.context, a=a, broken=bad,
-                                   fails=F.lit(False) if bad else (~scope.holds(test) & ~failed if a.kind == "assert" else scope.holds(test)), failed=failed,
+                                   fails=F.lit(False) if bad else (scope.unmet(test) if a.kind == "assert" else scope.holds(test)), failed=failed,
                                    message=render_message(a.message, bound, scope, name), hints=hints))
         claims[f"_c{px}"] = claim if claim is not None else F.lit(None).cast("int")
     return _Plan(df, claims, contexts, checks, rules, problems)
@@ -315,7 +315,7 @@ def group_assert(parents: DataFrame, children: DataFrame, keys: Sequence[str], a
     rows = parents.join(per, list(keys), "left")  # a parent key is one row on both sides
     scope = _Scope(rows)
     text = render_message(message, {}, scope)
-    return rows.where(~scope.holds(test) & ~scope.failed(test)).select(*finding(
+    return rows.where(scope.unmet(test)).select(*finding(
         source="rules", severity="error", code="assert", doc_key=doc_text(doc), row_key=key_text(*(row_key or keys)), anchor="element", message=text, technical=test))
 
 
