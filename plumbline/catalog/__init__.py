@@ -41,6 +41,9 @@ BASES: dict[str, tuple[str, list[str]]] = {
     "part_text": ("part", [
         "p_partkey", "p_name", "p_type", "p_size",
         "case when p_partkey % 4 = 0 then lower(p_brand) when p_partkey % 6 = 1 then replace(p_brand, '#', '-#') else p_brand end as brand"]),
+    "part_names": ("part", [
+        "p_partkey",
+        "case when p_partkey % 10 = 0 then upper(p_name) when p_partkey % 7 = 0 then replace(p_name, 'e', '') when p_partkey % 11 = 0 then concat(p_name, ' no ', cast(p_partkey as string)) when p_partkey % 13 = 0 then null else p_name end as name"]),
     "docs_gaps": ("documents", [
         "doc_id", "source", "case when doc_id % 7 = 0 then null else lang end as lang",
         "case when doc_id % 5 = 0 then null else text end as text", "n_chars"]),

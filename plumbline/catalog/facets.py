@@ -8,6 +8,7 @@ from plumbline.functions import types as Y
 from plumbline.functions.text import normalize_space
 from plumbline.operators import check as C
 from plumbline.operators import spec_rows as H
+from plumbline.operators import vocabulary as V
 
 TAB = "chr(9) || chr(10) || chr(13)"
 DECIMAL = r"'[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)'"
@@ -129,6 +130,15 @@ def enumeration(spark, sf):
     return _codes(base(spark, sf, "order_text"), "status", Y.builtin("token", enumeration=["O", "F", "P"]), ["o_orderkey"])
 
 
+@query("T11b_vocabulary", with_base("part_names") + """
+select cast(p_partkey as varchar) as row_key, 'cvc-enumeration-valid' as code, 'name: ' || name || ' is not a listed value' as message
+from part_names where name is not null and name not in (select p_name from part where p_name is not null)""")
+def listed(spark, sf):
+    """Names of parts against the names of all parts, as a table."""
+    words = V.vocabulary(table(spark, sf, "part"), "p_name")
+    return V.check_vocabulary(base(spark, sf, "part_names"), "name", words, ["p_partkey"]).select("row_key", "code", "message")
+
+
 @query("T12_range", with_base("line_text", "order_text") + """
 select l_orderkey || '|' || l_linenumber as row_key, 'cvc-range-valid' as code from line_text where cast(qty as decimal(10,2)) < 5
 union all select l_orderkey || '|' || l_linenumber, 'cvc-range-valid' from line_text where cast(qty as decimal(10,2)) > 45

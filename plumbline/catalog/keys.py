@@ -7,6 +7,7 @@ from plumbline.operators import axes as X
 from plumbline.operators import check as C
 from plumbline.operators import graph as G
 from plumbline.operators import keys as K
+from plumbline.operators import vocabulary as V
 from plumbline.plans.ordered import positions
 
 SKEWED = "case when l_partkey % 3 = 0 then 7 else l_orderkey end"
@@ -128,6 +129,21 @@ def suggest(spark, sf):
     return C.did_you_mean(base(spark, sf, "event_names"), "name", ["click", "view", "error", "purchase", "signup"]).select("event_id", "name", "suggestion")
 
 
+@query("J11b_nearest_word", """
+with said as (select unnest(regexp_split_to_array(text, '[^A-Za-z]+')) as word from conversations),
+n as (select word, count(*) as uses from said where word <> '' group by word),
+v as (select distinct unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as o from benchmark),
+r as (select word, o, levenshtein(lower(word), o) as edits from n, v where o <> '' and abs(length(word) - length(o)) <= 3),
+b as (select word, arg_min(o, (edits, o)) as suggestion from r where edits <= least(3, greatest(1, greatest(length(word), length(o)) // 3)) group by word)
+select word, uses, suggestion from n left join b using (word)""")
+def nearest_word(spark, sf):
+    """Every word of the conversations and the word of the benchmark nearest to it."""
+    split = lambda df, pattern, text: df.select(F.explode(F.split(text, pattern)).alias("word")).where("word <> ''")
+    said = split(table(spark, sf, "conversations"), "[^A-Za-z]+", F.col("text")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    listed = split(table(spark, sf, "benchmark"), "[^a-z]+", F.lower("text"))
+    return V.suggest(said, "word", V.vocabulary(listed, "word"))
+
+
 @query("J12_verdict_drift", """
 select doc_id, first, second, case when first is null then 'only second' when second is null then 'only first' when first then 'first accepts' else 'second accepts' end as drift
 from (select doc_id, quality = 1 as first from labels) full join (select doc_id, n_chars > 900 as second from documents) using (doc_id)

@@ -10,6 +10,7 @@ from plumbline.functions.model import compile_model
 from plumbline.operators import check as C
 from plumbline.operators import sequence as Q
 from plumbline.operators import synth as G
+from plumbline.operators import vocabulary as V
 from plumbline.operators.record import required_fields
 from plumbline.operators.rules import RuleSet
 
@@ -48,6 +49,21 @@ def enumeration(spark, sf):
     return df.select("event_id", "name", values_of(df, "name", t).alias("fixes"))
 
 
+@query("C3b_vocabulary_fixes", with_base("part_names") + """
+, w as (select distinct p_name as word from part), n as (select distinct name from part_names where name is not null and name not in (select word from w)),
+r as (select name, word, levenshtein(lower(trim(name, ' ')), lower(word)) as edits from n, w),
+b as (select name, min(edits) as edits, arg_min(word, (edits, word)) as word from r where edits <= 3 group by name)
+select p_partkey, name, coalesce(word || case when edits = 0 then '!' else '?' end, '') as fixes from part_names join n using (name) left join b using (name)""")
+def listed(spark, sf):
+    """Nearest listed names for the parts whose name is not listed."""
+    words = V.vocabulary(table(spark, sf, "part"), "p_name")
+    df = base(spark, sf, "part_names")
+    found = V.check_vocabulary(df, "name", words, ["p_partkey"], fixes=True)
+    first = F.get("fixes", F.lit(0))
+    shown = F.coalesce(F.concat(first["value"], F.when(first["speculative"], "?").otherwise("!")), F.lit(""))
+    return df.join(found.select(F.col("row_key").cast("long").alias("p_partkey"), shown.alias("fixes")), "p_partkey")
+
+
 @query("C4_pattern_fixes", with_base("part_text") + """
 select p_partkey, brand, case when starts_with(brand, 'b') then upper(brand) || '?' when contains(brand, '-') then replace(brand, '-', '') || '?' end || case when brand = 'Brand-#1' then '' else ',Brand#1?' end as fixes
 from part_text where starts_with(brand, 'b') or contains(brand, '-')""")
