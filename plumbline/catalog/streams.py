@@ -54,19 +54,46 @@ def validate(spark, sf):
     return spark.read.parquet(f"{root}/findings").select("row_key", "code", "spec_version")
 
 
+def signup_model():
+    """No purchase directly after a signup."""
+    plain = [elem("view"), elem("click"), elem("error")]
+    return compile_model(seq(choice(*plain, elem("purchase"), seq(elem("signup", 1, None), choice(*plain)), lo=0, hi=None), elem("signup", 0, None)))
+
+
 @query("V5_sequence_monitor", """
 with w as (select user_id, ts, event_type, lag(event_type) over (partition by user_id order by ts) as p from events)
 select cast(user_id as varchar) as key, min(epoch_us(ts)) as at, 'violation' as status from w where p = 'signup' and event_type = 'purchase' group by user_id""")
 def monitor(spark, sf):
     """First purchase directly after a signup, per user."""
-    plain = [elem("view"), elem("click"), elem("error")]
-    model = compile_model(seq(choice(*plain, elem("purchase"), seq(elem("signup", 1, None), choice(*plain)), lo=0, hi=None), elem("signup", 0, None)))
+    model = signup_model()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", M.ROCKSDB)
     events = M.event_time(stream(spark, sf), "ts")
     out = M.drain(M.sequence_monitor(events, "user_id", "ts", "event_type", model), "monitor", "update")
     return out.select("key", F.unix_micros("at").alias("at"), "status")
 
 
+@query("V5b_ordered_monitor", """
+with e as (select *, (select epoch_ms(max(ts)) from events) - 86400000 as passed from events),
+w as (select user_id, ts, passed, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as p from e)
+select cast(user_id as varchar) as key, min(epoch_us(ts)) as at, 'violation' as status from w
+where p = 'signup' and event_type = 'purchase' and epoch_ms(ts) < passed group by user_id""")
+def ordered(spark, sf):
+    """The same where rows arrive up to a day late, in four files: only what the watermark has passed is judged."""
+    events = table(spark, sf, "events")
+    late = F.expr("unix_micros(cast(ts as timestamp)) + pmod(xxhash64(event_id), 86400) * 1000000")
+    arrival = events.withColumn("_arrival", late)
+    spread = arrival.agg(F.min("_arrival").alias("_low"), F.max("_arrival").alias("_high"))
+    part = F.floor((F.col("_arrival") - F.col("_low")) * 4 / (F.col("_high") - F.col("_low") + 1)).cast("int")
+    root = M.run_dir(spark, "dealt")
+    dealt = arrival.join(F.broadcast(spread), how="cross").withColumn("part", part).drop("_arrival", "_low", "_high")  # one row of bounds
+    for i in range(4):
+        dealt.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", M.ROCKSDB)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = M.drain(M.ordered_monitor(M.event_time(source, "ts"), "user_id", "ts", "event_type", signup_model(), "1 day"), "ordered", "update")
+    return out.select("key", F.unix_micros("at").alias("at"), "status")
+
+
 @query("V6_recheck_on_spec_change", """
 select doc_id, 'document' as cause from documents where doc_id % 10 = 0 union all select doc_id, 'spec' from documents""")
 def recheck(spark, sf):

@@ -145,6 +145,90 @@ def sequence_monitor(stream: DataFrame, key: str, order: str, symbol: str, model
                                         timeMode="ProcessingTime" if timeout_ms is not None else "None"))
 
 
+class _Waiting(StatefulProcessor):
+    """Per key: the model state, the time of the last row taken, and the rows that wait for the watermark."""
+
+    def __init__(self, model: Model, order: str, symbol: str):
+        self.steps, self.dead, self.order, self.symbol = model.steps, model.dead, order, symbol
+        self.classes = {n: i for i, n in enumerate(model.names[:-1])}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", T.StructType().add("s", T.IntegerType()).add("taken", T.LongType()))
+        self.waiting = handle.getListState("waiting", T.StructType().add("at", T.LongType()).add("symbol", T.StringType()))
+
+    def now(self) -> tuple[int, int | None]:
+        return tuple(self.state.get()) if self.state.exists() else (0, None)
+
+    def out(self, rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["key", "at", "symbol", "state", "status"])
+        made["at"] = pd.to_datetime(made["at"], unit="us")
+        return made.astype({"state": "Int32"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, taken = self.now()
+        if state == self.dead:
+            for _ in rows:  # a key has one first violation; nothing waits after it
+                pass
+            yield self.out([])
+            return
+        held = list(self.handle.listTimers())
+        first = min(held, default=None)
+        for part in rows:
+            keep, late = [], []
+            for at, symbol in zip(part[self.order].tolist(), part[self.symbol]):
+                if taken is not None and at < taken:
+                    late.append((str(key[0]), at, symbol, state, "late"))
+                else:
+                    keep.append((at, symbol))
+            if keep:
+                self.waiting.appendList(keep)
+                low = min(at for at, _ in keep) // 1000
+                first = low if first is None else min(first, low)
+            yield self.out(late)
+        if first is not None and held != [first]:
+            for timer in held:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, taken = self.now()
+        limit = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get(), key=lambda r: r[0])
+        due = [r for r in rows if r[0] // 1000 < limit]
+        rest = rows[len(due):]
+        broke = []
+        for at, symbol in due:
+            state, taken = self.steps.one(state, self.classes.get(symbol, len(self.classes))), at
+            if state == self.dead:
+                broke, rest = [(str(key[0]), at, symbol, state, "violation")], []
+                break
+        self.state.update((state, taken))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000)
+        yield self.out(broke)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_monitor(stream: DataFrame, key: str, order: str, symbol: str, model: Model, delay: str) -> DataFrame:
+    """First violation of each key, with rows taken in event-time order whatever the order of their arrival.
+
+    A row waits as state until the watermark (newest time seen, less `delay`) has passed it, so the state of a key is its
+    rows of the last `delay`. A row older than one already taken cannot be put in order: it comes out with status late
+    and is not judged. Rows after a key's violation are dropped; rows within `delay` of the newest time still wait when a stream
+    ends; rows without a time are left out; rows of one key with equal times are taken in any order. Needs the RocksDB state store.
+    """
+    timed = stream.where(F.col(order).isNotNull()).withWatermark(order, delay)
+    # a plain number has no watermark of its own, so Spark does not drop late rows before they are reported
+    plain = timed.select(F.col(key), F.unix_micros(order).alias(order), F.col(symbol))
+    return plain.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Waiting(model, order, symbol), outputStructType=T.StructType.fromDDL(MONITOR_SCHEMA), outputMode="Update", timeMode="EventTime")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
