@@ -3,8 +3,8 @@
 Every task packs the documents of its partition. A sequence has three limits at once: tokens, pieces (segments) and
 loss-bearing tokens. Whole sequences are cut off long documents; the rests wait in a pool of fixed size, and an open
 sequence takes the waiting piece with the largest dot product of its demand with the room that is left (each as a share of
-its limit). When no whole piece fits, one is cut to fill the gap. The last sequence of a partition is cut at powers of two,
-which need no padding. Memory is bounded by the pool, one slice of text and a word memo of fixed size.
+its limit). When no whole piece fits, one is cut to fill the gap. A sequence that another limit closes before its tokens are
+full, and the last one of a partition, is cut at powers of two, which need no padding. Memory is bounded by the pool, one slice of text and a word memo of fixed size.
 
 Tokens come from a public tokenizer file; it drops white space, so each word is encoded once and looked up afterwards.
 Null and empty texts consist of the end token alone. Repeated rows are packed once each. Null ids are passed on. Other
@@ -178,7 +178,7 @@ class Packer:
             else:
                 self.docs[i] = (doc, start + size, prompt)
                 self.demand[i] -= [size, 0, borne]
-        self.emit(taken, last)
+        self.emit(taken, last or room[0] > 0)
 
     def emit(self, taken: list, last: bool) -> None:
         used = sum(size for *_, size in taken)

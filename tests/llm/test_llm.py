@@ -122,6 +122,34 @@ def test_packing_round_trip(docs, odd, none):
     assert worst[0] <= 2 and worst[1] <= 1000 and worst[2] <= 2048
 
 
+def padding(pieces):
+    """(tokens held, tokens of padding up to 2048) over sequences, those of a power of two unpadded."""
+    used = [r[1] for r in pieces.groupBy("sequence_id").sum("length").collect()]
+    return sum(used), sum(2048 - n for n in used if n & (n - 1))
+
+
+def test_packing_of_short_texts_needs_no_padding(spark):
+    """The piece limit or the loss limit closes nearly all of these sequences early."""
+    short = spark.range(6400).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text")).coalesce(1)
+    for kw in ({}, {"segments": 3}, {"loss": 100}, {"segments": 7, "loss": 33}):
+        pieces = packing.pack(short, queries.tokenizer_path(), **kw)
+        held, pad = padding(pieces)
+        assert held == pieces.dropDuplicates(["doc_id"]).agg(F.sum("doc_tokens")).first()[0] and pad == 0
+        n, free = pieces.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t")).agg(F.max("n"), F.max("t")).first()
+        assert n <= kw.get("segments", 64) and free <= 2048
+
+
+def test_language_sample_reads_every_part_of_texts(spark):
+    """Training slices lie anywhere in a text, and a language is learnt although all its rows share one id or are equal."""
+    rows = [(1, "aa", f"alpha{'x' * (i % 7)} beta gamma") for i in range(3000)] + [(2, "bb", "gost bunu")] * 3000
+    rows += [(10 + i, "cc", "first " * 400 + "last " * 400) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language_id.sample(docs, train_docs=40, train_bytes=8000)
+    assert set(got) == {"aa", "bb", "cc"} and "gost bunu" in got["bb"]
+    assert "first" in got["cc"] and "last" in got["cc"] and all(len(x.encode()) <= 8000 for x in got.values())
+    assert got == language_id.sample(docs.repartition(5), train_docs=40, train_bytes=8000)
+
+
 def test_decontamination(spark, odd, none):
     swapped = PASSAGE.replace("word9 ", "WORD9 ").replace("word20 ", "zzz ")
     bench = spark.createDataFrame([(1, "lead in " + swapped), (2, None), (3, ""), (4, "don't <|endoftext|> 12,34"), (5, "lead in " + swapped)], "item_id long, text string")
