@@ -40,14 +40,17 @@ def letters(text: str | None) -> str:
 
 def training_text(docs: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id",
                   train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(lang, h, text): at most `train_docs` documents of each language, those with the smallest id hashes.
+    """(lang, h, text): at most `train_docs` different (id, text) pairs of each language, those with the smallest hashes.
 
-    The counts, one row per language like the model itself, go to all tasks; with them each task keeps about twice as many
-    rows as are wanted, so only these few carry their text into the exchange that ranks them."""
+    The counts and smallest hashes, one row per language like the model itself, go to all tasks; with them each task keeps about twice
+    as many rows as are wanted, so only these few carry their text into the exchange that ranks them. Equal rows are one before
+    that exchange, and the row of the smallest hash is always kept, so every language with a labelled text has a model."""
     held = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(5)).alias("h"), F.col(text).alias("text"))
-    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    few = held.join(F.broadcast(counts), "lang").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= 2.0 * train_docs / F.col("n"))
+        F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.col(text), F.lit(5)).alias("h"), F.col(text).alias("text"))
+    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    small = F.col("h").cast("double") / 2.0**64 + 0.5 <= 2.0 * train_docs / F.col("n")
+    few = held.join(F.broadcast(counts), "lang").where(small | (F.col("h") == F.col("least")))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     return few.withColumn("_rank", rank).where(F.col("_rank") <= train_docs).select("lang", "h", "text")
 
@@ -146,11 +149,13 @@ def automata(texts: dict[str, str]) -> Automata:
 def sample(docs: DataFrame, lang: str = "lang", text: str = "text", id: str = "doc_id", train_docs: int = TRAIN_DOCS,
            train_bytes: int = TRAIN_BYTES) -> dict[str, str]:
     """Training text of each language: at most train_bytes bytes, cut in Spark before it reaches the driver. Of each training
-    text the first 8 * train_bytes / train_docs characters are read; texts to be judged are always read whole."""
+    text a slice of 8 * train_bytes / train_docs characters at a place given by its hash is read; texts to be judged are
+    always read whole."""
     chosen = training_text(docs, lang, text, id, train_docs)
     share = max(1, -(-train_bytes // train_docs)) * 8
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("text") - share + 1)).cast("int") + 1
     parts: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "h", F.left("text", F.lit(share)).alias("t")).orderBy("lang", "h", "t").toLocalIterator():
+    for row in chosen.select("lang", "h", F.substring("text", place, F.lit(share)).alias("t")).orderBy("lang", "h", "t").toLocalIterator():
         parts.setdefault(row.lang, []).append(letters(row.t))
     return {name: _cut(" ".join(x), train_bytes) for name, x in parts.items()}
 
